@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 _STEPS = 10  # 2**10 value ranges per column
 _CUTS = 2**_STEPS - 1
@@ -13,6 +13,12 @@ def melt(df: DataFrame, columns: list[str], name: str = "column", value: str = "
     return df.select(*[F.col(f"`{c}`") for c in columns]).unpivot([], columns, name, value)
 
 
+def _cut_shares() -> Column:
+    """Evenly spaced shares as one constant (an array of a thousand literals is slow to analyze)."""
+    shares = ",".join(str(i / (_CUTS + 1)) for i in range(1, _CUTS + 1))
+    return F.split(F.lit(shares), ",").cast("array<double>")
+
+
 def exact_percentiles(long: DataFrame, percents: dict[str, float], name: str = "column", value: str = "value"):
     """One row per `name` with linearly interpolated percentiles of `value`.
 
@@ -22,20 +28,20 @@ def exact_percentiles(long: DataFrame, percents: dict[str, float], name: str = "
     ordered. Cut points affect balance only, never the result.
     """
     counts = long.filter(F.col(value).isNotNull()).groupBy(name, value).agg(F.count(F.lit(1)).alias("n"))
+    # Reads the same columns of `counts` as the ranges do, so the shuffle is planned once.
     cuts = counts.groupBy(name).agg(
-        F.percentile_approx(value, [i / (_CUTS + 1) for i in range(1, _CUTS + 1)], 4 * (_CUTS + 1)).alias("_cuts")
+        F.percentile_approx(value, _cut_shares(), 4 * (_CUTS + 1)).alias("_cuts"), F.sum("n").alias("_all")
     )
     ranged = counts.join(F.broadcast(cuts), name).withColumn("_range", F.lit(0))
     for step in reversed(range(_STEPS)):
         probe = F.get(F.col("_cuts"), F.col("_range") + (2**step - 1))
         ranged = ranged.withColumn("_range", F.col("_range") + F.when(F.col(value) > probe, 2**step).otherwise(0))
-    ranged = ranged.select(name, value, "n", "_range")
+    ranged = ranged.select(name, value, "n", "_all", "_range")
 
     in_order = W.partitionBy(name).orderBy("_range")
     totals = (
-        ranged.groupBy(name, "_range").agg(F.sum("n").alias("_in"))
+        ranged.groupBy(name, "_range", "_all").agg(F.sum("n").alias("_in"))
         .withColumn("_before", F.sum("_in").over(in_order) - F.col("_in"))
-        .withColumn("_all", F.sum("_in").over(W.partitionBy(name)))
     )
     wanted = [
         F.struct(
@@ -46,20 +52,21 @@ def exact_percentiles(long: DataFrame, percents: dict[str, float], name: str = "
         for key, p in percents.items()
         for side, rank in (("lo", F.floor), ("hi", F.ceil))
     ]
+    in_range = (F.col("_w._rank") >= F.col("_before")) & (F.col("_w._rank") < F.col("_before") + F.col("_in"))
     picks = (
         totals.withColumn("_w", F.explode(F.array(*wanted)))
-        .select(name, "_range", "_before", "_all", "_w.*")
-        .filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_in")))
+        .filter(in_range)
+        .groupBy(name, "_range", "_before").agg(F.collect_list("_w").alias("_wanted"))
     )
 
-    inside = W.partitionBy(name, "_range").orderBy(value)
-    ordered = (
-        ranged.join(F.broadcast(picks.select(name, "_range").distinct()), [name, "_range"])
-        .withColumn("_upto", F.sum("n").over(inside))
-    )
-    found = ordered.join(F.broadcast(picks), [name, "_range"]).filter(
-        (F.col("_rank") >= F.col("_before") + F.col("_upto") - F.col("n"))
-        & (F.col("_rank") < F.col("_before") + F.col("_upto"))
+    # At most two ranks per percentile and column, so `picks` is a handful of rows.
+    upto = F.sum("n").over(W.partitionBy(name, "_range").orderBy(value)) + F.col("_before")
+    found = (
+        ranged.join(F.broadcast(picks), [name, "_range"])
+        .withColumn("_upto", upto)
+        .withColumn("_w", F.explode("_wanted"))
+        .filter((F.col("_w._rank") >= F.col("_upto") - F.col("n")) & (F.col("_w._rank") < F.col("_upto")))
+        .select(name, value, "_all", "_w.*")
     )
 
     def at(key: str, side: str):

@@ -38,8 +38,31 @@ def salted_join(
     heavy key are spread over slices and only the matching group rows are copied
     to each slice, so the copies number at most `rows / slice_rows`.
     """
-    keys = list(keys)
-    heavy = F.broadcast(heavy_keys(sizes, keys, size, slice_rows))
+    salted_rows, salted_groups = _salted(rows, groups, list(keys), sizes, size, row_id, slice_rows)
+    return salted_rows.join(salted_groups, [*keys, "_salt"]).drop("_salt")
+
+
+def salted_left_join(
+    groups: DataFrame,
+    rows: DataFrame,
+    keys: Sequence[str],
+    sizes: DataFrame,
+    size: str,
+    row_id: Column,
+    keep_unmatched: Column,
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """`groups` left join `rows`; a group without rows is kept only where `keep_unmatched` holds.
+
+    A copy of a heavy group may meet an empty slice, so it must not count as unmatched.
+    """
+    salted_rows, salted_groups = _salted(rows, groups, list(keys), sizes, size, row_id, slice_rows)
+    joined = salted_groups.join(salted_rows.withColumn("_hit", F.lit(True)), [*keys, "_salt"], "left")
+    return joined.filter(F.col("_hit") | keep_unmatched).drop("_hit", "_salt")
+
+
+def _salted(rows, groups, keys, sizes, size, row_id, slice_rows) -> tuple[DataFrame, DataFrame]:
+    heavy = F.broadcast(heavy_keys(sizes, keys, size, slice_rows))  # at most HEAVY_KEYS rows
     slices = F.coalesce(F.col("_slices"), F.lit(1))
     salted_rows = (
         rows.join(heavy, keys, "left")
@@ -51,4 +74,4 @@ def salted_join(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), slices - 1)))
         .drop("_slices")
     )
-    return salted_rows.join(salted_groups, [*keys, "_salt"]).drop("_salt")
+    return salted_rows, salted_groups

@@ -102,6 +102,11 @@ def exact_sum(c: Column) -> Column:
     return F.sum(c.cast("decimal(28,6)"))
 
 
+def exact_mean(c: Column) -> Column:
+    """Mean from the exact sum, so it does not depend on the order of rows."""
+    return F.try_divide(exact_sum(c).cast("double"), F.count(c))
+
+
 def has_columns(df: DataFrame, names: list[str]) -> bool:
     return set(names) <= set(df.columns)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyspark.functions import fixed_values as fv
-from tallyspark.functions.skew import HEAVY_KEYS, salted_join
+from tallyspark.functions.skew import HEAVY_KEYS, salted_join, salted_left_join
 from tallyspark.functions.values import day_number, has_columns, whole_days
 from tallyspark.operators.ledger import params_with, snapshot_columns, with_values
 
@@ -61,8 +61,10 @@ def _cell_pairs(cells: DataFrame, window_days: int) -> DataFrame:
     """
     bucketed = cells.withColumn("bucket", F.floor(day_number(F.col("date")) / (window_days + 1)))
     key = ["vendor", "amount", "bucket"]
+    # Counted through n and cell: all branches then read the same columns and share one shuffle of the cells.
+    n_cells = F.count_if((F.col("n") > 0) & F.col("cell").isNotNull())
     grid = F.broadcast(
-        bucketed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+        bucketed.groupBy(*key).agg(n_cells.alias("_n"))
         .filter(F.col("_n") > TILE)
         .orderBy(F.desc("_n")).limit(HEAVY_KEYS)
         .select(*key, F.ceil(F.col("_n") / TILE).cast("int").alias("_side"))
@@ -127,13 +129,10 @@ def duplicate_payments(ledger: DataFrame, params: dict | None = None) -> DataFra
 
     def unfold(df: DataFrame, side: str) -> DataFrame:
         cell, n, row = f"cell_{side}", f"n_{side}", f"row_{side}"
-        one = df.filter(F.col(n) == 1).withColumn(row, F.col(cell))
-        many = salted_join(
-            members.select(F.col("cell").alias(cell), F.col("row_index").alias(row)),
-            df.filter(F.col(n) > 1), [cell],
-            folded.select(F.col("cell").alias(cell), "n"), "n", F.col(row),
-        )
-        return one.unionByName(many)
+        return salted_left_join(
+            df, members.select(F.col("cell").alias(cell), F.col("row_index").alias(row)), [cell],
+            folded.select(F.col("cell").alias(cell), "n"), "n", F.col(row), keep_unmatched=F.col(n) == 1,
+        ).withColumn(row, F.coalesce(row, cell))
 
     rows = unfold(unfold(pairs, "a"), "b").filter(
         (F.col("cell_a") != F.col("cell_b")) | (F.col("row_a") < F.col("row_b"))
@@ -148,13 +147,9 @@ def duplicate_payments(ledger: DataFrame, params: dict | None = None) -> DataFra
 
 def duplicate_payment_rows(ledger: DataFrame, pairs: DataFrame) -> DataFrame:
     """Both rows of each pair, with their snapshots (a row may sit in many pairs)."""
-    sides = pairs.select(
-        "row_a", "row_b", F.explode(F.array("row_a", "row_b")).alias("row_index")
-    )
-    sizes = sides.groupBy("row_index").agg(F.count(F.lit(1)).alias("_n"))
-    return salted_join(
-        sides, ledger.select(*snapshot_columns(ledger)), ["row_index"], sizes, "_n", F.xxhash64("row_a", "row_b")
-    )
+    sides = pairs.select("row_a", "row_b", F.explode(F.array("row_a", "row_b")).alias("row_index"))
+    # row_index is unique in the ledger; a row in very many pairs is split by adaptive skew-join handling.
+    return sides.join(ledger.select(*snapshot_columns(ledger)), "row_index")
 
 
 def invoice_numbers(ledger: DataFrame) -> DataFrame:

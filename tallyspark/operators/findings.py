@@ -320,7 +320,9 @@ def _runnable(ledger: DataFrame, rule_ids: list[str] | None) -> list[str]:
 def _stacked(parts: list[DataFrame], df: DataFrame, schema: str) -> DataFrame:
     if not parts:
         return df.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, parts)
+    while len(parts) > 1:  # pairwise, so each part is analyzed in few unions; all parts have the schema's column order
+        parts = [reduce(DataFrame.union, parts[i:i + 2]) for i in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def findings(df: DataFrame, rule_ids: list[str] | None = None, params: dict | None = None) -> DataFrame:

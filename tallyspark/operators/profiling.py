@@ -134,13 +134,14 @@ def column_stats(df: DataFrame, name: str) -> DataFrame:
         F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    fence = parts.select(F.struct("q1", "q3")).scalar()
-    reach = (fence["q3"] - fence["q1"]) * fv.IQR_FENCE
-    outside = long.agg(
-        F.count_if((F.col("value") < fence["q1"] - reach) | (F.col("value") > fence["q3"] + reach))
-    ).scalar()
-    return basics.join(parts, "column").select(
-        "column", "mean", "median", "std", "min", "max", "q1", "q3", outside.alias("outlier_count")
+    reach = (F.col("q3") - F.col("q1")) * fv.IQR_FENCE
+    outside = F.count_if((F.col("value") < F.col("q1") - reach) | (F.col("value") > F.col("q3") + reach))
+    outliers = (
+        long.join(F.broadcast(parts), "column")  # one row per column
+        .groupBy("column", "q1", "median", "q3").agg(outside.alias("outlier_count"))
+    )
+    return basics.join(outliers, "column").select(
+        "column", "mean", "median", "std", "min", "max", "q1", "q3", "outlier_count"
     )
 
 

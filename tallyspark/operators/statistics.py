@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyspark.functions import fixed_values as fv
 from tallyspark.functions.quantiles import exact_percentiles, melt
-from tallyspark.functions.values import exact_sum
+from tallyspark.functions.values import exact_mean, exact_sum
 from tallyspark.operators.ledger import params_with, with_values
 
 
@@ -41,31 +41,33 @@ def amount_moments(ledger: DataFrame) -> DataFrame:
     )
 
 
+def _long_rows(ledger: DataFrame) -> DataFrame:
+    """(row_index, column, value), so that statistics join their rows on the column name."""
+    return _amounts(ledger).select("row_index", "amount").unpivot("row_index", "amount", "column", "value")
+
+
 def zscore_outliers(ledger: DataFrame, params: dict | None = None) -> DataFrame:
     """Rows more than the given number of standard deviations from the mean."""
-    amounts = _amounts(ledger)
-    spread = amounts.agg(F.avg("amount").alias("mean"), F.stddev_samp("amount").alias("std")).select(
-        F.struct("mean", "std")
-    ).scalar()
-    z = F.try_divide(F.col("amount") - spread["mean"], spread["std"])
-    return amounts.select("row_index", "amount", z.alias("zscore")).filter(
-        F.abs("zscore") > params_with(params)["outlier_zscore_threshold"]
+    rows = _long_rows(ledger)
+    spread = rows.groupBy("column").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    z = F.try_divide(F.col("value") - F.col("mean"), F.col("std"))
+    return (
+        rows.join(F.broadcast(spread), "column")  # one row per column
+        .select("row_index", F.col("value").alias("amount"), z.alias("zscore"))
+        .filter(F.abs("zscore") > params_with(params)["outlier_zscore_threshold"])
     )
 
 
-def iqr_fences(ledger: DataFrame) -> DataFrame:
-    parts = exact_percentiles(melt(_amounts(ledger), ["amount"]), {"q1": 0.25, "q3": 0.75})
-    reach = (F.col("q3") - F.col("q1")) * fv.IQR_FENCE
-    return parts.select((F.col("q1") - reach).alias("lower_fence"), (F.col("q3") + reach).alias("upper_fence"))
-
-
 def iqr_outliers(ledger: DataFrame) -> DataFrame:
     """Rows outside the quartile fences, with the fences."""
-    fence = iqr_fences(ledger).select(F.struct("lower_fence", "upper_fence")).scalar()
-    return _amounts(ledger).filter(
-        (F.col("amount") < fence["lower_fence"]) | (F.col("amount") > fence["upper_fence"])
-    ).select(
-        "row_index", "amount", fence["lower_fence"].alias("lower_fence"), fence["upper_fence"].alias("upper_fence")
+    rows = _long_rows(ledger)
+    parts = exact_percentiles(rows.select("column", "value"), {"q1": 0.25, "q3": 0.75})
+    reach = (F.col("q3") - F.col("q1")) * fv.IQR_FENCE
+    fences = parts.select("column", (F.col("q1") - reach).alias("lower_fence"), (F.col("q3") + reach).alias("upper_fence"))
+    return (
+        rows.join(F.broadcast(fences), "column")  # one row per column
+        .filter((F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence")))
+        .select("row_index", F.col("value").alias("amount"), "lower_fence", "upper_fence")
     )
 
 
@@ -114,10 +116,10 @@ def vendor_spikes(ledger: DataFrame) -> DataFrame:
 def vendor_variance(ledger: DataFrame, n: int = fv.TOP_VENDORS) -> DataFrame:
     """Mean amount of a vendor against the overall mean, for the vendors with the highest means."""
     known = with_values(ledger, ["vendor", "amount"])
-    overall = known.agg(F.avg("amount")).scalar()
+    overall = known.agg(exact_mean(F.col("amount"))).scalar()
     deviation = F.coalesce(F.try_divide(F.col("vendor_mean") - F.col("overall_mean"), F.col("overall_mean")), F.lit(0.0))
     return (
-        known.groupBy("vendor").agg(F.avg("amount").alias("vendor_mean"))
+        known.groupBy("vendor").agg(exact_mean(F.col("amount")).alias("vendor_mean"))
         .orderBy(F.desc("vendor_mean"), "vendor").limit(n)
         .withColumn("overall_mean", overall)
         .withColumn("deviation_pct", deviation * 100)
@@ -131,7 +133,7 @@ def vendor_summary(ledger: DataFrame, vendor: str | None = None) -> DataFrame:
         rows = rows.filter(F.col("vendor") == str(vendor))
     return rows.groupBy("vendor").agg(
         F.count(F.lit(1)).alias("transaction_count"),
-        exact_sum(F.col("amount")).cast("double").alias("total_spend"),
-        F.avg("amount").alias("avg_amount"), F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount"),
+        exact_sum(F.col("amount")).cast("double").alias("total_spend"), exact_mean(F.col("amount")).alias("avg_amount"),
+        F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"),
     )

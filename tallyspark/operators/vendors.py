@@ -42,7 +42,7 @@ def new_vendor_rows(ledger: DataFrame, params: dict | None = None) -> DataFrame:
     vendors = (
         complete.groupBy("vendor")
         .agg(F.min("date").alias("_first_date"), F.count_if(high).alias("_n"))
-        .filter(F.col("_n") > 0)
+        .filter((F.col("_n") > 0) & F.col("_first_date").isNotNull())
     )
     hits = salted_join(
         complete.filter(high), vendors.select("vendor", "_first_date"), ["vendor"], vendors, "_n", F.col("row_index")

@@ -99,7 +99,7 @@ _on(
     canonicalize="""SELECT row_index, invoice_no AS inv_no, vendor AS vendor_name, amount AS amount, date AS transaction_date,
       entry_date, vendor, date, invoice_no FROM ledger""",
     vendor_summary="""SELECT vendor, count(*) AS transaction_count, CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) AS total_spend,
-      round(avg(amount), 4) AS avg_amount, min(amount) AS min_amount, max(amount) AS max_amount,
+      round(CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) / count(amount), 4) AS avg_amount, min(amount) AS min_amount, max(amount) AS max_amount,
       min(date) AS first_date, max(date) AS last_date FROM ledger WHERE vendor IS NOT NULL GROUP BY vendor""",
     column_top_values="""SELECT vendor AS value, count(*) AS n, (SELECT count(DISTINCT vendor) FROM ledger) AS unique_count
       FROM ledger WHERE vendor IS NOT NULL GROUP BY vendor ORDER BY n DESC, value LIMIT 5""",
@@ -340,9 +340,10 @@ trend AS (SELECT vendor, month, total, (total - before) / before * 100 AS pct_ch
     top_vendors="SELECT * FROM top",
     vendor_trend="SELECT vendor, month, total, round(pct_change, 4) AS pct_change FROM trend",
     vendor_spikes="SELECT vendor, month, round(pct_change, 4) AS pct_change FROM trend WHERE abs(pct_change) > 50",
-    vendor_variance="""SELECT vendor, round(avg(amount), 4) AS vendor_mean, round(any_value(o.m), 4) AS overall_mean,
-      round((avg(amount) - any_value(o.m)) / any_value(o.m) * 100, 4) AS deviation_pct
-      FROM known, (SELECT avg(amount) AS m FROM known) o GROUP BY vendor ORDER BY avg(amount) DESC, vendor LIMIT 50""",
+    vendor_variance=""", means AS (SELECT vendor, CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) / count(*) AS m FROM known GROUP BY vendor),
+      overall AS (SELECT CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) / count(*) AS o FROM known)
+      SELECT vendor, round(m, 4) AS vendor_mean, round(o, 4) AS overall_mean, round((m - o) / o * 100, 4) AS deviation_pct
+      FROM means, overall ORDER BY m DESC, vendor LIMIT 50""",
 )
 
 # --- findings and reviews

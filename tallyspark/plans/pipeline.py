@@ -24,6 +24,7 @@ class AuditRun:
     error: str | None
     cleaning_log: DataFrame
     row_count: int
+    folder: str
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
     @property
@@ -34,6 +35,10 @@ class AuditRun:
     def finding_rows(self) -> DataFrame | None:
         return self.tables.get("finding_rows")
 
+    def discard(self) -> None:
+        """Remove the intermediate tables; the DataFrames of this run cannot be read afterwards."""
+        store.remove_folder(self.ledger.sparkSession, self.folder)
+
 
 def run_audit(
     spark: SparkSession,
@@ -68,7 +73,7 @@ def run_audit(
         "dataset_id string, row_count bigint, column_count int, role_count int",
     )
     error = schema.quality_gate(sizes).first()["error"]
-    run = AuditRun(dataset_id, ledger, roles, error, cleaned.log, row_count)
+    run = AuditRun(dataset_id, ledger, roles, error, cleaned.log, row_count, folder)
     source_columns = ledger.select("row_index", *[F.col(f"`{c}`") for c in ledger.columns if c in cleaned.ledger.columns and c != "row_index"])
     columns = profiling.profile_columns(source_columns)
     run.tables |= {

@@ -6,6 +6,8 @@ duplicates or repeated postings.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = [
@@ -92,14 +94,16 @@ columns_of AS (
  FROM named)"""
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; kept per session so its schema is read once."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def query(spark: SparkSession, sf_dir: str, ctes: str, select: str) -> DataFrame:
     """Run `WITH ctes select` over the tables it names."""
     for name in TABLES:
-        if name in ctes or name in select:
+        if f" {name}" in ctes:
             table(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(f"WITH {ctes} {select}")
 

@@ -7,10 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-TABLES = [
-    "ledger", "profile_columns", "profile_samples", "profile_numeric", "profile_dates", "mapping",
-    "amount_summary", "vendor_trend", "vendor_variance", "cleaning_log", "findings", "finding_rows",
-]
 DELETED = "deleted_datasets"
 
 
@@ -27,6 +23,12 @@ def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder on whatever file system it lives."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_partition(df: DataFrame, root: str, table: str, dataset_id: str) -> None:
     """Replace this dataset's partition of a table and leave the others alone."""
     (
@@ -63,6 +65,12 @@ def delete_datasets(dataset_ids: DataFrame, root: str) -> None:
     append(dataset_ids.select(F.col("dataset_id").cast("string")).distinct(), root, DELETED)
 
 
+def purge_dataset(spark: SparkSession, root: str, dataset_id: str, tables: list[str]) -> None:
+    """Remove the files of one dataset from the named tables; a folder each, whatever its size."""
+    for table in tables:
+        remove_folder(spark, f"{root}/{table}/dataset_id={dataset_id}")
+
+
 def without_datasets(df: DataFrame, deleted: DataFrame) -> DataFrame:
     return df.join(deleted.select("dataset_id").distinct(), "dataset_id", "left_anti")
 
