@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tallyspark.functions.names import col
+
 _STEPS = 10  # 2**10 value ranges per column
 _CUTS = 2**_STEPS - 1
 
 
 def melt(df: DataFrame, columns: list[str], name: str = "column", value: str = "value") -> DataFrame:
     """Columns of one type to (column, value) rows."""
-    return df.select(*[F.col(f"`{c}`") for c in columns]).unpivot([], columns, name, value)
+    return df.unpivot([], [col(c) for c in columns], name, value)
 
 
 def _cut_shares() -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.operators import cleaning, findings as fnd, profiling, reports, schema, scoring, statistics
 from tallyspark.operators.ledger import narrow, params_with
@@ -52,7 +52,7 @@ def run_audit(
 ) -> AuditRun:
     """Audit a CSV path or an all-text DataFrame with `row_index`.
 
-    The raw, distinct and canonical ledgers are each written once to the shared
+    The raw, distinct and typed ledgers are each written once to the shared
     scratch folder: later steps read columns of a Parquet table instead of repeating
     the work before, and a lost executor costs one task, not the whole lineage.
     `mapping` overrides the inferred roles, also on a rerun.
@@ -63,10 +63,10 @@ def run_audit(
     raw = read_csv_ledger(spark, source, multi_line) if isinstance(source, str) else source
     raw = stage(raw, "raw_text")
     cleaned = cleaning.clean(raw, stage, compat)
-    typed = dense_row_index(cleaned.ledger)
+    typed = stage(dense_row_index(cleaned.ledger), "typed")
     roles = mapping if mapping is not None else schema.infer_mapping(typed, dataset_id)
-    ledger = stage(schema.apply_mapping(typed, roles), "ledger")
-    row_count = ledger.count()
+    ledger = schema.apply_mapping(typed, roles)
+    row_count = typed.count()
 
     sizes = spark.createDataFrame(
         [(dataset_id, row_count, len(data_columns(ledger)), len(roles))],
@@ -74,13 +74,12 @@ def run_audit(
     )
     error = schema.quality_gate(sizes).first()["error"]
     run = AuditRun(dataset_id, ledger, roles, error, cleaned.log, row_count, folder)
-    source_columns = ledger.select("row_index", *[F.col(f"`{c}`") for c in ledger.columns if c in cleaned.ledger.columns and c != "row_index"])
-    columns = profiling.profile_columns(source_columns)
+    columns = profiling.profile_columns(typed)
     run.tables |= {
         "profile_columns": columns,
-        "profile_samples": profiling.profile_samples(source_columns),
-        "profile_numeric": profiling.profile_numeric(source_columns),
-        "profile_dates": profiling.profile_dates(source_columns),
+        "profile_samples": profiling.profile_samples(typed),
+        "profile_numeric": profiling.profile_numeric(typed),
+        "profile_dates": profiling.profile_dates(typed),
         "profile_dataset": profiling.profile_dataset(columns),
     }
     if error:
