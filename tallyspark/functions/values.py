@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyspark.functions import fixed_values as fv
 
-_EDGE_SPACE = r"[\s\x1c-\x1f]+"
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _MONTH_NAME = (
     "(?i)(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|"
@@ -17,27 +16,34 @@ _MONTH_NAME = (
 
 
 def strip_text(c: Column) -> Column:
-    """Remove all Unicode white space at both ends (`trim` knows only blanks)."""
-    return F.regexp_replace(F.regexp_replace(c, f"(?U)^{_EDGE_SPACE}", ""), f"(?U){_EDGE_SPACE}$", "")
+    """Remove all Unicode white space at both ends (`trim` alone knows only blanks)."""
+    return F.btrim(c, F.lit(fv.WHITE_SPACE))
 
 
 def guard_formula(c: Column) -> Column:
     """Prefix a quote to a cell that a spreadsheet would run as a formula."""
-    return F.when(F.substring(c, 1, 1).isin(fv.FORMULA_PREFIXES), F.concat(F.lit("'"), c)).otherwise(c)
+    quote = F.when(F.substring(c, 1, 1).isin(fv.FORMULA_PREFIXES), "'").otherwise("")
+    return F.concat(quote, c)
 
 
 def is_null_token(c: Column) -> Column:
-    return F.coalesce(F.lower(strip_text(c)).isin(fv.CLEAN_NULL_TOKENS), F.lit(False))
+    """For a stripped cell; false where it is already NULL."""
+    return F.coalesce(F.lower(c).isin(fv.CLEAN_NULL_TOKENS), F.lit(False))
 
 
 def looks_numeric(c: Column) -> Column:
     return strip_text(c).rlike(fv.NUMERIC_PATTERN)
 
 
+def looks_date(c: Column) -> Column:
+    """Parses as a date; no number does, so numbers are not tried."""
+    return F.when(looks_numeric(c), False).otherwise(parse_date(c).isNotNull())
+
+
 def parse_number(c: Column) -> Column:
     """Money text to double: `($5)` is negative, `$ , %` are dropped, the rest is NULL."""
     s = strip_text(c)
-    bare = strip_text(F.regexp_replace(F.regexp_replace(s, r"^[()]+|[()]+$", ""), r"[$,%]", ""))
+    bare = strip_text(F.translate(F.btrim(s, F.lit("()")), "$,%", ""))
     number = F.when(bare.rlike(fv.PLAIN_FLOAT_PATTERN), bare.try_cast("double"))
     return F.when(s.startswith("(") & s.endswith(")"), -number).otherwise(number)
 
@@ -60,7 +66,8 @@ def parse_date(c: Column) -> Column:
             "-", F.regexp_extract(s, pattern, year), number.cast("string"), F.regexp_extract(s, pattern, day)
         ).try_cast("timestamp_ntz")
 
-    return (
+    return F.when(
+        F.length(s) <= 40,
         F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T ].*)?$"), s.try_cast("timestamp_ntz"))
         .when(
             s.rlike(slash),
@@ -71,7 +78,7 @@ def parse_date(c: Column) -> Column:
         )
         .when(s.rlike(r"^\d{4}/\d{1,2}/\d{1,2}( .*)?$"), F.regexp_replace(s, "/", "-").try_cast("timestamp_ntz"))
         .when(s.rlike(day_name), named(day_name, 2, 1, 3))
-        .when(s.rlike(name_day), named(name_day, 1, 2, 3))
+        .when(s.rlike(name_day), named(name_day, 1, 2, 3)),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyspark.functions import fixed_values as fv
 from tallyspark.functions.names import ROW_INDEX, col, data_columns, text_columns
 from tallyspark.functions.values import (
-    guard_formula, is_null_token, looks_numeric, parse_date, parse_number, strip_text,
+    guard_formula, is_null_token, looks_date, looks_numeric, parse_date, parse_number, strip_text,
 )
 
 
@@ -62,7 +62,7 @@ def type_votes(df: DataFrame) -> DataFrame:
         F.struct(
             F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.count(col(c)).alias("non_null"),
             F.avg(F.when(col(c).isNotNull(), looks_numeric(col(c)).cast("double"))).alias("numeric_share"),
-            F.avg(F.when(col(c).isNotNull(), parse_date(col(c)).isNotNull().cast("double"))).alias("date_share"),
+            F.avg(F.when(col(c).isNotNull(), looks_date(col(c)).cast("double"))).alias("date_share"),
         )
         for i, c in enumerate(data_columns(df))
         if c in text_columns(df)

@@ -191,29 +191,28 @@ def missing_numbers(ledger: DataFrame) -> DataFrame:
     numbers = invoice_numbers(ledger)
     n = F.col("number")
 
-    def mark(value: Column, present: int, opens: int, closes: int) -> Column:
-        return F.struct(
-            value.cast("decimal(38,0)").alias("number"), F.lit(present).alias("present"),
-            F.lit(opens).alias("opens"), F.lit(closes).alias("closes"),
-        )
+    present, opens, closes = 1, 2, 4
+
+    def mark(value: Column, flag: int) -> Column:
+        return F.struct(value.cast("decimal(38,0)").alias("number"), F.lit(flag).alias("flag"))
 
     edges = (
-        numbers.select(F.explode(F.array(mark(n, 1, 0, 0), mark(n + 1, 0, 1, 0), mark(n - 1, 0, 0, 1))).alias("m"))
-        .groupBy("m.number")
-        .agg(F.max("m.present").alias("present"), F.max("m.opens").alias("opens"), F.max("m.closes").alias("closes"))
-        .filter(F.col("present") == 0)
+        numbers.select(F.explode(F.array(mark(n, present), mark(n + 1, opens), mark(n - 1, closes))).alias("m"))
+        .groupBy("m.number").agg(F.bit_or("m.flag").alias("flags"))
+        .filter(F.col("flags").bitwiseAND(present) == 0)
     )
     bounds = sequential_gap(ledger).select(F.struct("first_number", "last_number")).scalar()
 
-    def first_edges(flag: str, name: str) -> DataFrame:
+    def first_edges(flag: int, name: str) -> DataFrame:
         inner = edges.filter(
-            (F.col(flag) == 1) & (F.col("number") > bounds["first_number"]) & (F.col("number") < bounds["last_number"])
+            (F.col("flags").bitwiseAND(flag) > 0)
+            & (F.col("number") > bounds["first_number"]) & (F.col("number") < bounds["last_number"])
         )
         smallest = inner.orderBy("number").limit(size).agg(F.sort_array(F.collect_list("number")).alias("_all"))
         return smallest.select(F.posexplode("_all").alias("hole", name))
 
     return (
-        first_edges("opens", "start").join(first_edges("closes", "end"), "hole")
+        first_edges(opens, "start").join(first_edges(closes, "end"), "hole")
         .select("end", "start", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("_step"))
         .select((F.col("start") + F.col("_step")).cast("decimal(38,0)").alias("missing_number"), "end")
         .filter(F.col("missing_number") <= F.col("end"))

@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyspark.functions import fixed_values as fv
 from tallyspark.functions.names import col, data_columns
-from tallyspark.functions.values import column_kind
-
-
-def keyword_table(spark: SparkSession) -> DataFrame:
-    """(role, role_order, required_type, keyword, keyword_order); a fixed table of about 30 rows."""
-    rows = [
-        (role, i, fv.ROLE_TYPES[role], word, j)
-        for i, (role, words) in enumerate(fv.ROLE_KEYWORDS.items())
-        for j, word in enumerate(words)
-    ]
-    return spark.createDataFrame(
-        rows, "role string, role_order int, required_type string, keyword string, keyword_order int"
-    )
+from tallyspark.functions.values import column_kind, strip_text
 
 
 def role_candidates(columns: DataFrame) -> DataFrame:
@@ -26,21 +14,24 @@ def role_candidates(columns: DataFrame) -> DataFrame:
 
     `columns` holds dataset_id, column, ordinal and type. Only the first matching
     keyword of a role counts: 100 less the difference in length, 50 more if equal.
+    The keywords are constants of one projection, so nothing is joined or shuffled.
     """
-    words = F.broadcast(keyword_table(columns.sparkSession))
-    name = F.replace(F.lower(F.trim("column")), F.lit(" "), F.lit("_"))
-    first = F.min(F.struct("keyword_order", "keyword"))
-    length_gap = F.abs(F.length("_name") - F.length("keyword"))
+    name = F.col("_name")
+
+    def candidate(order: int, role: str) -> Column:
+        word = F.coalesce(*[F.when(F.contains(name, F.lit(w)), w) for w in fv.ROLE_KEYWORDS[role]])
+        score = 100 - F.abs(F.length(name) - F.length(word)) + F.when(name == word, 50).otherwise(0)
+        needs = fv.ROLE_TYPES[role]
+        fits = word.isNotNull() if needs is None else word.isNotNull() & (F.col("type") == needs)
+        return F.when(fits, F.struct(
+            F.lit(role).alias("role"), F.lit(order).alias("role_order"), word.alias("keyword"), score.alias("score")
+        ))
+
+    found = F.array_compact(F.array(*[candidate(i, role) for i, role in enumerate(fv.ROLE_KEYWORDS)]))
     return (
-        columns.withColumn("_name", name)
-        .join(words, F.contains("_name", "keyword") & (F.col("required_type").isNull() | (F.col("required_type") == F.col("type"))))
-        .groupBy("dataset_id", "column", "ordinal", "_name", "role", "role_order")
-        .agg(first.alias("_first"))
-        .withColumn("keyword", F.col("_first.keyword"))
-        .select(
-            "dataset_id", "role", "role_order", "column", "ordinal", "keyword",
-            (100 - length_gap + F.when(F.col("_name") == F.col("keyword"), 50).otherwise(0)).alias("score"),
-        )
+        columns.withColumn("_name", F.replace(F.lower(strip_text(F.col("column"))), F.lit(" "), F.lit("_")))
+        .select("dataset_id", "column", "ordinal", F.explode(found).alias("_c"))
+        .select("dataset_id", "_c.role", "_c.role_order", "column", "ordinal", "_c.keyword", "_c.score")
     )
 
 

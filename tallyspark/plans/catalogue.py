@@ -231,7 +231,7 @@ def rule_duplicate_payment(spark, sf):
 
 @registered
 def rule_sequential_gap(spark, sf):
-    gap = _rounded(duplicates.sequential_gap(_narrow(spark, sf)), 6, "gap_pct")
+    gap = duplicates.sequential_gap(_narrow(spark, sf))
     whole = ["first_number", "last_number", "actual_count", "expected_count", "missing_count"]
     return gap.select(*[F.col(c).cast("bigint").alias(c) for c in whole], "gap_pct")
 
@@ -310,7 +310,7 @@ def rule_new_vendor_high_value(spark, sf):
 
 @registered
 def rule_vendor_concentration(spark, sf):
-    return _rounded(vendors.vendor_concentration(_narrow(spark, sf)), 4, "vendor_spend", "total_spend", "concentration_pct")
+    return vendors.vendor_concentration(_narrow(spark, sf))
 
 
 @registered
@@ -351,7 +351,7 @@ def outliers_zscore(spark, sf):
 
 @registered
 def outliers_iqr(spark, sf):
-    return _rounded(statistics.iqr_outliers(_narrow(spark, sf)), 4, "lower_fence", "upper_fence")
+    return _rounded(statistics.iqr_outliers(_narrow(spark, sf)), 6, "lower_fence", "upper_fence")
 
 
 @registered
@@ -366,17 +366,17 @@ def top_vendors(spark, sf):
 
 @registered
 def vendor_trend(spark, sf):
-    return _rounded(statistics.vendor_trend(_narrow(spark, sf)), 4, "pct_change")
+    return statistics.vendor_trend(_narrow(spark, sf))
 
 
 @registered
 def vendor_spikes(spark, sf):
-    return _rounded(statistics.vendor_spikes(_narrow(spark, sf)), 4, "pct_change")
+    return statistics.vendor_spikes(_narrow(spark, sf))
 
 
 @registered
 def vendor_variance(spark, sf):
-    return _rounded(statistics.vendor_variance(_narrow(spark, sf)), 4, "vendor_mean", "overall_mean", "deviation_pct")
+    return statistics.vendor_variance(_narrow(spark, sf))
 
 
 # --- scores
@@ -521,14 +521,13 @@ def sql_limit(spark, sf):
 
 @registered
 def vendor_summary(spark, sf):
-    return _rounded(statistics.vendor_summary(_narrow(spark, sf)), 4, "avg_amount")
+    return statistics.vendor_summary(_narrow(spark, sf))
 
 
 @registered
 def column_stats(spark, sf):
-    return _rounded(
-        profiling.column_stats(data.table(spark, sf, "lineitem"), "l_extendedprice"), 4, "mean", "median", "std", "q1", "q3"
-    )
+    stats = profiling.column_stats(data.table(spark, sf, "lineitem"), "l_extendedprice")
+    return _rounded(_rounded(stats, 4, "mean", "std"), 6, "median", "q1", "q3")
 
 
 @registered

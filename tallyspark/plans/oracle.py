@@ -73,7 +73,7 @@ def _per_column(template: str, names: list[str]) -> str:
 
 PROFILE = LEDGER + ", prof AS (" + _per_column(
     "SELECT {i} AS ordinal, '{c}' AS \"column\", '{t}' AS type, count(*) AS row_count, count(*) - count({c}) AS null_count, "
-    "round((count(*) - count({c})) * 100.0 / count(*), 2) AS null_pct, count(DISTINCT {c}) AS unique_count FROM ledger", ROLES
+    "round((count(*) - count({c})) / count(*) * 100, 2) AS null_pct, count(DISTINCT {c}) AS unique_count FROM ledger", ROLES
 ) + "), samples AS (" + _per_column(
     "SELECT * FROM (SELECT '{c}' AS \"column\", row_number() OVER (ORDER BY row_index) AS position, CAST({c} AS VARCHAR) AS value "
     "FROM ledger WHERE {c} IS NOT NULL) WHERE position <= 5", ROLES
@@ -90,7 +90,7 @@ _on(
         "SELECT '{c}' AS \"column\", min({c}) AS min_date, max({c}) AS max_date FROM ledger", ["date", "entry_date", "timestamp"]
     ),
     profile_dataset="""SELECT max(row_count) AS row_count, count(*) AS column_count,
-      round(100 - sum(null_count) * 100.0 / sum(row_count), 2) AS completeness_pct FROM prof""",
+      round(100 - sum(null_count) / sum(row_count) * 100, 2) AS completeness_pct FROM prof""",
     quality_summary="""SELECT sum(null_count)::BIGINT AS total_nulls, count(*) FILTER (null_count > 0) AS columns_with_nulls,
       max(null_pct) AS highest_null_pct FROM prof""",
     schema_digest="""SELECT ordinal, "column", '- ' || "column" || ' (' || type || '), examples: [' ||
@@ -99,7 +99,7 @@ _on(
     canonicalize="""SELECT row_index, invoice_no AS inv_no, vendor AS vendor_name, amount AS amount, date AS transaction_date,
       entry_date, vendor, date, invoice_no FROM ledger""",
     vendor_summary="""SELECT vendor, count(*) AS transaction_count, CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) AS total_spend,
-      round(CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) / count(amount), 4) AS avg_amount, min(amount) AS min_amount, max(amount) AS max_amount,
+      CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) / count(amount) AS avg_amount, min(amount) AS min_amount, max(amount) AS max_amount,
       min(date) AS first_date, max(date) AS last_date FROM ledger WHERE vendor IS NOT NULL GROUP BY vendor""",
     column_top_values="""SELECT vendor AS value, count(*) AS n, (SELECT count(DISTINCT vendor) FROM ledger) AS unique_count
       FROM ledger WHERE vendor IS NOT NULL GROUP BY vendor ORDER BY n DESC, value LIMIT 5""",
@@ -111,9 +111,9 @@ _on(LEDGER, sql_group=SQL_GROUP.replace("dataset", "ledger"))
 _on(LEDGER, sql_cte=", " + SQL_CTE.removeprefix("WITH ").replace("dataset", "ledger"))
 ORACLE_SQL["column_stats"] = """
 WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem)
-SELECT 'l_extendedprice' AS "column", round(avg(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median,
+SELECT 'l_extendedprice' AS "column", round(avg(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 6) AS median,
  round(stddev_samp(l_extendedprice), 4) AS std, min(l_extendedprice) AS min, max(l_extendedprice) AS max,
- round(any_value(q1), 4) AS q1, round(any_value(q3), 4) AS q3,
+ round(any_value(q1), 6) AS q1, round(any_value(q3), 6) AS q3,
  count(*) FILTER (l_extendedprice < q1 - 1.5 * (q3 - q1) OR l_extendedprice > q3 + 1.5 * (q3 - q1)) AS outlier_count
 FROM lineitem, q"""
 
@@ -165,14 +165,14 @@ pairs AS (SELECT a.vendor, a.amount, a.row_index AS row_a, b.row_index AS row_b,
 numbers AS (SELECT DISTINCT CAST(regexp_extract(invoice_no, '[0-9]+') AS BIGINT) AS n FROM ledger WHERE invoice_no IS NOT NULL),
 gap AS (SELECT min(n) AS first_number, max(n) AS last_number, count(*) AS actual_count, max(n) - min(n) + 1 AS expected_count,
    max(n) - min(n) + 1 - count(*) AS missing_count,
-   (max(n) - min(n) + 1 - count(*)) * 100.0 / (max(n) - min(n) + 1) AS gap_pct FROM numbers),
+   CAST(max(n) - min(n) + 1 - count(*) AS DOUBLE) / (max(n) - min(n) + 1) * 100 AS gap_pct FROM numbers),
 splits AS (SELECT vendor, date, count(*) AS transaction_count, CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) AS total_amount
   FROM ledger WHERE vendor IS NOT NULL AND amount IS NOT NULL GROUP BY vendor, date
   HAVING count(*) >= 2 AND sum(CAST(amount AS DECIMAL(28,6))) > 50000 AND sum(CAST(amount AS DECIMAL(28,6))) % 1 = 0),
 digits AS (SELECT CAST(regexp_extract(CAST(abs(amount) AS VARCHAR), '[1-9]') AS INT) AS d FROM ledger WHERE abs(amount) > 0),
 digit_share AS (SELECT r.d AS digit, (SELECT count(*) FROM digits x WHERE x.d = r.d) AS observed,
    (SELECT count(*) FROM digits) AS n, log10(1 + 1.0 / r.d) AS share FROM (SELECT unnest(range(1, 10)) AS d) r),
-digit_table AS (SELECT digit, observed, n, n * share AS expected, round(observed * 100.0 / n, 2) AS observed_pct,
+digit_table AS (SELECT digit, observed, n, n * share AS expected, round(observed / n * 100, 2) AS observed_pct,
    round(share * 100, 2) AS expected_pct FROM digit_share),
 benford AS (SELECT max(n) AS sample_size, sum((observed - expected) ** 2 / expected) AS chi FROM digit_table),
 worst AS (SELECT digit, observed, observed_pct, expected_pct FROM digit_table ORDER BY round(observed_pct - expected_pct, 2) DESC, digit LIMIT 1),
@@ -185,10 +185,10 @@ dormant AS (SELECT * FROM gaps WHERE days > 180),
 seen AS (SELECT *, date_sub('day', min(date) OVER (PARTITION BY vendor), date) AS days FROM ledger
    WHERE vendor IS NOT NULL AND amount IS NOT NULL),
 fresh AS (SELECT * FROM seen WHERE days <= 30 AND abs(amount) > 10000),
-spend AS (SELECT vendor, CAST(sum(CAST(abs(amount) AS DECIMAL(28,6))) AS DOUBLE) AS vendor_spend FROM ledger
+spend AS (SELECT vendor, sum(CAST(abs(amount) AS DECIMAL(28,6))) AS exact FROM ledger
    WHERE vendor IS NOT NULL AND amount IS NOT NULL GROUP BY vendor),
-shares AS (SELECT vendor, vendor_spend, (SELECT sum(vendor_spend) FROM spend) AS total_spend,
-   vendor_spend / (SELECT sum(vendor_spend) FROM spend) * 100 AS concentration_pct FROM spend),
+shares AS (SELECT *, vendor_spend / total_spend * 100 AS concentration_pct FROM (SELECT vendor, CAST(exact AS DOUBLE) AS vendor_spend,
+   (SELECT CAST(sum(exact) AS DOUBLE) FROM spend) AS total_spend FROM spend)),
 heavy AS (SELECT * FROM shares WHERE concentration_pct > 40),
 missing AS (SELECT *, concat_ws(',', CASE WHEN vendor IS NULL THEN 'vendor' END, CASE WHEN amount IS NULL THEN 'amount' END,
    CASE WHEN date IS NULL THEN 'date' END, CASE WHEN invoice_no IS NULL THEN 'invoice_no' END) AS fields FROM ledger
@@ -204,8 +204,7 @@ _on(
     HITS,
     rule_duplicate_invoice="SELECT * FROM invoice_groups",
     rule_duplicate_payment="SELECT vendor, amount, row_a, row_b, CAST(days_apart AS INT) AS days_apart FROM pairs",
-    rule_sequential_gap="""SELECT first_number, last_number, actual_count, expected_count, missing_count,
-      round(gap_pct, 6) AS gap_pct FROM gap WHERE actual_count >= 10 AND gap_pct > 5""",
+    rule_sequential_gap="""SELECT first_number, last_number, actual_count, expected_count, missing_count, gap_pct FROM gap WHERE actual_count >= 10 AND gap_pct > 5""",
     sequential_gap_missing="""SELECT m.n AS missing_number FROM (SELECT unnest(range(first_number, last_number)) AS n FROM gap) m
       WHERE NOT EXISTS (SELECT 1 FROM numbers x WHERE x.n = m.n) ORDER BY m.n LIMIT 25""",
     rule_missing_required_field="SELECT row_index, fields AS missing_fields FROM missing",
@@ -222,8 +221,7 @@ _on(
     benford_evidence="SELECT row_index, amount FROM evidence",
     rule_dormant_vendor="SELECT row_index, vendor, date, CAST(days AS INT) AS days FROM dormant",
     rule_new_vendor_high_value="SELECT row_index, vendor, amount, CAST(days AS INT) AS days FROM fresh",
-    rule_vendor_concentration="""SELECT vendor, round(vendor_spend, 4) AS vendor_spend, round(total_spend, 4) AS total_spend,
-      round(concentration_pct, 4) AS concentration_pct FROM heavy""",
+    rule_vendor_concentration="SELECT vendor, vendor_spend, total_spend, concentration_pct FROM heavy",
     persist_findings="""SELECT d.dataset_id, f.rule_id, 'PENDING' AS status, f.n_findings, f.n_rows FROM (
         SELECT 'DUPLICATE_INVOICE' AS rule_id, count(*) AS n_findings, sum(duplicate_count)::BIGINT AS n_rows FROM invoice_groups
         UNION ALL SELECT 'THRESHOLD_BREACH', 1, count(*) FROM breaches
@@ -334,15 +332,15 @@ trend AS (SELECT vendor, month, total, (total - before) / before * 100 AS pct_ch
     stats_moments="SELECT round(skewness(amount), 6) AS skewness, round(kurtosis(amount), 6) AS kurtosis FROM money",
     outliers_zscore="""SELECT row_index, amount, round((amount - mean) / std, 6) AS zscore FROM money, spread
       WHERE abs((amount - mean) / std) > 3""",
-    outliers_iqr="""SELECT row_index, amount, round(lower_fence, 4) AS lower_fence, round(upper_fence, 4) AS upper_fence
+    outliers_iqr="""SELECT row_index, amount, round(lower_fence, 6) AS lower_fence, round(upper_fence, 6) AS upper_fence
       FROM money, fence WHERE amount < lower_fence OR amount > upper_fence""",
     vendor_monthly="SELECT * FROM monthly",
     top_vendors="SELECT * FROM top",
-    vendor_trend="SELECT vendor, month, total, round(pct_change, 4) AS pct_change FROM trend",
-    vendor_spikes="SELECT vendor, month, round(pct_change, 4) AS pct_change FROM trend WHERE abs(pct_change) > 50",
+    vendor_trend="SELECT vendor, month, total, pct_change FROM trend",
+    vendor_spikes="SELECT vendor, month, pct_change FROM trend WHERE abs(pct_change) > 50",
     vendor_variance=""", means AS (SELECT vendor, CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) / count(*) AS m FROM known GROUP BY vendor),
       overall AS (SELECT CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) / count(*) AS o FROM known)
-      SELECT vendor, round(m, 4) AS vendor_mean, round(o, 4) AS overall_mean, round((m - o) / o * 100, 4) AS deviation_pct
+      SELECT vendor, m AS vendor_mean, o AS overall_mean, (m - o) / o * 100 AS deviation_pct
       FROM means, overall ORDER BY m DESC, vendor LIMIT 50""",
 )
 
