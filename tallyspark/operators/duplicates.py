@@ -43,6 +43,17 @@ def _payments(ledger: DataFrame) -> DataFrame:
     )
 
 
+def repeated_payments(ledger: DataFrame) -> DataFrame:
+    """Payments whose vendor and amount occur more than once; no other payment can have a partner.
+
+    In most ledgers this leaves a small share of the rows for all that follows.
+    """
+    payments = _payments(ledger)
+    key = ["vendor", "amount"]
+    repeated = payments.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    return salted_join(payments, repeated, key, repeated, "_n", F.col("row_index")).drop("_n")
+
+
 CELL_KEYS = ["vendor", "amount", "date", "invoice_key"]
 
 
@@ -106,14 +117,17 @@ def _suffixed(side: str) -> list[Column]:
     ]
 
 
-def duplicate_payments(ledger: DataFrame, params: dict | None = None) -> DataFrame:
+def duplicate_payments(ledger: DataFrame, params: dict | None = None, stage=None) -> DataFrame:
     """Every pair of payments of one vendor and amount within the window, unless both carry the same invoice.
 
     Equal payments are first folded into cells, so copies of one invoice are never
     compared with each other; only cells of more than one row are unfolded again.
+    `stage(df, name)`, if given, writes the repeated payments once for all steps.
     """
     window_days = int(params_with(params)["duplicate_payment_window_days"])
-    payments = _payments(ledger)
+    payments = repeated_payments(ledger)
+    if stage:
+        payments = stage(payments, "repeated_payments")
     cells = _cells(payments)
     own = cells.filter((F.col("n") > 1) & (F.col("invoice_key") == "-")).select(
         "vendor", "amount", F.col("cell").alias("cell_a"), F.col("n").alias("n_a"), F.col("date").alias("date_a"),
@@ -122,7 +136,7 @@ def duplicate_payments(ledger: DataFrame, params: dict | None = None) -> DataFra
     )
     pairs = _cell_pairs(cells, window_days).unionByName(own)
 
-    folded = cells.filter(F.col("n") > 1)
+    folded = cells.filter((F.col("n") > 1) & F.col("cell").isNotNull())
     members = salted_join(
         payments, folded.select(*CELL_KEYS, "cell"), CELL_KEYS, folded, "n", F.col("row_index")
     ).select("cell", "row_index")

@@ -116,10 +116,10 @@ def _duplicate_invoice(ledger: DataFrame, p: dict) -> DataFrame:
     )
 
 
-def _duplicate_payment(ledger: DataFrame, p: dict) -> DataFrame:
+def _duplicate_payment(pairs: DataFrame, p: dict) -> DataFrame:
     c = F.col
     return _finding(
-        duplicates.duplicate_payments(ledger, p), "DUPLICATE_PAYMENT",
+        pairs, "DUPLICATE_PAYMENT",
         n_rows=F.lit(2), key=_pair_key(),
         metrics={n: c(n) for n in ("vendor", "amount", "days_apart")},
         seq={"text1": c("vendor"), "number": c("amount"), "at": c("date_a"), "row_a": c("row_a"),
@@ -303,7 +303,6 @@ def _concentration(ledger: DataFrame, p: dict) -> DataFrame:
 
 GROUP_RULES = {
     "DUPLICATE_INVOICE": _duplicate_invoice,
-    "DUPLICATE_PAYMENT": _duplicate_payment,
     "SEQUENTIAL_GAP": _sequential_gap,
     "SPLIT_TRANSACTION": _split_transaction,
     "BENFORDS_LAW": _benford,
@@ -325,17 +324,32 @@ def _stacked(parts: list[DataFrame], df: DataFrame, schema: str) -> DataFrame:
     return parts[0]
 
 
-def findings(df: DataFrame, rule_ids: list[str] | None = None, params: dict | None = None) -> DataFrame:
+def payment_pairs(df: DataFrame, rule_ids: list[str] | None = None, params: dict | None = None, stage=None):
+    """Pairs for `findings` and `finding_rows`, so that a run finds them once; None if the rule does not run."""
+    ledger = narrow(df)
+    if "DUPLICATE_PAYMENT" not in _runnable(ledger, rule_ids):
+        return None
+    pairs = duplicates.duplicate_payments(ledger, params_with(params), stage)
+    return stage(pairs, "payment_pairs") if stage else pairs
+
+
+def findings(
+    df: DataFrame, rule_ids: list[str] | None = None, params: dict | None = None, pairs: DataFrame | None = None
+) -> DataFrame:
     """All findings of the enabled rules; order by `seq` for reporting order."""
     ledger, p = narrow(df), params_with(params)
     runnable = _runnable(ledger, rule_ids)
     parts = [GROUP_RULES[r](ledger, p) for r in runnable if r in GROUP_RULES]
+    if "DUPLICATE_PAYMENT" in runnable:
+        parts.append(_duplicate_payment(duplicates.duplicate_payments(ledger, p) if pairs is None else pairs, p))
     if (row_part := _row_findings(ledger, p, runnable)) is not None:
         parts.append(row_part)
     return _stacked(parts, df, FINDING_SCHEMA)
 
 
-def finding_rows(df: DataFrame, rule_ids: list[str] | None = None, params: dict | None = None) -> DataFrame:
+def finding_rows(
+    df: DataFrame, rule_ids: list[str] | None = None, params: dict | None = None, pairs: DataFrame | None = None
+) -> DataFrame:
     """Flagged rows of the enabled rules, keyed by `finding_key`."""
     ledger, p = narrow(df), params_with(params)
     runnable = _runnable(ledger, rule_ids)
@@ -353,7 +367,7 @@ def finding_rows(df: DataFrame, rule_ids: list[str] | None = None, params: dict
     if "DUPLICATE_INVOICE" in runnable:
         parts.append(shaped(duplicates.duplicate_invoice_rows(ledger), "DUPLICATE_INVOICE", _invoice_key()))
     if "DUPLICATE_PAYMENT" in runnable:
-        pairs = duplicates.duplicate_payments(ledger, p)
+        pairs = duplicates.duplicate_payments(ledger, p) if pairs is None else pairs
         parts.append(shaped(duplicates.duplicate_payment_rows(ledger, pairs), "DUPLICATE_PAYMENT", _pair_key()))
     checks = {r: c for r, c in row_rules.row_checks(ledger, p).items() if r in runnable}
     if checks:

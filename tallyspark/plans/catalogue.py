@@ -214,9 +214,14 @@ def _narrow(spark, sf) -> DataFrame:
     return fnd.narrow(data.ledger(spark, sf))
 
 
+def _stage(spark):
+    folder = store.scratch_folder(spark)
+    return lambda df, name: store.staged(df, folder, name)
+
+
 def written_ledger(spark, sf) -> DataFrame:
     """The narrow ledger as a written table, as in an audit run: rules that scan it many times derive it once."""
-    return store.staged(_narrow(spark, sf), store.scratch_folder(spark), "ledger")
+    return _stage(spark)(_narrow(spark, sf), "ledger")
 
 
 @registered
@@ -226,7 +231,8 @@ def rule_duplicate_invoice(spark, sf):
 
 @registered
 def rule_duplicate_payment(spark, sf):
-    return duplicates.duplicate_payments(_narrow(spark, sf)).select("vendor", "amount", "row_a", "row_b", "days_apart")
+    pairs = duplicates.duplicate_payments(_narrow(spark, sf), stage=_stage(spark))
+    return pairs.select("vendor", "amount", "row_a", "row_b", "days_apart")
 
 
 @registered
@@ -315,17 +321,22 @@ def rule_vendor_concentration(spark, sf):
 
 @registered
 def finding_rows(spark, sf):
-    rows = fnd.finding_rows(written_ledger(spark, sf))
+    ledger = written_ledger(spark, sf)
+    rows = fnd.finding_rows(ledger, pairs=fnd.payment_pairs(ledger, stage=_stage(spark)))
     return rows.select(
         "rule_id", "row_index", "invoice_no", "vendor", "amount", "date", "entry_date", "timestamp", "days",
         F.concat_ws(",", "missing_fields").alias("missing_fields"),
     )
 
 
+def scored_findings(spark, sf) -> DataFrame:
+    ledger = written_ledger(spark, sf)
+    return scoring.score(fnd.findings(ledger, pairs=fnd.payment_pairs(ledger, stage=_stage(spark))))
+
+
 @registered
 def findings_all(spark, sf):
-    found = scoring.score(fnd.findings(written_ledger(spark, sf)))
-    return _rounded(found, 4, "total_exposure", "p_value", "concentration_pct", "gap_pct").select(
+    return _rounded(scored_findings(spark, sf), 4, "total_exposure", "p_value", "concentration_pct", "gap_pct").select(
         "rule_id", "rule_name", "severity", "n_rows", "total_exposure", "duplicate_count", "p_value",
         "concentration_pct", "threshold_pct", "gap_pct", "audit_explanation", "risk_score",
     )

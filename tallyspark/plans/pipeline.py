@@ -87,10 +87,11 @@ def run_audit(
 
     p = params_with(params)
     slim = narrow(ledger)
-    found = scoring.score(fnd.findings(ledger, rule_ids, p), p)
+    pairs = fnd.payment_pairs(ledger, rule_ids, p, stage)
+    found = scoring.score(fnd.findings(ledger, rule_ids, p, pairs), p)
     run.tables |= {
         "findings": store.with_finding_ids(stage(found, "findings"), dataset_id),
-        "finding_rows": fnd.row_snapshot_json(fnd.finding_rows(ledger, rule_ids, p)),
+        "finding_rows": fnd.row_snapshot_json(fnd.finding_rows(ledger, rule_ids, p, pairs)),
     }
     run.tables["summary"] = reports.run_summary(run.findings, row_count)
     if has_columns(slim, ["amount"]):

@@ -18,8 +18,8 @@ def scratch_folder(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write once and continue from the written table: lineage is cut and survives lost executors."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    path = f"{folder}/{name}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
