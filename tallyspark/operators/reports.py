@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyspark.functions import fixed_values as fv
+from tallyspark.functions.skew import salted_join
 from tallyspark.functions.values import severity_rank
 
 EXPORT_COLUMNS = [
@@ -51,12 +52,11 @@ def sorted_by(findings: DataFrame, key: str = "risk_score", ascending: bool = Fa
 
 
 def _worst(by: list[str], findings: DataFrame) -> DataFrame:
-    """Worst severity and count per group, worst and largest first."""
+    """Worst severity and count per group."""
     return (
         findings.groupBy(*by)
         .agg(F.max(severity_rank(F.col("severity"))).alias("_rank"), F.count(F.lit(1)).alias("n_findings"))
         .withColumn("max_severity", F.when(F.col("_rank") == 3, "HIGH").when(F.col("_rank") == 2, "MEDIUM").otherwise("LOW"))
-        .orderBy(F.desc("_rank"), F.desc("n_findings"), *by)
     )
 
 
@@ -74,14 +74,14 @@ def by_dataset(findings: DataFrame, datasets: DataFrame) -> DataFrame:
 
 
 def by_rule(findings: DataFrame) -> DataFrame:
-    """Every finding under its rule: rules as in `_worst`, members by score.
+    """Every finding under its rule: worst and largest rules first, members by score.
 
     One global sort instead of a window per rule, so a rule with most findings is
-    spread over range partitions. The joined side has one row per rule.
+    spread over range partitions; the join splits such a rule as well.
     """
-    groups = F.broadcast(_worst(["rule_name"], findings).limit(len(fv.RULES) + 985))
+    groups = _worst(["rule_name"], findings)
     return (
-        findings.join(groups, "rule_name")
+        salted_join(findings, groups, ["rule_name"], groups, "n_findings", F.col("finding_id"))
         .orderBy(F.desc("_rank"), F.desc("n_findings"), "rule_name", F.desc("risk_score"), "finding_id")
         .select("rule_name", "max_severity", "n_findings", "finding_id", "severity", "risk_score")
     )

@@ -17,21 +17,22 @@ def refused_actions(log: DataFrame) -> DataFrame:
     return log.filter(~F.coalesce(F.upper("action").isin(fv.REVIEW_ACTIONS), F.lit(False)))
 
 
-def current_status(findings: DataFrame, log: DataFrame) -> DataFrame:
-    """(finding_id, status): the last CONFIRM or DISMISS decides, PENDING without one."""
+def with_status(findings: DataFrame, log: DataFrame) -> DataFrame:
+    """Findings with their status: the last CONFIRM or DISMISS decides, PENDING without one."""
     last = (
         valid_actions(log).filter(F.col("action") != "NOTE")
         .groupBy("finding_id")
         .agg(F.max(F.struct("created_at", "id", "action")).alias("_last"))
         .select("finding_id", lookup(fv.ACTION_STATUS, F.col("_last.action"), F.lit(None)).alias("status"))
     )
-    return findings.select("finding_id").join(last, "finding_id", "left").select(
-        "finding_id", F.coalesce("status", F.lit("PENDING")).alias("status")
+    return findings.drop("status").join(last, "finding_id", "left").withColumn(
+        "status", F.coalesce("status", F.lit("PENDING"))
     )
 
 
-def with_status(findings: DataFrame, log: DataFrame) -> DataFrame:
-    return findings.drop("status").join(current_status(findings, log), "finding_id")
+def current_status(findings: DataFrame, log: DataFrame) -> DataFrame:
+    """(finding_id, status) of every finding."""
+    return with_status(findings.select("finding_id"), log)
 
 
 def pending(findings: DataFrame, log: DataFrame) -> DataFrame:

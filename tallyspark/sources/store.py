@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -23,26 +24,40 @@ def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder on whatever file system it lives."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path, fs = _file_system(spark, folder)
+    fs.delete(path, True)
+
+
+def partition_folder(root: str, table: str, dataset_id: str) -> str:
+    return f"{root}/{table}/dataset_id={quote(dataset_id, safe='')}"
 
 
 def write_partition(df: DataFrame, root: str, table: str, dataset_id: str) -> None:
-    """Replace this dataset's partition of a table and leave the others alone."""
-    (
-        df.withColumn("dataset_id", F.lit(dataset_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dataset_id")
-        .parquet(f"{root}/{table}")
-    )
+    """Replace this dataset's partition of a table and leave the others alone.
+
+    The new files are complete before the old folder goes, and an empty result
+    replaces an earlier one too.
+    """
+    spark = df.sparkSession
+    fresh = f"{root}/_writing/{table}-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    target, fs = _file_system(spark, partition_folder(root, table, dataset_id))
+    fs.mkdirs(target.getParent())
+    fs.delete(target, True)
+    if not fs.rename(_file_system(spark, fresh)[0], target):
+        raise OSError(f"could not move {fresh} to {target}")
 
 
 def read_partition(spark: SparkSession, root: str, table: str, dataset_id: str) -> DataFrame:
     """One dataset's rows; only its folder is listed and read."""
-    return spark.read.parquet(f"{root}/{table}/dataset_id={dataset_id}")
+    return spark.read.parquet(partition_folder(root, table, dataset_id))
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -68,7 +83,7 @@ def delete_datasets(dataset_ids: DataFrame, root: str) -> None:
 def purge_dataset(spark: SparkSession, root: str, dataset_id: str, tables: list[str]) -> None:
     """Remove the files of one dataset from the named tables; a folder each, whatever its size."""
     for table in tables:
-        remove_folder(spark, f"{root}/{table}/dataset_id={dataset_id}")
+        remove_folder(spark, partition_folder(root, table, dataset_id))
 
 
 def without_datasets(df: DataFrame, deleted: DataFrame) -> DataFrame:

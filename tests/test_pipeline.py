@@ -111,7 +111,10 @@ def test_save_rerun_delete(spark, run, csv, tmp_path):
         ("d1", "THRESHOLD_BREACH"), ("d2", "THRESHOLD_BREACH"), ("d2", "ROUND_DOLLAR"),
     }
     assert store.read_partition(spark, root, "ledger", "d1").count() == run.row_count
-    reports.export_csv(stored, f"{root}/export")
+    store.write_partition(again.findings.filter("false"), root, "findings", "d1")  # a rerun may find nothing
+    assert {r["dataset_id"] for r in store.read_table(spark, root, "findings").collect()} == {"d2"}
+    store.write_partition(again.findings, root, "findings", "d1")
+    reports.export_csv(store.read_table(spark, root, "findings"), f"{root}/export")
     assert spark.read.option("header", True).csv(f"{root}/export").columns == reports.EXPORT_COLUMNS
     store.delete_datasets(spark.createDataFrame([("d1",)], "dataset_id string"), root)
     assert {r["dataset_id"] for r in store.read_table(spark, root, "findings").collect()} == {"d2"}
