@@ -122,7 +122,7 @@ def column_top_values(df: DataFrame, name: str, n: int = 5) -> DataFrame:
     counts = df.filter(col(name).isNotNull()).groupBy(col(name).cast("string").alias("value")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    distinct = counts.agg(F.count(F.lit(1))).scalar()
+    distinct = counts.agg(F.count_if((F.col("n") > 0) & F.col("value").isNotNull())).scalar()  # same columns, same shuffle
     return counts.orderBy(F.desc("n"), "value").limit(n).select("value", "n", distinct.alias("unique_count"))
 
 

@@ -116,10 +116,11 @@ def vendor_spikes(ledger: DataFrame) -> DataFrame:
 def vendor_variance(ledger: DataFrame, n: int = fv.TOP_VENDORS) -> DataFrame:
     """Mean amount of a vendor against the overall mean, for the vendors with the highest means."""
     known = with_values(ledger, ["vendor", "amount"])
-    overall = known.agg(exact_mean(F.col("amount"))).scalar()
+    totals = known.groupBy("vendor").agg(exact_sum(F.col("amount")).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    overall = totals.agg(F.try_divide(F.sum("_sum").cast("double"), F.sum("_n"))).scalar()
     deviation = F.coalesce(F.try_divide(F.col("vendor_mean") - F.col("overall_mean"), F.col("overall_mean")), F.lit(0.0))
     return (
-        known.groupBy("vendor").agg(exact_mean(F.col("amount")).alias("vendor_mean"))
+        totals.select("vendor", F.try_divide(F.col("_sum").cast("double"), F.col("_n")).alias("vendor_mean"))
         .orderBy(F.desc("vendor_mean"), "vendor").limit(n)
         .withColumn("overall_mean", overall)
         .withColumn("deviation_pct", deviation * 100)

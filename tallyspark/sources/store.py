@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 DELETED = "deleted_datasets"
 
@@ -60,10 +60,12 @@ def read_partition(spark: SparkSession, root: str, table: str, dataset_id: str)
     return spark.read.parquet(partition_folder(root, table, dataset_id))
 
 
-def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """All datasets that have not been deleted."""
-    df = spark.read.option("mergeSchema", True).parquet(f"{root}/{table}")
-    df = df.withColumn("dataset_id", F.col("dataset_id").cast("string"))
+def read_table(spark: SparkSession, root: str, table: str, merge_schema: bool = False) -> DataFrame:
+    """All datasets that have not been deleted; `merge_schema` for ledgers of different columns."""
+    path = f"{root}/{table}"
+    found = spark.read.option("mergeSchema", merge_schema).parquet(path).schema
+    text_id = T.StructType([f if f.name != "dataset_id" else T.StructField("dataset_id", T.StringType()) for f in found])
+    df = spark.read.schema(text_id).parquet(path)  # ids such as 007 stay text
     try:
         deleted = spark.read.parquet(f"{root}/{DELETED}").select("dataset_id")
     except Exception:  # noqa: BLE001 - nothing was ever deleted

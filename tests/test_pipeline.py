@@ -119,5 +119,8 @@ def test_save_rerun_delete(spark, run, csv, tmp_path):
     store.delete_datasets(spark.createDataFrame([("d1",)], "dataset_id string"), root)
     assert {r["dataset_id"] for r in store.read_table(spark, root, "findings").collect()} == {"d2"}
     store.purge_dataset(spark, root, "d1", ["findings", "ledger"])
+    store.write_partition(again.findings, root, "findings", "007")
+    assert {r["dataset_id"] for r in store.read_table(spark, root, "findings").collect()} == {"d2", "007"}
+    store.purge_dataset(spark, root, "007", ["findings"])
     assert store.read_table(spark, root, "findings").count() == 2
     again.discard(), other.discard()
