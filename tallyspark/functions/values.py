@@ -114,6 +114,11 @@ def exact_mean(c: Column) -> Column:
     return F.try_divide(exact_sum(c).cast("double"), F.count(c))
 
 
+def exceeds(c: Column, limit: float) -> Column:
+    """abs(c) > limit, written as ranges so that Parquet row groups can be skipped."""
+    return (c > float(limit)) | (c < -float(limit))
+
+
 def has_columns(df: DataFrame, names: list[str]) -> bool:
     return set(names) <= set(df.columns)
 

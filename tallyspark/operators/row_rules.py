@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyspark.functions import fixed_values as fv
-from tallyspark.functions.values import has_columns, whole_days
+from tallyspark.functions.values import exceeds, has_columns, whole_days
 from tallyspark.operators.ledger import params_with, snapshot_columns
 
 
@@ -49,8 +49,8 @@ def row_checks(ledger: DataFrame, params: dict | None = None) -> dict[str, RowCh
         days = whole_days(date, F.col("entry_date"))
         checks["BACKDATED_ENTRY"] = RowCheck(days > p["backdated_threshold_days"], days=days)
     if has_columns(ledger, ["amount"]):
-        checks["ROUND_DOLLAR"] = RowCheck((amount % 1 == 0) & (F.abs(amount) > p["round_dollar_min_amount"]))
-        checks["THRESHOLD_BREACH"] = RowCheck(F.abs(amount) > p["materiality_threshold"])
+        checks["ROUND_DOLLAR"] = RowCheck(exceeds(amount, p["round_dollar_min_amount"]) & (amount % 1 == 0))
+        checks["THRESHOLD_BREACH"] = RowCheck(exceeds(amount, p["materiality_threshold"]))
     return checks
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tallyspark.functions.skew import salted_join
-from tallyspark.functions.values import day_number, exact_sum, whole_days
+from tallyspark.functions.values import day_number, exact_sum, exceeds, whole_days
 from tallyspark.operators.ledger import params_with, snapshot_columns, with_values
 
 
@@ -38,7 +38,7 @@ def new_vendor_rows(ledger: DataFrame, params: dict | None = None) -> DataFrame:
     """High amounts within n whole days of the first complete row of a vendor."""
     p = params_with(params)
     complete = with_values(ledger, ["vendor", "date", "amount"])
-    high = F.abs("amount") > p["new_vendor_high_value"]
+    high = exceeds(F.col("amount"), p["new_vendor_high_value"])
     vendors = (
         complete.groupBy("vendor")
         .agg(F.min("date").alias("_first_date"), F.count_if(high).alias("_n"))
