@@ -20,7 +20,7 @@ WITH RECURSIVE words AS (
   FROM documents),
 sets AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i+3], ' ')) END) AS s
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS s
   FROM words),
 shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
 pairs AS (
