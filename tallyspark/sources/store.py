@@ -24,14 +24,14 @@ def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _file_system(spark: SparkSession, folder: str):
+def file_system(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder on whatever file system it lives."""
-    path, fs = _file_system(spark, folder)
+    path, fs = file_system(spark, folder)
     fs.delete(path, True)
 
 
@@ -48,10 +48,10 @@ def write_partition(df: DataFrame, root: str, table: str, dataset_id: str) -> No
     spark = df.sparkSession
     fresh = f"{root}/_writing/{table}-{uuid.uuid4().hex}"
     df.write.parquet(fresh)
-    target, fs = _file_system(spark, partition_folder(root, table, dataset_id))
+    target, fs = file_system(spark, partition_folder(root, table, dataset_id))
     fs.mkdirs(target.getParent())
     fs.delete(target, True)
-    if not fs.rename(_file_system(spark, fresh)[0], target):
+    if not fs.rename(file_system(spark, fresh)[0], target):
         raise OSError(f"could not move {fresh} to {target}")
 
 
