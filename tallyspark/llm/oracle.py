@@ -4,6 +4,117 @@ from __future__ import annotations
 
 ORACLE_SQL: dict[str, str] = {}
 
+ORACLE_SQL["op1_topk_nra"] = """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS d FROM sound),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM parts q JOIN parts c ON q.d = c.d AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0 GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scores QUALIFY rank <= 5
+"""
+
+ORACLE_SQL["op2_warc"] = """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+bits AS (
+  SELECT page_id, payload, array_to_string(list_transform(range(1, 41), lambda i:
+    lpad(bin(CAST(strpos('0123456789abcdef', hex[i]) - 1 AS INTEGER)), 4, '0')), '') AS b FROM hashed),
+coded AS (
+  SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, min(page_id) OVER (PARTITION BY payload) AS first_id,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + CAST(list_sum(list_transform(range(5), lambda j: CAST(b[5 * i + j + 1] AS INTEGER) * CAST(2 ** (4 - j) AS INTEGER))) AS INTEGER),
+      1)), '') AS payload_digest
+  FROM bits)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM coded
+"""
+
+# Per rule: the matches, the text between them, and from both their places.
+_RULES = {  # kind: pattern, measured group, least length
+    "assign": (
+        "((?i:password|passwd|secret|token|api_?key))[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 8),
+    "access": ("AKIA[A-Z0-9]+", 0, 16),
+    "hex": ("[0-9a-f]+", 0, 32),
+    "github": ("gh[pousr]_[A-Za-z0-9]+", 0, 40),
+    "slack": ("xox[abprs]-[A-Za-z0-9-]+", 0, 20),
+    "private_key": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    "web_token": ("eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 0, 1),
+}
+_FOUND = " UNION ALL ".join(
+    f"""SELECT doc_id, {n} AS rule, '{kind}' AS kind, unnest(range(1, len(m) + 1)) AS i, m, p, g, {least} AS least FROM (
+      SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS g,
+        string_split_regex(t, '{pattern}') AS p FROM docs)"""
+    for n, (kind, (pattern, group, least)) in enumerate(_RULES.items())
+)
+ORACLE_SQL["op6_secret_scan"] = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_FOUND}),
+placed AS (
+  SELECT doc_id, rule, kind, len(m[i]) AS n,
+    list_sum(list_transform(p[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: len(x))), 0) AS start
+  FROM found WHERE len(g[i]) >= least),
+spans AS (SELECT doc_id, rule, start, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + n AS BIGINT) AS s FROM placed),
+joined AS (
+  SELECT doc_id, count(*) FILTER (rule = 0) AS n_assign, count(*) FILTER (rule = 1) AS n_access, count(*) FILTER (rule = 2) AS n_hex,
+    string_agg(s, ',' ORDER BY start, rule) FILTER (rule < 3) AS base, string_agg(s, ',' ORDER BY start, rule) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN joined USING (doc_id)
+"""
+
+# Seats by brute force: as many quotients as there are seats for every source and shard, the highest win.
+ORACLE_SQL["op7_mix_sources"] = """
+WITH docs AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS ordinal FROM docs GROUP BY source),
+weighed AS (SELECT *, (ordinal - 1) % 3 + 1 AS weight, source_size * 3 AS cap FROM sources),
+filled AS (
+  SELECT *, row_number() OVER w AS place, (sum(source_size) OVER () - sum(cap) OVER w + cap) / (sum(weight) OVER () - sum(weight) OVER w + weight) AS rate
+  FROM weighed WINDOW w AS (ORDER BY cap / weight, ordinal)),
+free AS (SELECT arg_min(rate, place) AS rate FROM filled WHERE rate * weight <= cap),
+targets AS (SELECT source, source_size, ordinal, least(CAST(cap AS DOUBLE), rate * weight) AS target FROM weighed, free),
+seats AS (SELECT CAST(round(sum(target) / 64) AS BIGINT) AS seats FROM targets),
+offers AS (SELECT ordinal, target / (2 * k + 1) AS quotient, k FROM targets, seats, range(seats) r(k) WHERE target > 0),
+won AS (SELECT ordinal, count(*) AS blocks FROM (
+  SELECT *, row_number() OVER (ORDER BY quotient DESC, ordinal, k) AS place FROM offers), seats WHERE place <= seats GROUP BY ordinal),
+shared AS (
+  SELECT t.*, coalesce(blocks, 0) AS blocks, greatest(1, CAST(ceil(source_size / 4000000.0) AS BIGINT)) AS shards
+  FROM targets t LEFT JOIN won USING (ordinal)),
+dealt AS (
+  SELECT d.doc_id, size, s.*, md5('17:' || d.doc_id) AS draw,
+    CAST(('0x' || substr(md5('17:' || d.doc_id), 1, 15)) AS BIGINT) % shards AS shard
+  FROM docs d JOIN shared s ON d.source IS NOT DISTINCT FROM s.source),
+words AS (SELECT ordinal, shard, CAST(sum(size) AS BIGINT) AS words, max(blocks) AS blocks FROM dealt GROUP BY ALL),
+shard_offers AS (SELECT ordinal, shard, blocks, words / (2 * k + 1) AS quotient, k FROM words, range(blocks) r(k) WHERE words > 0),
+shard_won AS (SELECT ordinal, shard, count(*) AS quota FROM (
+  SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY quotient DESC, shard, k) AS place FROM shard_offers)
+  WHERE place <= blocks GROUP BY ALL),
+quotas AS (
+  SELECT ordinal, shard, words, least(coalesce(quota, 0) * 64, words * 3) AS quota FROM words LEFT JOIN shard_won USING (ordinal, shard)),
+passes AS (
+  SELECT *, CASE WHEN words > 0 THEN quota // words ELSE 0 END AS passes, CASE WHEN words > 0 THEN quota % words ELSE 0 END AS rest FROM quotas),
+blocks AS (
+  SELECT ordinal, shard, block, least(64, words - block * 64) AS n, rest,
+    sum(least(64, words - block * 64)) OVER (PARTITION BY ordinal, shard ORDER BY md5('17:' || ordinal || ':' || shard || ':' || block), block) AS seen
+  FROM passes, range((words + 63) // 64) r(block) WHERE rest > 0),
+drawn AS (SELECT ordinal, shard, block, block * 64 AS first, least(n, rest - seen + n) AS n FROM blocks WHERE rest - seen + n > 0),
+placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY ordinal, shard ORDER BY draw, doc_id) - size AS at FROM dealt),
+extra AS (
+  SELECT doc_id, sum(least(at + size, first + n) - greatest(at, first)) AS extra
+  FROM placed JOIN drawn USING (ordinal, shard) WHERE least(at + size, first + n) > greatest(at, first) GROUP BY doc_id)
+SELECT p.doc_id, size, source_size, target, CAST(passes * size + coalesce(extra, 0) AS BIGINT) AS taken
+FROM placed p JOIN passes USING (ordinal, shard) LEFT JOIN extra USING (doc_id)
+"""
+
 ORACLE_SQL["op8_exact_dedup"] = """
 WITH keyed AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
