@@ -45,7 +45,10 @@ class WordEncoder:
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
 
-_encoder = lru_cache(maxsize=1)(WordEncoder)
+@lru_cache(maxsize=1)
+def _encoder(content: bytes) -> WordEncoder:
+    """Kept by the worker, so that later tasks find the words of earlier ones."""
+    return WordEncoder(content)
 
 
 def pack(

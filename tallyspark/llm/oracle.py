@@ -107,10 +107,10 @@ blocks AS (
   FROM passes, range((words + 63) // 64) r(block) WHERE rest > 0),
 drawn AS (SELECT ordinal, shard, block, block * 64 AS first, least(n, rest - seen + n) AS n FROM blocks WHERE rest - seen + n > 0),
 placed AS (
-  SELECT *, sum(size) OVER (PARTITION BY ordinal, shard ORDER BY draw, doc_id) - size AS at FROM dealt),
+  SELECT *, sum(size) OVER (PARTITION BY ordinal, shard ORDER BY draw, doc_id) - size AS pos FROM dealt),
 extra AS (
-  SELECT doc_id, sum(least(at + size, first + n) - greatest(at, first)) AS extra
-  FROM placed JOIN drawn USING (ordinal, shard) WHERE least(at + size, first + n) > greatest(at, first) GROUP BY doc_id)
+  SELECT doc_id, sum(least(pos + size, first + n) - greatest(pos, first)) AS extra
+  FROM placed JOIN drawn USING (ordinal, shard) WHERE least(pos + size, first + n) > greatest(pos, first) GROUP BY doc_id)
 SELECT p.doc_id, size, source_size, target, CAST(passes * size + coalesce(extra, 0) AS BIGINT) AS taken
 FROM placed p JOIN passes USING (ordinal, shard) LEFT JOIN extra USING (doc_id)
 """
