@@ -36,6 +36,9 @@ WHITE_SPACE = (
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+# --- fixed values: first letters of the months
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+
 # --- fixed values: leading characters a spreadsheet would run as a formula
 FORMULA_PREFIXES = ["=", "+", "-", "@"]
 
@@ -73,7 +76,7 @@ CHECKED_FIELDS = ["vendor", "amount", "date", "invoice_no"]
 DEFAULT_PARAMS = {
     "materiality_threshold": 50000,
     "duplicate_payment_window_days": 7,
-    "public_holidays_mmdd": ["01-01", "06-19", "07-04", "11-11", "12-25"],
+    "public_holidays_mmdd": ["01-01", "07-04", "12-25", "11-11", "06-19"],
     "business_hours_start": 7,
     "business_hours_end": 19,
     "backdated_threshold_days": 30,

@@ -40,12 +40,16 @@ def exact_percentiles(long: DataFrame, percents: dict[str, float], name: str = "
         ranged = ranged.withColumn("_range", F.col("_range") + F.when(F.col(value) > probe, 2**step).otherwise(0))
     ranged = ranged.select(name, value, "n", "_all", "_range")
 
-    in_order = W.partitionBy(name).orderBy("_range")
+    # At most a thousand ranges per column, so their totals fit one row.
     totals = (
         ranged.groupBy(name, "_range", "_all").agg(F.sum("n").alias("_in"))
-        .withColumn("_before", F.sum("_in").over(in_order) - F.col("_in"))
+        .groupBy(name, "_all").agg(F.sort_array(F.collect_list(F.struct("_range", "_in"))).alias("_ranges"))
     )
-    wanted = [
+    before = F.transform("_ranges", lambda r, i: F.struct(
+        r["_range"].alias("_range"), r["_in"].alias("_in"),
+        F.aggregate(F.slice("_ranges", 1, i), F.lit(0).cast("bigint"), lambda acc, x: acc + x["_in"]).alias("_before"),
+    ))
+    wanted = F.array(*[
         F.struct(
             F.lit(key).alias("_key"),
             F.lit(side).alias("_side"),
@@ -53,12 +57,12 @@ def exact_percentiles(long: DataFrame, percents: dict[str, float], name: str = "
         )
         for key, p in percents.items()
         for side, rank in (("lo", F.floor), ("hi", F.ceil))
-    ]
-    in_range = (F.col("_w._rank") >= F.col("_before")) & (F.col("_w._rank") < F.col("_before") + F.col("_in"))
+    ])
+    held = F.filter("_every", lambda w: (w["_rank"] >= F.col("_before")) & (w["_rank"] < F.col("_before") + F.col("_in")))
     picks = (
-        totals.withColumn("_w", F.explode(F.array(*wanted)))
-        .filter(in_range)
-        .groupBy(name, "_range", "_before").agg(F.collect_list("_w").alias("_wanted"))
+        totals.select(name, wanted.alias("_every"), F.inline(before))
+        .select(name, "_range", "_before", held.alias("_wanted"))
+        .filter(F.size("_wanted") > 0)
     )
 
     # At most two ranks per percentile and column, so `picks` is a handful of rows.

@@ -6,21 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A key counts as heavy above SLICE_ROWS rows. Only the HEAVY_KEYS largest are
-# split, so the broadcast holds at most that many rows, and any other key holds
-# under 1/HEAVY_KEYS of the data.
+# A key above SLICE_ROWS rows is cut into slices of about that many.
 SLICE_ROWS = 1_000_000
-HEAVY_KEYS = 1_000
 
 
 def heavy_keys(sizes: DataFrame, keys: Sequence[str], size: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """The largest keys and the number of slices each is cut into."""
-    return (
-        sizes.filter(F.col(size) > slice_rows)
-        .orderBy(F.desc(size))
-        .limit(HEAVY_KEYS)
-        .select(*keys, F.ceil(F.col(size) / slice_rows).cast("int").alias("_slices"))
-    )
+    """All keys of more than `slice_rows` rows and the number of slices each is cut into.
+
+    At most one key per `slice_rows` rows. Whether the table is broadcast is left to Spark's own size check.
+    """
+    return sizes.filter(F.col(size) > slice_rows).select(*keys, F.ceil(F.col(size) / slice_rows).cast("int").alias("_slices"))
 
 
 def salted_join(
@@ -42,27 +37,8 @@ def salted_join(
     return salted_rows.join(salted_groups, [*keys, "_salt"]).drop("_salt")
 
 
-def salted_left_join(
-    groups: DataFrame,
-    rows: DataFrame,
-    keys: Sequence[str],
-    sizes: DataFrame,
-    size: str,
-    row_id: Column,
-    keep_unmatched: Column,
-    slice_rows: int = SLICE_ROWS,
-) -> DataFrame:
-    """`groups` left join `rows`; a group without rows is kept only where `keep_unmatched` holds.
-
-    A copy of a heavy group may meet an empty slice, so it must not count as unmatched.
-    """
-    salted_rows, salted_groups = _salted(rows, groups, list(keys), sizes, size, row_id, slice_rows)
-    joined = salted_groups.join(salted_rows.withColumn("_hit", F.lit(True)), [*keys, "_salt"], "left")
-    return joined.filter(F.col("_hit") | keep_unmatched).drop("_hit", "_salt")
-
-
 def _salted(rows, groups, keys, sizes, size, row_id, slice_rows) -> tuple[DataFrame, DataFrame]:
-    heavy = F.broadcast(heavy_keys(sizes, keys, size, slice_rows))  # at most HEAVY_KEYS rows
+    heavy = heavy_keys(sizes, keys, size, slice_rows)
     slices = F.coalesce(F.col("_slices"), F.lit(1))
     salted_rows = (
         rows.join(heavy, keys, "left")

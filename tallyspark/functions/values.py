@@ -8,11 +8,23 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyspark.functions import fixed_values as fv
 
-_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _MONTH_NAME = (
-    "(?i)(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|"
-    "sep(?:t|tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+    "(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+    "(?:(?<=jan)uary|(?<=feb)ruary|(?<=mar)ch|(?<=apr)il|(?<=jun)e|(?<=jul)y|(?<=aug)ust|(?<=sep)t(?:ember)?|(?<=oct)ober|"
+    "(?<=nov)ember|(?<=dec)ember)?"
 )
+_DAY, _YEAR, _REST = r"(\d{1,2})(?:st|nd|rd|th)?", r"(\d{4}|\d{2})", r"((?:[T ].*)?)$"
+# Shapes and their ISO order. `~` marks month first by number, which may turn out to be day first; `#` marks a month name.
+_SHAPES = [
+    (r"^(?i)(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +", ""),
+    (rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_REST}", "$1-$2-$3$4"),
+    (rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.]{_YEAR}{_REST}", "~$3-$1-$2$4"),
+    (rf"^{_DAY}[- ]{_MONTH_NAME}\.?,?[- ]{_YEAR}{_REST}", "~$3-#$2-$1$4"),
+    (rf"^{_MONTH_NAME}\.?[- ]{_DAY},?[- ]{_YEAR}{_REST}", "~$3-#$1-$2$4"),
+    (r"^~(?<y>[0-5]\d|6[0-8])-", "~20${y}-"),
+    (r"^~(?<y>\d\d)-", "~19${y}-"),
+]
+_HALF_DAY = r"^(.*?)[t ]+(\d{1,2})(:\d{2})?(:\d{2}(?:\.\d+)?)? *([ap])\.?m\.?$"
 
 
 def strip_text(c: Column) -> Column:
@@ -51,35 +63,29 @@ def parse_number(c: Column) -> Column:
 def parse_date(c: Column) -> Column:
     """Mixed-format date text to TIMESTAMP_NTZ, month first, day first where month first fails.
 
-    Each shape is rewritten to ISO text and cast, which stays in generated code
-    and never throws per value.
+    Year first with `-`, `/` or `.`; day and month with `-`, `/` or `.`; months by name before or after the day; a
+    weekday before it; a time of day after it, also with AM or PM. Two-digit years up to 68 are in this century.
+    Every shape is rewritten to ISO text, each pattern at most once, and cast; nothing throws per value.
     """
-    s = strip_text(c)
-    slash = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})(.*)$"
-    day_name = rf"^(\d{{1,2}})[- ]({_MONTH_NAME})[- ](\d{{4}})$"
-    name_day = rf"^({_MONTH_NAME})\.? (\d{{1,2}}),? (\d{{4}})$"
-
-    def named(pattern: str, month: int, day: int, year: int) -> Column:
-        short = F.lower(F.substring(F.regexp_extract(s, pattern, month), 1, 3))
-        number = ((F.instr(F.lit(_MONTHS), short) + 2) / 3).cast("int")
-        return F.concat_ws(
-            "-", F.regexp_extract(s, pattern, year), number.cast("string"), F.regexp_extract(s, pattern, day)
-        ).try_cast("timestamp_ntz")
-
-    return F.when(
-        F.length(s) <= 40,
-        F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T ].*)?$"), s.try_cast("timestamp_ntz"))
-        .when(
-            s.rlike(slash),
-            F.coalesce(
-                F.regexp_replace(s, slash, "$3-$1-$2$4").try_cast("timestamp_ntz"),
-                F.regexp_replace(s, slash, "$3-$2-$1$4").try_cast("timestamp_ntz"),
-            ),
-        )
-        .when(s.rlike(r"^\d{4}/\d{1,2}/\d{1,2}( .*)?$"), F.regexp_replace(s, "/", "-").try_cast("timestamp_ntz"))
-        .when(s.rlike(day_name), named(day_name, 2, 1, 3))
-        .when(s.rlike(name_day), named(name_day, 1, 2, 3)),
-    )
+    iso = F.lower(reduce(lambda text, shape: F.regexp_replace(text, *shape), _SHAPES, strip_text(c)))
+    for number, name in enumerate(fv.MONTHS, 1):
+        iso = F.replace(iso, F.lit(f"#{name}"), F.lit(str(number)))
+    bound = F.transform(F.array(iso), _cast_iso)  # evaluates the text once
+    return F.get(bound, 0)
+
+
+def _cast_iso(text: Column) -> Column:
+    part = lambda n: F.regexp_extract(text, _HALF_DAY, n)
+    hour = part(2).try_cast("int")
+    shifted = F.lpad((hour % 12 + F.when(part(5) == "p", 12).otherwise(0)).cast("string"), 2, "0")
+    minutes = F.when(part(3) == "", ":00").otherwise(part(3))
+    whole_day = F.when(
+        text.rlike(_HALF_DAY), F.when(hour.between(1, 12), F.concat(part(1), F.lit(" "), shifted, minutes, part(4)))
+    ).otherwise(text)
+    month_first = F.upper(F.ltrim(whole_day, F.lit("~"))).try_cast("timestamp_ntz")
+    day_first = F.upper(F.regexp_replace(whole_day, r"^~(\d+)-(\d+)-(\d+)", "$1-$3-$2")).try_cast("timestamp_ntz")
+    shaped = text.rlike(r"^~?\d{4}-\d{1,2}-\d{1,2}(?:[t ].*)?$")
+    return F.when(shaped, F.coalesce(month_first, day_first))
 
 
 def whole_days(start: Column, end: Column) -> Column:
@@ -104,14 +110,65 @@ def display_text(df: DataFrame, name: str) -> Column:
     return number_text(c) if is_numeric(df, name) else c.cast("string")
 
 
+def exact_parts(c: Column) -> tuple[Column, Column]:
+    """Aggregates of a sum: exact as a decimal, NULL where some value has no exact place in one, and as a double.
+
+    Eight decimals and thirty digits before them are exact, so totals do not depend on the order of rows; other
+    values are added as doubles. Nothing throws.
+    """
+    fits = c.try_cast("decimal(38,8)")
+    odd = F.count_if(c.isNotNull() & ~F.coalesce(fits.cast("double") == c.cast("double"), F.lit(False)))
+    return F.when(odd == 0, F.try_sum(fits)), F.sum(c.cast("double"))
+
+
+def merged_parts(exact: Column, loose: Column) -> tuple[Column, Column]:
+    """Aggregates that add sums from `exact_parts` once more."""
+    odd = F.count_if(loose.isNotNull() & exact.isNull())
+    return F.when(odd == 0, F.try_sum(exact)), F.sum(loose)
+
+
+def either_part(exact: Column, loose: Column) -> Column:
+    return F.coalesce(exact.cast("double"), loose)
+
+
 def exact_sum(c: Column) -> Column:
-    """Order-independent money sum; exact to six decimals."""
-    return F.sum(c.cast("decimal(28,6)"))
+    """Order-independent money sum as a double; see `exact_parts`."""
+    return either_part(*exact_parts(c))
 
 
 def exact_mean(c: Column) -> Column:
     """Mean from the exact sum, so it does not depend on the order of rows."""
-    return F.try_divide(exact_sum(c).cast("double"), F.count(c))
+    return F.try_divide(exact_sum(c), F.count(c))
+
+
+_LIMB = 36  # digits of the lower half of a long number
+
+
+def _halves(a: Column) -> tuple[Column, Column]:
+    high = F.coalesce(F.nullif(F.substring(a, F.lit(1), F.greatest(F.length(a) - _LIMB, F.lit(0))), F.lit("")), F.lit("0"))
+    return high.try_cast("decimal(37,0)"), F.right(a, F.lit(_LIMB)).try_cast("decimal(37,0)")
+
+
+def _combined(a: Column, b: Column, sign: int) -> Column:
+    (a_high, a_low), (b_high, b_low) = _halves(a), _halves(b)
+    limb = F.lit(f"1{'0' * _LIMB}").cast("decimal(37,0)")
+    low = (a_low + b_low if sign > 0 else a_low - b_low).cast("decimal(38,0)")
+    over = (low >= limb) if sign > 0 else (low < 0)
+    low = F.when(over, low - sign * limb).otherwise(low).cast("decimal(38,0)")
+    carry = sign * F.when(over, 1).otherwise(0)
+    high = (a_high + b_high + carry if sign > 0 else a_high - b_high + carry).cast("decimal(38,0)")
+    exact = F.when(high == 0, low.cast("string")).otherwise(F.concat(high.cast("string"), F.lpad(low.cast("string"), _LIMB, "0")))
+    return F.coalesce(exact, (a.cast("double") + sign * b.cast("double")).cast("string"))
+
+
+def plus(a: Column, b: Column) -> Column:
+    """Sum of whole numbers as text: exact to 72 digits, as a rounded number beyond, never NULL."""
+    return _combined(a, b, 1)
+
+
+def minus(a: Column, b: Column) -> Column:
+    """Difference of whole numbers as text, `a` not smaller than `b`; exact to 72 digits, rounded beyond."""
+    return _combined(a, b, -1)
 
 
 def exceeds(c: Column, limit: float) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyspark.functions import fixed_values as fv
 from tallyspark.functions.skew import salted_join
-from tallyspark.functions.values import chi_square_tail_8df, exact_sum
+from tallyspark.functions.values import chi_square_tail_8df, either_part, exact_parts
 from tallyspark.operators.ledger import params_with, snapshot_columns, with_values
 
 SPLIT_KEYS = ["vendor", "date"]
@@ -17,14 +17,21 @@ SPLIT_KEYS = ["vendor", "date"]
 def split_transactions(ledger: DataFrame, params: dict | None = None) -> DataFrame:
     """Vendor and date groups whose signed total is whole and above materiality."""
     p = params_with(params)
-    total = F.col("total_exact")
-    return (
+    exact, loose = exact_parts(F.col("amount"))
+    return whole_totals(
         with_values(ledger, ["vendor", "amount", "date"])
         .groupBy(*SPLIT_KEYS)
-        .agg(F.count(F.lit(1)).alias("transaction_count"), exact_sum(F.col("amount")).alias("total_exact"))
-        .filter(F.col("transaction_count") >= p["split_transaction_min_rows"])
-        .filter((total > p["materiality_threshold"]) & (total == F.floor(total)))
-        .select(*SPLIT_KEYS, "transaction_count", total.cast("double").alias("total_amount"))
+        .agg(F.count(F.lit(1)).alias("transaction_count"), exact.alias("_exact"), loose.alias("_loose")), p,
+    ).select(*SPLIT_KEYS, "transaction_count", "total_amount")
+
+
+def whole_totals(groups: DataFrame, p: dict) -> DataFrame:
+    """Groups of enough rows whose total is whole and above materiality, judged on the exact total where there is one."""
+    whole = F.coalesce(F.col("_exact") % 1 == 0, F.col("_loose") == F.rint("_loose"))
+    return (
+        groups.filter(F.col("transaction_count") >= p["split_transaction_min_rows"])
+        .withColumn("total_amount", either_part(F.col("_exact"), F.col("_loose")))
+        .filter((F.col("total_amount") > p["materiality_threshold"]) & whole)
     )
 
 

@@ -52,7 +52,11 @@ def enabled(rule_ids: list[str] | None) -> list[str]:
 
 
 def _key(rule_id: str, *parts: Column) -> Column:
-    return F.concat_ws("|", F.lit(rule_id), *[p.cast("string") for p in parts])
+    """The rule and its parts as JSON: parts cannot run into each other, and NULL differs from any text."""
+    if not parts:
+        return F.lit(rule_id)
+    named = [p.cast("string").alias(f"k{i}") for i, p in enumerate(parts, 1)]
+    return F.to_json(F.struct(F.lit(rule_id).alias("rule"), *named))
 
 
 def _invoice_key() -> Column:
@@ -132,14 +136,26 @@ def _duplicate_payment(pairs: DataFrame, p: dict) -> DataFrame:
 
 
 def _sequential_gap(ledger: DataFrame, p: dict) -> DataFrame:
+    """Counts and samples are JSON numbers up to 38 digits; longer ones are given as text beside them."""
     c = F.col
-    sample = duplicates.missing_numbers(ledger).agg(F.sort_array(F.collect_list("missing_number"))).scalar()
+    number = lambda text: text.try_cast("decimal(38,0)")
+    listed = duplicates.missing_numbers(ledger).agg(
+        F.sort_array(F.collect_list(F.struct(F.length("missing_number"), F.col("missing_number").alias("number")))).alias("all")
+    ).select(F.col("all.number").alias("all"))
+    sample = listed.select(F.struct(
+        F.filter(F.transform("all", number), lambda x: x.isNotNull()).alias("numbers"),
+        F.filter("all", lambda x: number(x).isNull()).alias("texts"),
+    )).scalar()
+    counts = ["expected_count", "missing_count"]
     return _finding(
         duplicates.sequential_gap(ledger), "SEQUENTIAL_GAP",
         n_rows=F.lit(0),
         metrics={
-            "expected_count": c("expected_count"), "actual_count": c("actual_count"),
-            "missing_count": c("missing_count"), "gap_pct": F.round("gap_pct", 2), "sample_missing": sample,
+            "expected_count": number(c("expected_count")), "actual_count": c("actual_count"),
+            "missing_count": number(c("missing_count")), "gap_pct": F.round("gap_pct", 2),
+            "sample_missing": sample["numbers"],
+            **{f"{n}_text": F.when(number(c(n)).isNull(), c(n)) for n in counts},
+            "sample_missing_text": F.when(F.size(sample["texts"]) > 0, sample["texts"]),
         },
         text=_text("SEQUENTIAL_GAP", c("first_number"), c("last_number"), c("expected_count"), c("actual_count"),
                    c("missing_count"), F.format_string("%.1f", c("gap_pct"))),
@@ -324,31 +340,35 @@ def _stacked(parts: list[DataFrame], df: DataFrame, schema: str) -> DataFrame:
     return parts[0]
 
 
-def payment_pairs(df: DataFrame, rule_ids: list[str] | None = None, params: dict | None = None, stage=None):
-    """Pairs for `findings` and `finding_rows`, so that a run finds them once; None if the rule does not run."""
+def payment_pairs(
+    df: DataFrame, rule_ids: list[str] | None = None, params: dict | None = None, stage=None
+) -> duplicates.PaymentCells | None:
+    """Cell pairs for `findings` and `finding_rows`, so that a run finds them once; None if the rule does not run."""
     ledger = narrow(df)
     if "DUPLICATE_PAYMENT" not in _runnable(ledger, rule_ids):
         return None
-    pairs = duplicates.duplicate_payments(ledger, params_with(params), stage)
-    return stage(pairs, "payment_pairs") if stage else pairs
+    return duplicates.payment_cells(ledger, params_with(params), stage)
 
 
 def findings(
-    df: DataFrame, rule_ids: list[str] | None = None, params: dict | None = None, pairs: DataFrame | None = None
+    df: DataFrame, rule_ids: list[str] | None = None, params: dict | None = None,
+    pairs: duplicates.PaymentCells | None = None,
 ) -> DataFrame:
     """All findings of the enabled rules; order by `seq` for reporting order."""
     ledger, p = narrow(df), params_with(params)
     runnable = _runnable(ledger, rule_ids)
     parts = [GROUP_RULES[r](ledger, p) for r in runnable if r in GROUP_RULES]
     if "DUPLICATE_PAYMENT" in runnable:
-        parts.append(_duplicate_payment(duplicates.duplicate_payments(ledger, p) if pairs is None else pairs, p))
+        found = duplicates.payment_cells(ledger, p) if pairs is None else pairs
+        parts.append(_duplicate_payment(duplicates.unfolded(found), p))
     if (row_part := _row_findings(ledger, p, runnable)) is not None:
         parts.append(row_part)
     return _stacked(parts, df, FINDING_SCHEMA)
 
 
 def finding_rows(
-    df: DataFrame, rule_ids: list[str] | None = None, params: dict | None = None, pairs: DataFrame | None = None
+    df: DataFrame, rule_ids: list[str] | None = None, params: dict | None = None,
+    pairs: duplicates.PaymentCells | None = None,
 ) -> DataFrame:
     """Flagged rows of the enabled rules, keyed by `finding_key`."""
     ledger, p = narrow(df), params_with(params)
@@ -367,8 +387,8 @@ def finding_rows(
     if "DUPLICATE_INVOICE" in runnable:
         parts.append(shaped(duplicates.duplicate_invoice_rows(ledger), "DUPLICATE_INVOICE", _invoice_key()))
     if "DUPLICATE_PAYMENT" in runnable:
-        pairs = duplicates.duplicate_payments(ledger, p) if pairs is None else pairs
-        parts.append(shaped(duplicates.duplicate_payment_rows(ledger, pairs), "DUPLICATE_PAYMENT", _pair_key()))
+        pairs = duplicates.payment_cells(ledger, p) if pairs is None else pairs
+        parts.append(shaped(duplicates.duplicate_payment_rows(pairs), "DUPLICATE_PAYMENT", _pair_key()))
     checks = {r: c for r, c in row_rules.row_checks(ledger, p).items() if r in runnable}
     if checks:
         parts.append(

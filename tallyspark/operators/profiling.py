@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyspark.functions import fixed_values as fv
 from tallyspark.functions.names import ROW_INDEX, col, data_columns
@@ -59,16 +61,14 @@ def profile_columns(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def profile_samples(df: DataFrame, n: int = fv.PROFILE_SAMPLES) -> DataFrame:
-    """The first non-null values of each column, as text."""
-    columns = data_columns(df)
-    texts = df.select(ROW_INDEX, *[_display(df, c).alias(c) for c in columns])
-    cells = texts.unpivot(ROW_INDEX, [col(c) for c in columns], "column", "value").filter(F.col("value").isNotNull())
-    place = F.row_number().over(W.partitionBy("column").orderBy(ROW_INDEX))
-    return cells.withColumn("position", place).filter(F.col("position") <= n).select("column", "position", "value")
-
-
-def _display(df: DataFrame, name: str) -> Column:
-    return display_text(df, name)
+    """The first non-null values of each column, as text. Per column a heap of `n` rows; two columns are read for it."""
+    parts = []
+    for c in data_columns(df):
+        first = df.filter(col(c).isNotNull()).select(ROW_INDEX, display_text(df, c).alias("value")).orderBy(ROW_INDEX).limit(n)
+        placed = first.agg(F.sort_array(F.collect_list(F.struct(ROW_INDEX, "value"))).alias("_first"))
+        parts.append(placed.select(F.lit(c).alias("column"), F.posexplode("_first.value").alias("position", "value")))
+    stacked = reduce(DataFrame.union, parts)
+    return stacked.select("column", (F.col("position") + 1).alias("position"), "value")
 
 
 def profile_numeric(df: DataFrame) -> DataFrame:

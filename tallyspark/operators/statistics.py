@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyspark.functions import fixed_values as fv
 from tallyspark.functions.quantiles import exact_percentiles, melt
-from tallyspark.functions.values import exact_mean, exact_sum
+from tallyspark.functions.values import either_part, exact_mean, exact_parts, exact_sum, merged_parts
 from tallyspark.operators.ledger import params_with, with_values
 
 
@@ -14,16 +14,32 @@ def _amounts(ledger: DataFrame) -> DataFrame:
     return with_values(ledger, ["amount"])
 
 
-def amount_summary(ledger: DataFrame) -> DataFrame:
-    """One row of count, mean, median, std, min, max, p95, p99; none without amounts."""
+def amount_summary(ledger: DataFrame, params: dict | None = None) -> DataFrame:
+    """One row of count, mean, median, std, min, max, p95, p99, outlier counts and fences; none without amounts."""
     long = melt(_amounts(ledger), ["amount"])
     basics = long.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    ranks = exact_percentiles(long, {"median": 0.5, "p95": 0.95, "p99": 0.99})
-    return basics.join(ranks, "column").select("count", "mean", "median", "std", "min", "max", "p95", "p99")
+    ranks = exact_percentiles(long, {"q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "p99": 0.99})
+    reach = (F.col("q3") - F.col("q1")) * fv.IQR_FENCE
+    known = basics.join(ranks, "column").withColumns(
+        {"iqr_lower_fence": F.col("q1") - reach, "iqr_upper_fence": F.col("q3") + reach}
+    )
+    value, z = F.col("value"), F.try_divide(F.col("value") - F.col("mean"), F.col("std"))
+    far = F.abs(z) > params_with(params)["outlier_zscore_threshold"]
+    outside = (value < F.col("iqr_lower_fence")) | (value > F.col("iqr_upper_fence"))
+    facts = ["count", "mean", "median", "std", "min", "max", "p95", "p99"]
+    fences = ["iqr_lower_fence", "iqr_upper_fence"]
+    first = [F.any_value(c).alias(c) for c in facts + fences]
+    return (
+        long.join(F.broadcast(known), "column")  # one row per column
+        .groupBy("column").agg(
+            *first, F.count_if(far).alias("outliers_zscore_count"), F.count_if(outside).alias("outliers_iqr_count")
+        )
+        .select(*facts, "outliers_zscore_count", "outliers_iqr_count", *fences)
+    )
 
 
 def amount_moments(ledger: DataFrame) -> DataFrame:
@@ -78,7 +94,7 @@ def _month() -> Column:
 def vendor_monthly(ledger: DataFrame) -> DataFrame:
     return (
         with_values(ledger, ["vendor", "amount", "date"])
-        .groupBy("vendor", _month()).agg(exact_sum(F.col("amount")).cast("double").alias("total"))
+        .groupBy("vendor", _month()).agg(exact_sum(F.col("amount")).alias("total"))
     )
 
 
@@ -86,9 +102,8 @@ def top_vendors(ledger: DataFrame, n: int = fv.TOP_VENDORS) -> DataFrame:
     """Vendors with the largest absolute spend over dated rows."""
     return (
         with_values(ledger, ["vendor", "amount", "date"])
-        .groupBy("vendor").agg(exact_sum(F.abs("amount")).alias("_spend"))
-        .orderBy(F.desc("_spend"), "vendor").limit(n)
-        .select("vendor", F.col("_spend").cast("double").alias("spend"))
+        .groupBy("vendor").agg(exact_sum(F.abs("amount")).alias("spend"))
+        .orderBy(F.desc("spend"), "vendor").limit(n)
     )
 
 
@@ -116,11 +131,13 @@ def vendor_spikes(ledger: DataFrame) -> DataFrame:
 def vendor_variance(ledger: DataFrame, n: int = fv.TOP_VENDORS) -> DataFrame:
     """Mean amount of a vendor against the overall mean, for the vendors with the highest means."""
     known = with_values(ledger, ["vendor", "amount"])
-    totals = known.groupBy("vendor").agg(exact_sum(F.col("amount")).alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    overall = totals.agg(F.try_divide(F.sum("_sum").cast("double"), F.sum("_n"))).scalar()
+    exact, loose = exact_parts(F.col("amount"))
+    totals = known.groupBy("vendor").agg(exact.alias("_exact"), loose.alias("_loose"), F.count(F.lit(1)).alias("_n"))
+    parts = F.col("_exact"), F.col("_loose")
+    overall = totals.agg(F.try_divide(either_part(*merged_parts(*parts)), F.sum("_n"))).scalar()
     deviation = F.coalesce(F.try_divide(F.col("vendor_mean") - F.col("overall_mean"), F.col("overall_mean")), F.lit(0.0))
     return (
-        totals.select("vendor", F.try_divide(F.col("_sum").cast("double"), F.col("_n")).alias("vendor_mean"))
+        totals.select("vendor", F.try_divide(either_part(*parts), F.col("_n")).alias("vendor_mean"))
         .orderBy(F.desc("vendor_mean"), "vendor").limit(n)
         .withColumn("overall_mean", overall)
         .withColumn("deviation_pct", deviation * 100)
@@ -134,7 +151,7 @@ def vendor_summary(ledger: DataFrame, vendor: str | None = None) -> DataFrame:
         rows = rows.filter(F.col("vendor") == str(vendor))
     return rows.groupBy("vendor").agg(
         F.count(F.lit(1)).alias("transaction_count"),
-        exact_sum(F.col("amount")).cast("double").alias("total_spend"), exact_mean(F.col("amount")).alias("avg_amount"),
+        exact_sum(F.col("amount")).alias("total_spend"), exact_mean(F.col("amount")).alias("avg_amount"),
         F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"),
     )

@@ -5,33 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tallyspark.functions.skew import salted_join
-from tallyspark.functions.values import day_number, exact_sum, exceeds, whole_days
+from tallyspark.functions.values import day_number, either_part, exact_parts, exceeds, merged_parts, whole_days
 from tallyspark.operators.ledger import params_with, snapshot_columns, with_values
 
 
 def dormant_vendor_rows(ledger: DataFrame, params: dict | None = None) -> DataFrame:
     """Rows that follow more than n whole days without a posting of that vendor.
 
-    Dates are folded into spans of n days per vendor. Inside a span no gap can
+    Dates are folded into spans of n days per vendor (vendor, span). Inside a span no gap can
     exceed n days, so only the first row of a span can be a reactivation, and its
     predecessor is the last date of the span before. The window therefore sees one
     row per vendor and span, however many rows a vendor has.
     """
     limit = int(params_with(params)["dormant_vendor_days"])
-    spans = (
-        with_values(ledger, ["vendor", "date"])
-        .groupBy("vendor", F.floor(day_number(F.col("date")) / max(1, limit)).alias("_span"))
-        .agg(
-            F.min(F.struct(F.col("date").alias("_at"), *snapshot_columns(ledger))).alias("_first"),
-            F.max("date").alias("_last"),
-        )
+    dated = with_values(ledger, ["vendor", "date"])
+    hits = _reactivations(dated, limit)
+    keyed = dated.join(hits, ["vendor", "date"])
+    first = keyed.groupBy("vendor", "date").agg(F.min("row_index").alias("row_index"), F.max("days").alias("days"))
+    return first.select("row_index", "days").join(dated.select(*snapshot_columns(ledger)), "row_index").select(
+        *[c for c in snapshot_columns(dated)], "days"
     )
-    before = F.lag("_last").over(W.partitionBy("vendor").orderBy("_span"))
-    return (
-        spans.withColumn("days", whole_days(before, F.col("_first.date")))
-        .filter(F.col("days") > limit)
-        .select("_first.*", "days").drop("_at")
+
+
+def _reactivations(dated: DataFrame, limit: int) -> DataFrame:
+    """(vendor, date, days): the dates at which a vendor comes back. Two dates a span, in hash aggregates."""
+    spans = dated.groupBy("vendor", F.floor(day_number(F.col("date")) / max(1, limit)).alias("_span")).agg(
+        F.min("date").alias("date"), F.max("date").alias("_last")
     )
+    before = F.lag("_last").over(W.partitionBy("vendor").orderBy("_span"))
+    return spans.withColumn("days", whole_days(before, F.col("date"))).filter(F.col("days") > limit).select("vendor", "date", "days")
 
 
 def new_vendor_rows(ledger: DataFrame, params: dict | None = None) -> DataFrame:
@@ -56,13 +58,12 @@ def new_vendor_rows(ledger: DataFrame, params: dict | None = None) -> DataFrame:
 
 def vendor_concentration(ledger: DataFrame, params: dict | None = None) -> DataFrame:
     """Vendors above the given share of total absolute spend."""
-    spend = (
-        with_values(ledger, ["vendor", "amount"])
-        .groupBy("vendor").agg(exact_sum(F.abs("amount")).alias("_spend"))
-    )
-    total = spend.agg(F.sum("_spend").cast("double")).scalar()
+    exact, loose = exact_parts(F.abs("amount"))
+    spend = with_values(ledger, ["vendor", "amount"]).groupBy("vendor").agg(exact.alias("_exact"), loose.alias("_loose"))
+    parts = F.col("_exact"), F.col("_loose")
+    total = spend.agg(either_part(*merged_parts(*parts))).scalar()
     return (
-        spend.select("vendor", F.col("_spend").cast("double").alias("vendor_spend"), total.alias("total_spend"))
+        spend.select("vendor", either_part(*parts).alias("vendor_spend"), total.alias("total_spend"))
         .withColumn("concentration_pct", F.try_divide(F.col("vendor_spend"), F.col("total_spend")) * 100)
         .filter(F.col("concentration_pct") > params_with(params)["vendor_concentration_pct"])
     )

@@ -60,19 +60,64 @@ def findings_export(spark, sf):
     return reports.export_view(_reviewed(spark, sf))
 
 
+def _saved(found, folder, dataset_id):
+    store.write_partition(store.with_finding_ids(found, dataset_id), folder, "findings", dataset_id)
+
+
 @registered
 def persist_findings(spark, sf):
-    folder = store.scratch_folder(spark)
-    ledger = written_ledger(spark, sf)
-    rules = ["DUPLICATE_INVOICE", "THRESHOLD_BREACH", "SPLIT_TRANSACTION"]
-    for dataset_id, wanted in (("one", rules), ("two", rules), ("one", rules[1:])):
-        found = store.with_finding_ids(scoring.score(fnd.findings(ledger, wanted)), dataset_id)
-        store.write_partition(found, folder, "findings", dataset_id)
+    """All rules for two datasets; a rerun of one with fewer rules replaces its findings and no others."""
+    folder, ledger, stage = store.scratch_folder(spark), written_ledger(spark, sf), _stage(spark)
+    found = stage(scoring.score(fnd.findings(ledger, pairs=fnd.payment_pairs(ledger, stage=stage))), "findings")
+    _saved(found, folder, "one"), _saved(found, folder, "two")
+    _saved(scoring.score(fnd.findings(ledger, ["THRESHOLD_BREACH", "SPLIT_TRANSACTION"])), folder, "one")
     return store.read_table(spark, folder, "findings").groupBy("dataset_id", "rule_id", "status").agg(
         F.count_distinct("finding_id").alias("n_findings"), F.sum("n_rows").alias("n_rows")
     )
 
 
+def _split_findings(spark, sf) -> DataFrame:
+    return _stage(spark)(scoring.score(fnd.findings(written_ledger(spark, sf), ["SPLIT_TRANSACTION"])), "findings")
+
+
+@registered
+def rerun_reset(spark, sf):
+    """Reviews settle the findings of one run; the next run of the dataset starts pending again."""
+    folder, found = store.scratch_folder(spark), _split_findings(spark, sf)
+
+    def status(moment):
+        found = store.read_table(spark, folder, "findings")
+        folded = review.current_status(found, store.read_reviews(spark, folder))
+        counts = folded.groupBy("status").agg(F.count(F.lit(1)).alias("n_findings"))
+        return store.staged(counts.select(F.lit(moment).alias("moment"), "status", "n_findings"), folder, "status")
+
+    _saved(found, folder, "one")
+    store.append_reviews(store.read_table(spark, folder, "findings").select(
+        "dataset_id", "finding_id", F.monotonically_increasing_id().alias("id"), F.lit("CONFIRM").alias("action"),
+        F.lit("2024-05-07").cast("timestamp_ntz").alias("created_at"),
+    ), folder)
+    before = status("reviewed before")
+    _saved(found, folder, "one")
+    return before.unionByName(status("after the rerun"))
+
+
+@registered
+def delete_then_rerun(spark, sf):
+    """A deleted dataset is hidden until it is written again."""
+    folder, found = store.scratch_folder(spark), _split_findings(spark, sf)
+
+    def counts(moment):
+        by_id = store.read_table(spark, folder, "findings").groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_findings"))
+        return store.staged(by_id.select(F.lit(moment).alias("moment"), "dataset_id", "n_findings"), folder, "counts")
+
+    for dataset_id in ("one", "two"):
+        _saved(found, folder, dataset_id)
+    store.delete_datasets(spark.createDataFrame([("one",)], "dataset_id string"), folder)
+    deleted = counts("deleted")
+    _saved(found, folder, "one")
+    return deleted.unionByName(counts("written again"))
+
+
 @registered
 def latest_per_dataset(spark, sf):
     versions = data.table(spark, sf, "orders").select(
@@ -342,12 +387,48 @@ def findings_all(spark, sf):
     )
 
 
+# --- values at the edge
+
+
+def _extreme(spark, sf) -> DataFrame:
+    return fnd.narrow(data.extreme_ledger(spark, sf))
+
+
+@registered
+def extreme_gap(spark, sf):
+    return _rounded(duplicates.sequential_gap(_extreme(spark, sf)), 6, "gap_pct")
+
+
+@registered
+def extreme_missing(spark, sf):
+    return duplicates.missing_numbers(_extreme(spark, sf))
+
+
+@registered
+def extreme_concentration(spark, sf):
+    found = vendors.vendor_concentration(_extreme(spark, sf)).select("vendor", "concentration_pct")
+    return _rounded(found, 6, "concentration_pct")
+
+
+@registered
+def extreme_monthly(spark, sf):
+    vast = F.when(F.col("vendor") == "Vast", F.round(F.col("total") / 1e20, 3)).otherwise(F.col("total"))
+    return statistics.vendor_monthly(_extreme(spark, sf)).withColumn("total", vast)
+
+
+@registered
+def extreme_split(spark, sf):
+    groups = amounts.split_transactions(_extreme(spark, sf))
+    return groups.select("vendor", "date", "transaction_count", F.round(F.col("total_amount") / 1e20, 3).alias("total"))
+
+
 # --- statistics
 
 
 @registered
 def stats_amount(spark, sf):
-    return _rounded(statistics.amount_summary(_narrow(spark, sf)), 4, "mean", "median", "std", "p95", "p99")
+    summary = statistics.amount_summary(_narrow(spark, sf))
+    return _rounded(summary, 4, "mean", "median", "std", "p95", "p99", "iqr_lower_fence", "iqr_upper_fence")
 
 
 @registered

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tallyspark.functions import fixed_values as fv
 from tallyspark.plans.catalogue import SQL_CTE, SQL_GROUP
-from tallyspark.plans.portable import COLUMNS, FINDINGS, LEDGER, RAW
+from tallyspark.plans.portable import COLUMNS, EXTREME, FINDINGS, LEDGER, RAW
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -21,7 +21,15 @@ def _on(ctes: str, **selects: str) -> None:
 
 # --- cleaning
 
-STEPS = RAW + """,
+DATE_FORMATS = [
+    "%Y-%m-%d", "%Y-%m-%dT%H:%M:%S", "%m/%d/%y", "%m/%d/%Y", "%d/%m/%Y", "%m/%d/%Y %I:%M %p", "%Y-%m-%d %I:%M:%S %p", "%d-%b-%y",
+    "%d %b %y", "%b %d, %Y %H:%M", "%Y.%m.%d", "%m.%d.%Y", "%a, %d %b %Y",
+]
+DATE = "coalesce(" + ", ".join(f"try_strptime({{0}}, '{f}')" for f in DATE_FORMATS) + (
+    ", try_strptime(regexp_replace({0}, '^Wednesday, +', ''), '%d %b %Y'))"
+)
+
+STEPS = RAW + f""",
 stripped AS (SELECT row_index, trim(amount_raw) AS amount_raw, trim(date_raw) AS date_raw, trim(memo_raw) AS memo_raw FROM raw),
 guarded AS (SELECT row_index,
   CASE WHEN substr(amount_raw,1,1) IN ('=','+','-','@') THEN '''' || amount_raw ELSE amount_raw END AS amount_raw,
@@ -36,8 +44,7 @@ cells AS (SELECT 0 AS ordinal, 'amount_raw' AS column_name, amount_raw AS v FROM
   UNION ALL SELECT 1, 'date_raw', date_raw FROM deduped UNION ALL SELECT 2, 'memo_raw', memo_raw FROM deduped),
 votes AS (SELECT ordinal, column_name, count(v) AS non_null,
   avg(CASE WHEN v IS NOT NULL THEN CAST(regexp_matches(v, '^\\(?-?\\$?\\s?[\\d,]+\\.?\\d*\\)?%?$') AS INT) END) AS numeric_share,
-  avg(CASE WHEN v IS NOT NULL THEN CAST(coalesce(try_strptime(v,'%Y-%m-%d'), try_strptime(v,'%Y-%m-%dT%H:%M:%S'),
-      try_strptime(v,'%m/%d/%Y'), try_strptime(v,'%d/%m/%Y')) IS NOT NULL AS INT) END) AS date_share
+  avg(CASE WHEN v IS NOT NULL THEN CAST({DATE.format('v')} IS NOT NULL AS INT) END) AS date_share
   FROM cells GROUP BY ordinal, column_name),
 typed AS (SELECT *, CASE WHEN numeric_share >= 0.8 THEN 'numeric' WHEN date_share >= 0.8 THEN 'date' ELSE 'text' END AS type FROM votes)"""
 
@@ -53,8 +60,7 @@ _on(
       round(date_share, 6) AS date_share, type FROM typed""",
     clean_numeric="""SELECT row_index, CASE WHEN amount_raw LIKE '(%' AND amount_raw LIKE '%)' THEN -1 ELSE 1 END
       * TRY_CAST(regexp_replace(amount_raw, '[()$,%]', '', 'g') AS DOUBLE) AS amount FROM nulled""",
-    clean_dates="""SELECT row_index, coalesce(try_strptime(date_raw,'%Y-%m-%d'), try_strptime(date_raw,'%Y-%m-%dT%H:%M:%S'),
-      try_strptime(date_raw,'%m/%d/%Y'), try_strptime(date_raw,'%d/%m/%Y')) AS date FROM nulled""",
+    clean_dates=f"SELECT row_index, {DATE.format('date_raw')} AS date FROM nulled",
     cleaning_log="""SELECT 0 AS seq, 'normalize_nulls' AS step, NULL::VARCHAR AS "column",
         (SELECT count(*) FILTER (amount_raw IS NULL) + count(*) FILTER (date_raw IS NULL) + count(*) FILTER (memo_raw IS NULL) FROM nulled) AS count
       UNION ALL SELECT 1, 'drop_duplicate_rows', NULL, (SELECT count(*) FROM nulled) - (SELECT count(*) FROM deduped)
@@ -222,12 +228,6 @@ _on(
     rule_dormant_vendor="SELECT row_index, vendor, date, CAST(days AS INT) AS days FROM dormant",
     rule_new_vendor_high_value="SELECT row_index, vendor, amount, CAST(days AS INT) AS days FROM fresh",
     rule_vendor_concentration="SELECT vendor, vendor_spend, total_spend, concentration_pct FROM heavy",
-    persist_findings="""SELECT d.dataset_id, f.rule_id, 'PENDING' AS status, f.n_findings, f.n_rows FROM (
-        SELECT 'DUPLICATE_INVOICE' AS rule_id, count(*) AS n_findings, sum(duplicate_count)::BIGINT AS n_rows FROM invoice_groups
-        UNION ALL SELECT 'THRESHOLD_BREACH', 1, count(*) FROM breaches
-        UNION ALL SELECT 'SPLIT_TRANSACTION', count(*), sum(transaction_count)::BIGINT FROM splits) f,
-        (VALUES ('one'), ('two')) AS d(dataset_id)
-      WHERE NOT (d.dataset_id = 'one' AND f.rule_id = 'DUPLICATE_INVOICE')""",
 )
 
 ROW = "invoice_no, vendor, amount, date, entry_date, timestamp"
@@ -285,7 +285,7 @@ BOOST = """CASE WHEN total_exposure IS NULL THEN 0 ELSE least(10, total_exposure
 BASE = "CASE severity WHEN 'HIGH' THEN 85 WHEN 'MEDIUM' THEN 60 WHEN 'LOW' THEN 30 ELSE 50 END"
 SCORE = f"CAST(greatest(0, least(100, round_even(CAST({BASE} + {BOOST} AS DOUBLE), 0))) AS INT)"
 
-_on(HITS + ", found AS (" + " UNION ALL ".join([
+FOUND = HITS + ", found AS (" + " UNION ALL ".join([
     _found("DUPLICATE_INVOICE", "invoice_groups", "duplicate_count", _said(
         "DUPLICATE_INVOICE", "invoice_no", "duplicate_count", "vendor", "amount::VARCHAR", "date::VARCHAR", "total_exposure::VARCHAR"),
         total_exposure="total_exposure", duplicate_count="duplicate_count"),
@@ -307,9 +307,41 @@ _on(HITS + ", found AS (" + " UNION ALL ".join([
     _found("SINGLE_VENDOR_CONCENTRATION", "heavy", "0", _said(
         "SINGLE_VENDOR_CONCENTRATION", "vendor", "printf('%.1f', concentration_pct)", "format('{:,.2f}', vendor_spend)",
         "format('{:,.2f}', total_spend)", "40"), concentration_pct="round(concentration_pct, 2)", threshold_pct="40"),
-]) + ")", findings_all=f"""SELECT rule_id, rule_name, severity, n_rows, round(total_exposure, 4) AS total_exposure, duplicate_count,
+]) + ")"
+
+_on(FOUND, findings_all=f"""SELECT rule_id, rule_name, severity, n_rows, round(total_exposure, 4) AS total_exposure, duplicate_count,
   round(p_value, 4) AS p_value, round(concentration_pct, 4) AS concentration_pct, threshold_pct, round(gap_pct, 4) AS gap_pct,
-  audit_explanation, {SCORE} AS risk_score FROM found""")
+  audit_explanation, {SCORE} AS risk_score FROM found""",
+    persist_findings="""SELECT d.dataset_id, rule_id, 'PENDING' AS status, count(*) AS n_findings, sum(n_rows)::BIGINT AS n_rows
+      FROM found, (VALUES ('one'), ('two')) AS d(dataset_id) WHERE d.dataset_id = 'two' OR rule_id IN ('THRESHOLD_BREACH', 'SPLIT_TRANSACTION')
+      GROUP BY ALL""",
+    rerun_reset="""SELECT 'reviewed before' AS moment, 'CONFIRMED' AS status, count(*) AS n_findings FROM found WHERE rule_id = 'SPLIT_TRANSACTION'
+      UNION ALL SELECT 'after the rerun', 'PENDING', count(*) FROM found WHERE rule_id = 'SPLIT_TRANSACTION'""",
+    delete_then_rerun="""SELECT m.moment, 'two' AS dataset_id, count(*) AS n_findings FROM found, (VALUES ('deleted'), ('written again')) AS m(moment)
+      WHERE rule_id = 'SPLIT_TRANSACTION' GROUP BY ALL
+      UNION ALL SELECT 'written again', 'one', count(*) FROM found WHERE rule_id = 'SPLIT_TRANSACTION'""",
+)
+
+_on(
+    EXTREME + """,
+numbers AS (SELECT DISTINCT ltrim(regexp_extract(invoice_no, '[0-9]+'), '0') AS t FROM extreme WHERE invoice_no IS NOT NULL),
+ends AS (SELECT min(TRY_CAST(t AS BIGINT)) AS low, count(*) AS n FROM numbers),
+known AS (SELECT vendor, date, amount FROM extreme WHERE vendor IS NOT NULL AND amount IS NOT NULL),
+spend AS (SELECT vendor, sum(abs(amount)) AS s FROM known GROUP BY vendor)""",
+    extreme_gap="""SELECT low::VARCHAR AS first_number, '1' || repeat('0', 44) AS last_number, n AS actual_count,
+      '99999999999999' || (1000000000000000000000000000000::HUGEINT - low + 1)::VARCHAR AS expected_count,
+      '99999999999999' || (1000000000000000000000000000000::HUGEINT - low + 1 - n)::VARCHAR AS missing_count, 100.0::DOUBLE AS gap_pct FROM ends""",
+    extreme_missing="""SELECT m.n::VARCHAR AS missing_number FROM (SELECT unnest(range(low, low + 100000)) AS n FROM ends) m
+      WHERE m.n::VARCHAR NOT IN (SELECT t FROM numbers) ORDER BY m.n LIMIT 25""",
+    extreme_concentration="""SELECT vendor, round(s / (SELECT sum(s) FROM spend) * 100, 6) AS concentration_pct FROM spend
+      WHERE s / (SELECT sum(s) FROM spend) > 0.4""",
+    extreme_monthly="""SELECT vendor, strftime(date, '%Y-%m') AS month, CASE WHEN vendor = 'Vast' THEN round(sum(amount) / 1e20, 3)
+      ELSE sum(CAST(amount AS DECIMAL(38,8)))::DOUBLE END AS total FROM known GROUP BY 1, 2""",
+    extreme_split="""SELECT vendor, date, count(*) AS transaction_count, round(sum(amount) / 1e20, 3) AS total FROM known WHERE vendor = 'Vast'
+      GROUP BY ALL HAVING count(*) > 1
+      UNION ALL SELECT vendor, date, count(*), round(sum(amount) / 1e20, 3) FROM known WHERE vendor <> 'Vast' GROUP BY ALL
+      HAVING count(*) > 1 AND sum(CAST(amount AS DECIMAL(38,8))) > 50000 AND sum(CAST(amount AS DECIMAL(38,8))) % 1 = 0""",
+)
 
 # --- statistics
 
@@ -328,7 +360,11 @@ lagged AS (SELECT m.*, lag(total) OVER (PARTITION BY vendor ORDER BY month) AS b
 trend AS (SELECT vendor, month, total, (total - before) / before * 100 AS pct_change FROM lagged)""",
     stats_amount="""SELECT count(*) AS count, round(avg(amount), 4) AS mean, round(median(amount), 4) AS median,
       round(stddev_samp(amount), 4) AS std, min(amount) AS min, max(amount) AS max,
-      round(quantile_cont(amount, 0.95), 4) AS p95, round(quantile_cont(amount, 0.99), 4) AS p99 FROM money""",
+      round(quantile_cont(amount, 0.95), 4) AS p95, round(quantile_cont(amount, 0.99), 4) AS p99,
+      count(*) FILTER (abs(amount - s.mean) / s.std > 3) AS outliers_zscore_count,
+      count(*) FILTER (amount < lower_fence OR amount > upper_fence) AS outliers_iqr_count,
+      round(any_value(lower_fence), 4) AS iqr_lower_fence, round(any_value(upper_fence), 4) AS iqr_upper_fence
+      FROM money, spread s, fence""",
     stats_moments="SELECT round(skewness(amount), 6) AS skewness, round(kurtosis(amount), 6) AS kurtosis FROM money",
     outliers_zscore="""SELECT row_index, amount, round((amount - mean) / std, 6) AS zscore FROM money, spread
       WHERE abs((amount - mean) / std) > 3""",

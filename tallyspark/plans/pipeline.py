@@ -48,14 +48,15 @@ def run_audit(
     params: dict | None = None,
     mapping: dict[str, str] | None = None,
     compat: bool = True,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
+    dense: bool = False,
 ) -> AuditRun:
     """Audit a CSV path or an all-text DataFrame with `row_index`.
 
     The raw, distinct and typed ledgers are each written once to the shared
     scratch folder: later steps read columns of a Parquet table instead of repeating
     the work before, and a lost executor costs one task, not the whole lineage.
-    `mapping` overrides the inferred roles, also on a rerun.
+    `mapping` overrides the inferred roles, also on a rerun. `dense` renumbers rows to 0, 1, 2, ... after cleaning.
     """
     folder = store.scratch_folder(spark)
     stage = lambda df, name: store.staged(df, folder, name)
@@ -63,7 +64,7 @@ def run_audit(
     raw = read_csv_ledger(spark, source, multi_line) if isinstance(source, str) else source
     raw = stage(raw, "raw_text")
     cleaned = cleaning.clean(raw, stage, compat)
-    typed = stage(dense_row_index(cleaned.ledger), "typed")
+    typed = stage(dense_row_index(cleaned.ledger) if dense else cleaned.ledger, "typed")
     roles = mapping if mapping is not None else schema.infer_mapping(typed, dataset_id)
     ledger = schema.apply_mapping(typed, roles)
     row_count = typed.count()
@@ -96,7 +97,7 @@ def run_audit(
     run.tables["summary"] = reports.run_summary(run.findings, row_count)
     if has_columns(slim, ["amount"]):
         run.tables |= {
-            "amount_summary": statistics.amount_summary(slim),
+            "amount_summary": statistics.amount_summary(slim, p),
             "amount_moments": statistics.amount_moments(slim),
             "outliers_zscore": statistics.zscore_outliers(slim, p),
             "outliers_iqr": statistics.iqr_outliers(slim),

@@ -35,19 +35,39 @@ ledger AS (
    date + (row_index % 9) * INTERVAL '1' DAY, entry_date, timestamp
    FROM base WHERE row_index % 103 = 0)"""
 
+# Invoice numbers of 38 and 45 digits, amounts that no decimal of a ledger holds, and eight decimals.
+EXTREME = LEDGER + """,
+extreme AS (
+ SELECT row_index,
+  CASE WHEN row_index % 501 = 1 THEN concat('INV-', repeat('9', 38)) WHEN row_index % 501 = 2 THEN concat('N', '1', repeat('0', 44))
+       ELSE invoice_no END AS invoice_no,
+  CASE WHEN row_index % 303 = 3 THEN 'Vast' WHEN row_index % 303 = 4 THEN 'Fine' ELSE vendor END AS vendor,
+  CASE WHEN row_index % 303 = 3 THEN CAST('1e23' AS DOUBLE) WHEN row_index % 303 = 4 THEN CAST('0.12345678' AS DOUBLE) + row_index
+       ELSE amount END AS amount,
+  date, entry_date, timestamp
+ FROM ledger)"""
+
 RAW = """
 s AS (SELECT o_orderkey k, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) a,
              CAST(CAST(o_orderdate AS DATE) AS STRING) d, o_orderpriority p FROM orders),
+t AS (SELECT *, substr(d,1,4) yyyy, substr(d,3,2) yy, substr(d,6,2) mm, substr(d,9,2) dd,
+  substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(substr(d,6,2) AS INT) * 3 - 2, 3) mon FROM s),
 once AS (SELECT k AS row_index,
  CASE WHEN k % 50 = 7 THEN 'N/A' WHEN k % 50 = 9 THEN '--'
       WHEN k % 7 = 0 THEN concat('$', a) WHEN k % 7 = 1 THEN concat('($', a, ')')
       WHEN k % 7 = 2 THEN concat('  ', a, ' ') WHEN k % 70 = 3 THEN concat('-', a) ELSE a END AS amount_raw,
- CASE WHEN k % 60 = 11 THEN 'null' WHEN k % 4 = 0 THEN d
+ CASE WHEN k % 60 = 11 THEN 'null'
+      WHEN k % 61 = 1 THEN concat(mm,'/',dd,'/',yy) WHEN k % 61 = 2 THEN concat(mm,'/',dd,'/',yyyy,' 8:30 AM')
+      WHEN k % 61 = 3 THEN concat(d,' 08:30:15 PM') WHEN k % 61 = 4 THEN concat(dd,'-',mon,'-',yy)
+      WHEN k % 61 = 5 THEN concat(dd,' ',mon,' ',yy) WHEN k % 61 = 6 THEN concat(mon,' ',dd,', ',yyyy,' 08:30')
+      WHEN k % 61 = 7 THEN concat(yyyy,'.',mm,'.',dd) WHEN k % 61 = 8 THEN concat(mm,'.',dd,'.',yyyy)
+      WHEN k % 61 = 9 THEN concat('Fri, ',dd,' ',mon,' ',yyyy) WHEN k % 61 = 10 THEN concat('Wednesday,',repeat(' ',50),dd,' ',mon,' ',yyyy)
+      WHEN k % 4 = 0 THEN d
       WHEN k % 4 = 1 THEN concat(substr(d,6,2),'/',substr(d,9,2),'/',substr(d,1,4))
       WHEN k % 4 = 2 AND CAST(substr(d,9,2) AS INT) > 12 THEN concat(substr(d,9,2),'/',substr(d,6,2),'/',substr(d,1,4))
       ELSE concat(d,'T08:30:00') END AS date_raw,
  CASE WHEN k % 40 = 0 THEN '=SUM(A1:A10)' WHEN k % 45 = 0 THEN '@SUM(1)' ELSE concat(' ', p, '  ') END AS memo_raw
- FROM s),
+ FROM t),
 raw AS (SELECT * FROM once
  UNION ALL SELECT row_index + 100000000, amount_raw, date_raw, memo_raw FROM once WHERE row_index % 30 = 0)"""
 
@@ -112,6 +132,10 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(spark, sf_dir, LEDGER, "SELECT * FROM ledger")
 
 
+def extreme_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query(spark, sf_dir, EXTREME, "SELECT * FROM extreme")
+
+
 def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(spark, sf_dir, RAW, "SELECT * FROM raw")
 

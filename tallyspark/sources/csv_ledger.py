@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from tallyspark.functions import fixed_values as fv
@@ -15,23 +17,73 @@ class EmptyLedgerError(ValueError):
     """The file has no columns or no rows."""
 
 
-def read_csv_ledger(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+class MalformedLedgerError(ValueError):
+    """Files of one ledger have different columns."""
+
+
+_EXTRA = "_cells_beyond_header"
+
+
+def read_csv_ledger(spark: SparkSession, path: str, multi_line: bool | None = None, skip_bad_rows: bool = False) -> DataFrame:
     """All-text ledger with trimmed names, missing-value tokens as NULL and `row_index`.
 
-    `multi_line=True` is right for any quoted cell but reads each file in one task;
-    files known to hold no line breaks inside cells can be split with False.
+    A first scan looks at each file's header and at lines with an odd number of quotes. Only files that have such lines can
+    hold line breaks inside cells and are read whole; the others are split. `multi_line` decides for all files instead.
+    Files may have their columns in different order, but must have the same ones.
+
+    A row with more cells than the header, or with bytes that are not UTF-8, stops the read; with `skip_bad_rows` such
+    rows are left out, and `rejected_rows` lists them.
     """
-    reader = spark.read.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-    header = reader.option("header", False).csv(path).limit(1).collect()
-    if not header or not any(header[0]):
+    return _read(spark, path, multi_line, refuse=not skip_bad_rows, keep_bad=False)
+
+
+def rejected_rows(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """The rows that `read_csv_ledger` refuses, with `row_index`, the cells read and the first cell too many."""
+    return _read(spark, path, multi_line, refuse=False, keep_bad=True)
+
+
+def _read(spark: SparkSession, path: str, multi_line: bool | None, refuse: bool, keep_bad: bool) -> DataFrame:
+    parts, names = [], None
+    for whole, files in _alike_files(spark, path, multi_line):
+        reader = spark.read.option("quote", '"').option("escape", '"').option("multiLine", whole).option("nullValue", "\0")
+        header = reader.option("header", False).csv(files).limit(1).collect()
+        if not header or not any(header[0]):
+            raise EmptyLedgerError("File contains no columns/data")
+        own = distinct_names(list(header[0]))
+        names = names or own
+        if sorted(own) != sorted(names):
+            raise MalformedLedgerError(f"Files have different columns: {names} and {own}")
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*own, _EXTRA)])
+        parts.append(reader.schema(schema).option("header", True).csv(files).select(*[col(n) for n in names], _EXTRA))
+    if not parts:
         raise EmptyLedgerError("File contains no columns/data")
-    names = distinct_names(list(header[0]))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = reader.schema(schema).option("header", True).csv(path)
+    raw = reduce(DataFrame.union, parts)
     if raw.isEmpty():
         raise EmptyLedgerError("File contains no columns/data")
+    damaged = reduce(lambda a, b: a | b, [F.coalesce(F.contains(col(n), F.lit("\ufffd")), F.lit(False)) for n in names])
+    bad = F.col(_EXTRA).isNotNull() | damaged
     cells = [F.when(~col(n).isin(fv.CSV_NULL_TOKENS), col(n)).alias(n) for n in names]
-    return raw.select(F.monotonically_increasing_id().alias(ROW_INDEX), *cells)
+    index = F.monotonically_increasing_id()
+    if refuse:
+        stop = F.raise_error(F.lit("A row has more cells than the header, or bytes that are not UTF-8")).cast("bigint")
+        return raw.select(F.when(bad, stop).otherwise(index).alias(ROW_INDEX), *cells)
+    kept = raw.select(index.alias(ROW_INDEX), *cells, _EXTRA, bad.alias("_bad"))
+    return kept.filter("_bad").drop("_bad") if keep_bad else kept.filter("not _bad").drop("_bad", _EXTRA)
+
+
+def _alike_files(spark: SparkSession, path: str, multi_line: bool | None) -> list[tuple[bool, list[str]]]:
+    """Files by header line and by the need to be read whole; one row per file comes to the driver."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"),
+    )
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    files = lines.groupBy("file").agg(F.bool_or(odd).alias("odd"), F.min_by("value", "place").alias("header"))
+    groups: dict[tuple, list[str]] = {}
+    for r in sorted(files.collect(), key=lambda r: r["file"]):
+        whole = r["odd"] if multi_line is None else multi_line
+        groups.setdefault((whole, r["header"]), []).append(r["file"])
+    return [(whole, found) for (whole, _), found in groups.items()]
 
 
 def dense_row_index(df: DataFrame) -> DataFrame:

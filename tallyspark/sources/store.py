@@ -1,19 +1,44 @@
-"""Result tables as Parquet, one partition per dataset."""
+"""Result tables as Parquet, one partition per dataset and version.
+
+Every write goes to a new version folder; a row in the log then makes it current. A crash between the two leaves
+the earlier version in place, and nothing is ever renamed. Deleting a dataset is a row in the log too, so a
+later run of the same dataset brings it back.
+"""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import time
 import uuid
+from functools import lru_cache
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-DELETED = "deleted_datasets"
+LOG = "versions"
+_LOG_SCHEMA = "seq long, event string, table string, dataset_id string, version string"
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    """For sessions in one process only; removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="tally-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder in the shared checkpoint location; local only where none is configured."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tally-")
+    """A fresh folder in the location that spark.checkpoint.dir names.
+
+    A local folder serves only where driver and executors are one process; on a cluster the setting is required.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = _local_folder()
     return f"{shared.rstrip('/')}/tally-{uuid.uuid4().hex}"
 
 
@@ -21,7 +46,7 @@ def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write once and continue from the written table: lineage is cut and survives lost executors."""
     path = f"{folder}/{name}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def file_system(spark: SparkSession, folder: str):
@@ -35,55 +60,93 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     fs.delete(path, True)
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path, fs = file_system(spark, folder)
+    return fs.exists(path)
+
+
 def partition_folder(root: str, table: str, dataset_id: str) -> str:
     return f"{root}/{table}/dataset_id={quote(dataset_id, safe='')}"
 
 
-def write_partition(df: DataFrame, root: str, table: str, dataset_id: str) -> None:
-    """Replace this dataset's partition of a table and leave the others alone.
+def _log(spark: SparkSession, root: str) -> DataFrame:
+    if not _exists(spark, f"{root}/{LOG}"):
+        return spark.createDataFrame([], _LOG_SCHEMA)
+    return spark.read.schema(_LOG_SCHEMA).parquet(f"{root}/{LOG}")
 
-    The new files are complete before the old folder goes, and an empty result
-    replaces an earlier one too.
-    """
-    spark = df.sparkSession
-    fresh = f"{root}/_writing/{table}-{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    target, fs = file_system(spark, partition_folder(root, table, dataset_id))
-    fs.mkdirs(target.getParent())
-    fs.delete(target, True)
-    if not fs.rename(file_system(spark, fresh)[0], target):
-        raise OSError(f"could not move {fresh} to {target}")
+
+def _record(events: DataFrame, root: str) -> None:
+    events.withColumn("seq", F.lit(time.time_ns())).select("seq", "event", "table", "dataset_id", "version").write.mode(
+        "append"
+    ).parquet(f"{root}/{LOG}")
+
+
+def current_versions(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """(dataset_id, version) of the last write of every dataset that has not been deleted since."""
+    events = _log(spark, root)
+    deleted = events.filter("event = 'delete'").groupBy("dataset_id").agg(F.max("seq").alias("_deleted"))
+    written = events.filter((F.col("event") == "write") & (F.col("table") == table)).groupBy("dataset_id").agg(
+        F.max(F.struct("seq", "version")).alias("last")
+    )
+    return written.join(deleted, "dataset_id", "left").filter(
+        F.col("_deleted").isNull() | (F.col("last.seq") > F.col("_deleted"))
+    ).select("dataset_id", "last.version")
+
+
+def write_partition(df: DataFrame, root: str, table: str, dataset_id: str) -> None:
+    """Replace this dataset's rows of a table and leave the others alone; an empty result replaces an earlier one too."""
+    version = uuid.uuid4().hex
+    df.write.parquet(f"{partition_folder(root, table, dataset_id)}/version={version}")
+    event = [("write", table, dataset_id, version)]
+    _record(df.sparkSession.createDataFrame(event, "event string, table string, dataset_id string, version string"), root)
 
 
 def read_partition(spark: SparkSession, root: str, table: str, dataset_id: str) -> DataFrame:
-    """One dataset's rows; only its folder is listed and read."""
-    return spark.read.parquet(partition_folder(root, table, dataset_id))
+    """One dataset's current rows, none if it was deleted; only its folder is read."""
+    rows = read_table(spark, root, table)
+    return rows.filter(F.col("dataset_id") == dataset_id).drop("dataset_id")
 
 
-def read_table(spark: SparkSession, root: str, table: str, merge_schema: bool = False) -> DataFrame:
-    """All datasets that have not been deleted; `merge_schema` for ledgers of different columns."""
+def _all_versions(spark: SparkSession, root: str, table: str, merge_schema: bool) -> DataFrame:
     path = f"{root}/{table}"
     found = spark.read.option("mergeSchema", merge_schema).parquet(path).schema
-    text_id = T.StructType([f if f.name != "dataset_id" else T.StructField("dataset_id", T.StringType()) for f in found])
-    df = spark.read.schema(text_id).parquet(path)  # ids such as 007 stay text
-    try:
-        deleted = spark.read.parquet(f"{root}/{DELETED}").select("dataset_id")
-    except Exception:  # noqa: BLE001 - nothing was ever deleted
-        return df
-    return without_datasets(df, deleted)
+    keys = ("dataset_id", "version")
+    text_ids = T.StructType([T.StructField(f.name, T.StringType()) if f.name in keys else f for f in found])
+    return spark.read.schema(text_ids).parquet(path)  # ids such as 007 stay text
 
 
-def append(df: DataFrame, root: str, table: str) -> None:
-    df.write.mode("append").parquet(f"{root}/{table}")
+def read_table(spark: SparkSession, root: str, table: str, merge_schema: bool = False) -> DataFrame:
+    """The current rows of all datasets that are not deleted; `merge_schema` for ledgers of different columns."""
+    rows = _all_versions(spark, root, table, merge_schema)
+    return rows.join(current_versions(spark, root, table), ["dataset_id", "version"], "left_semi").drop("version")
+
+
+def append_reviews(reviews: DataFrame, root: str) -> None:
+    """Add review actions (dataset_id, finding_id, ...) to the current findings of their datasets.
+
+    They belong to that version of the findings: a rerun starts without reviews, and a deleted dataset has none.
+    """
+    current = current_versions(reviews.sparkSession, root, "findings")
+    reviews.withColumn("dataset_id", F.col("dataset_id").cast("string")).join(current, "dataset_id").write.mode("append").partitionBy(
+        "dataset_id", "version"
+    ).parquet(f"{root}/reviews")
+
+
+def read_reviews(spark: SparkSession, root: str) -> DataFrame:
+    """Review actions on the current findings."""
+    rows = _all_versions(spark, root, "reviews", False)
+    return rows.join(current_versions(spark, root, "findings"), ["dataset_id", "version"], "left_semi").drop("version")
 
 
 def delete_datasets(dataset_ids: DataFrame, root: str) -> None:
-    """Record datasets as deleted; every table read hides them from then on."""
-    append(dataset_ids.select(F.col("dataset_id").cast("string")).distinct(), root, DELETED)
+    """Record datasets as deleted; every table read hides them until they are written again."""
+    ids = dataset_ids.select(F.col("dataset_id").cast("string")).distinct()
+    nothing = F.lit(None).cast("string")
+    _record(ids.withColumns({"event": F.lit("delete"), "table": nothing, "version": nothing}), root)
 
 
 def purge_dataset(spark: SparkSession, root: str, dataset_id: str, tables: list[str]) -> None:
-    """Remove the files of one dataset from the named tables; a folder each, whatever its size."""
+    """Remove the files of one dataset, of all its versions, from the named tables; a folder each, whatever its size."""
     for table in tables:
         remove_folder(spark, partition_folder(root, table, dataset_id))
 
@@ -102,13 +165,18 @@ def cascade(tables: dict[str, DataFrame], deleted: DataFrame) -> dict[str, DataF
 
 
 def latest_per_dataset(df: DataFrame) -> DataFrame:
-    """The newest row of each dataset by created_at; folds map-side, no window."""
-    others = [c for c in df.columns if c != "dataset_id"]
-    newest = F.max(F.struct("created_at", *[c for c in others if c != "created_at"]))
-    return df.groupBy("dataset_id").agg(newest.alias("_newest")).select("dataset_id", "_newest.*")
+    """The newest row of each dataset by created_at; ties are settled by the other columns in order.
+
+    The latest time is a hash aggregate; only rows of that time are compared further.
+    """
+    others = [c for c in df.columns if c not in ("dataset_id", "created_at")]
+    latest = df.groupBy("dataset_id").agg(F.max("created_at").alias("created_at"))
+    tied = df.join(latest, ["dataset_id", "created_at"])
+    newest = F.max(F.struct("created_at", *others)).alias("_newest")
+    return tied.groupBy("dataset_id").agg(newest).select("dataset_id", "_newest.*")
 
 
 def with_finding_ids(findings: DataFrame, dataset_id: str) -> DataFrame:
     """Stable ids, and PENDING as the status of a new finding."""
-    digest = F.sha2(F.concat_ws("|", F.lit(dataset_id), F.col("finding_key")), 256)
+    digest = F.sha2(F.to_json(F.struct(F.lit(dataset_id).alias("dataset"), "finding_key")), 256)
     return findings.withColumn("finding_id", F.concat(F.lit("FND-"), digest)).withColumn("status", F.lit("PENDING"))

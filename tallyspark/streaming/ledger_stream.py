@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyspark.functions.values import exact_sum, whole_days
+from tallyspark.functions.values import exact_parts, whole_days
 from tallyspark.operators import row_rules
+from tallyspark.operators.amounts import whole_totals
 from tallyspark.operators.ledger import narrow, params_with, with_values
 
 
@@ -28,6 +29,8 @@ def duplicate_payments(stream: DataFrame, delay: str = "1 day", params: dict | N
     """Pairs of payments within the window as a stream-stream join; state is kept for the window only."""
     window_days = int(params_with(params)["duplicate_payment_window_days"])
     rows = _payments(stream, delay)
+    if "invoice_no" not in rows.columns:
+        rows = rows.withColumn("invoice_no", F.lit(None).cast("string"))
     names = ["row_index", "vendor", "amount", "date", "invoice_no", "at"]
     a = rows.select(*[F.col(c).alias(f"a_{c}") for c in names])
     b = rows.select(*[F.col(c).alias(f"b_{c}") for c in names])
@@ -44,14 +47,10 @@ def duplicate_payments(stream: DataFrame, delay: str = "1 day", params: dict | N
 
 def split_transactions(stream: DataFrame, delay: str = "1 day", params: dict | None = None) -> DataFrame:
     """Whole daily totals per vendor above materiality, emitted when the watermark passes the day."""
-    p = params_with(params)
-    total = F.col("total_exact")
-    return (
-        _payments(stream, delay)
-        .groupBy(F.window("at", "1 day").alias("_day"), "vendor")
-        .agg(F.count(F.lit(1)).alias("transaction_count"), exact_sum(F.col("amount")).alias("total_exact"))
-        .filter(F.col("transaction_count") >= p["split_transaction_min_rows"])
-        .filter((total > p["materiality_threshold"]) & (total == F.floor(total)))
-        .select("vendor", F.col("_day.start").cast("date").alias("day"), "transaction_count",
-                total.cast("double").alias("total_amount"))
+    exact, loose = exact_parts(F.col("amount"))
+    groups = _payments(stream, delay).groupBy(F.window("at", "1 day").alias("_day"), "vendor").agg(
+        F.count(F.lit(1)).alias("transaction_count"), exact.alias("_exact"), loose.alias("_loose")
+    )
+    return whole_totals(groups, params_with(params)).select(
+        "vendor", F.col("_day.start").cast("date").alias("day"), "transaction_count", "total_amount"
     )

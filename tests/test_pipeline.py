@@ -94,7 +94,7 @@ def test_rule_subset_and_mapping_override(spark, csv):
 
 def test_tiny_ledger_is_refused(spark, tmp_path):
     path = tmp_path / "tiny.csv"
-    path.write_text("vendor,amount,date\nAcme,100,2024-01-01\n")
+    path.write_text("date,vendor,amount\n2024-05-07,Kiln,31.5\n2024-05-08,Loom,12\n")
     out = run_audit(spark, str(path), "tiny")
     assert "fewer than 10 rows" in out.error and out.findings is None
 

@@ -81,6 +81,10 @@ def test_amount_statistics_match_pandas(make, amounts):
     got = statistics.amount_summary(df).first().asDict()
     want = {"count": len(s), "mean": s.mean(), "median": s.median(), "std": s.std(), "min": s.min(), "max": s.max(),
             "p95": s.quantile(0.95), "p99": s.quantile(0.99)}
+    q1, q3 = s.quantile(0.25), s.quantile(0.75)
+    low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    want |= {"iqr_lower_fence": low, "iqr_upper_fence": high, "outliers_iqr_count": int(((s < low) | (s > high)).sum()),
+             "outliers_zscore_count": int(((s - s.mean()).abs() / s.std() > 3).sum())}
     assert got == pytest.approx(want)
     moments = statistics.amount_moments(df).first()
     assert tuple(moments) == pytest.approx((s.skew(), s.kurtosis()))
