@@ -33,7 +33,8 @@ def top_k(
     rank. Queries come in blocks, so no task holds all of them and none is broadcast.
 
     NULL vectors, NULL ids and vectors with NULL or non-finite components take no part. Shorter vectors count as ending in
-    zeros. Rows that repeat an id are each candidates and each queries. Scores are exact below 2 ** 53.
+    zeros. Rows that repeat an id are each candidates and each queries. Scores are exact; a query whose
+    scores could pass 2 ** 53 / (components + 1) stops with an error.
     """
     spark, folder = vectors.sparkSession, common.scratch(vectors.sparkSession)
     x = F.col(vector_col)
@@ -109,8 +110,11 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, values: np.ndarray) -> None:
         self.ids = ids
-        self.order = np.argsort(-values, axis=0, kind="stable").T.astype(np.int32)  # component x position
-        self.sorted = np.take_along_axis(values.T, self.order, axis=1).astype(np.float64)
+        order = np.argsort(-values, axis=0, kind="stable").T  # component x position
+        found = np.take_along_axis(values.T, order, axis=1).astype(np.float64)
+        # The second half holds the same lists from their far end, for weights below zero.
+        self.order = np.concatenate([order, order[:, ::-1]])
+        self.sorted = np.concatenate([found, found[:, ::-1]])
 
     def best(self, q: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and scores of the k best rows for one query, ties by id, rows with the id `own` left out."""
@@ -119,43 +123,43 @@ class SortedLists:
         if not free.any():
             return np.empty(0, np.int64), np.empty(0)
         weights = q[used].astype(np.float64)
-        up = weights > 0
-        rows, values = self.order[used], self.sorted[used]
-        last = np.where(up, values[:, -1], values[:, 0]) * weights  # the least a list can still add
+        lists = np.where(weights > 0, used, used + len(q))
+        last = self.sorted[lists, -1] * weights  # the least a list can still add
         lower_all = last.sum()
-        gained = np.zeros(n)  # over the lower bound of an unseen row
-        seen = np.zeros(n, np.int32)
+        most = (self.sorted[lists, 0] * weights - last).sum()
+        # One number per row holds both how many lists were read there and what they added over the lower bound.
+        unit = 2.0 ** np.ceil(np.log2(most + 1))
+        if unit * (len(used) + 1) >= 2.0**53:
+            raise OverflowError("scores are not exact beyond 2 ** 53")
+        read = np.zeros(n)
         step = max(1, -(-n // STEPS))
-        # A list of negative weight is read from its far end.
-        for begin in range(0, n, step):
-            if not len(used):
-                break
+        for begin in range(0, n if len(used) else 0, step):
             end = min(n, begin + step)
-            part_rows = np.where(up[:, None], rows[:, begin:end], rows[:, n - end : n - begin])
-            part = np.where(up[:, None], values[:, begin:end], values[:, n - end : n - begin]) * weights[:, None] - last[:, None]
-            flat = part_rows.ravel()
-            gained += np.bincount(flat, part.ravel(), n)
-            seen += np.bincount(flat, minlength=n).astype(np.int32)
-            if end == n:
-                break
-            frontier = np.where(up, values[:, end - 1], values[:, n - end]) * weights - last
-            if self._settled(gained, seen, frontier, free, k, len(used)):
-                break
+            part = self.sorted[:, begin:end][lists]
+            part *= weights[:, None]
+            part += (unit - last)[:, None]
+            read += np.bincount(self.order[:, begin:end][lists].ravel(), part.ravel(), n)
+            if end < n:
+                frontier = self.sorted[lists, end - 1] * weights - last
+                if self._settled(read, unit, frontier, free, k):
+                    break
+        seen = np.floor(read / unit)
         known = np.flatnonzero(free & (seen == len(used)))
-        scores = gained[known] + lower_all
+        scores = read[known] - seen[known] * unit + lower_all
         order = np.lexsort((self.ids[known], -scores))[:k]
         return known[order], np.rint(scores[order])
 
-    def _settled(self, gained, seen, frontier, free, k, lists) -> bool:
+    def _settled(self, read: np.ndarray, unit: float, frontier: np.ndarray, free: np.ndarray, k: int) -> bool:
         """True if k rows are complete and no other can reach the last of them. An unread list adds its frontier at most."""
-        done = free & (seen == lists)
+        seen = np.floor(read / unit)
+        done = free & (seen == len(frontier))
         if np.count_nonzero(done) < k:
             return False
+        gained = read - seen * unit
         kth = np.partition(gained[done], -k)[-k]
         most = np.sort(frontier)[::-1].cumsum()
-        missing = lists - seen
-        open_rows = free & (missing > 0)
+        open_rows = free & (seen < len(frontier))
         if not open_rows.any():
             return True
-        reach = gained[open_rows] + most[missing[open_rows] - 1]  # the largest frontiers bound any unread lists
-        return bool(reach.max() < kth)
+        missing = (len(frontier) - seen[open_rows]).astype(np.int64)
+        return bool((gained[open_rows] + most[missing - 1]).max() < kth)  # the largest frontiers bound any unread lists
