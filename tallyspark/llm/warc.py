@@ -20,6 +20,7 @@ SHARD_RECORDS = 4096
 ROLL_BYTES = 32 << 20
 #: Every record carries this date, so that a rerun writes the same bytes.
 WARC_DATE = "2024-01-01T00:00:00Z"
+_STEP = 1 << 14
 _ENTRY = "file string, temporary string, shard long, part long, records long, bytes long, sha256 string"
 
 
@@ -56,10 +57,16 @@ def _clean(url: str | None) -> str:
 
 def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of every record of one file, a gzip member each. Digests are checked."""
-    while data:
-        inflate = zlib.decompressobj(31)
-        text = inflate.decompress(data) + inflate.flush()
-        data = inflate.unused_data
+    at = 0
+    while at < len(data):
+        inflate, parts = zlib.decompressobj(31), []
+        while not inflate.eof:  # small steps, as what lies behind a member is copied
+            if at >= len(data):
+                raise ValueError("file ends within a record")
+            parts.append(inflate.decompress(data[at : at + _STEP]))
+            at += min(_STEP, len(data) - at)
+        at -= len(inflate.unused_data)
+        text = b"".join(parts)
         head, _, rest = text.partition(b"\r\n\r\n")
         headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         block = rest[: int(headers["Content-Length"])]
