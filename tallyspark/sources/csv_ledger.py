@@ -21,7 +21,7 @@ class MalformedLedgerError(ValueError):
     """Files of one ledger have different columns."""
 
 
-_EXTRA = "_cells_beyond_header"
+_RAW = "_malformed_record"  # the text of a row that has not as many cells as the header
 
 
 def read_csv_ledger(spark: SparkSession, path: str, multi_line: bool | None = None, skip_bad_rows: bool = False) -> DataFrame:
@@ -38,14 +38,14 @@ def read_csv_ledger(spark: SparkSession, path: str, multi_line: bool | None = No
 
 
 def rejected_rows(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    """The rows that `read_csv_ledger` refuses, with `row_index`, the cells read and the first cell too many."""
+    """The rows that `read_csv_ledger` refuses, with `row_index`, the cells read and the text of rows with too many cells."""
     return _read(spark, path, multi_line, refuse=False, keep_bad=True)
 
 
 def _read(spark: SparkSession, path: str, multi_line: bool | None, refuse: bool, keep_bad: bool) -> DataFrame:
     parts, names = [], None
     for whole, files in _alike_files(spark, path, multi_line):
-        reader = spark.read.option("quote", '"').option("escape", '"').option("multiLine", whole).option("nullValue", "\0")
+        reader = spark.read.option("quote", '"').option("escape", '"').option("multiLine", whole)
         header = reader.option("header", False).csv(files).limit(1).collect()
         if not header or not any(header[0]):
             raise EmptyLedgerError("File contains no columns/data")
@@ -53,22 +53,24 @@ def _read(spark: SparkSession, path: str, multi_line: bool | None, refuse: bool,
         names = names or own
         if sorted(own) != sorted(names):
             raise MalformedLedgerError(f"Files have different columns: {names} and {own}")
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*own, _EXTRA)])
-        parts.append(reader.schema(schema).option("header", True).csv(files).select(*[col(n) for n in names], _EXTRA))
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*own, _RAW)])
+        reader = reader.option("columnNameOfCorruptRecord", _RAW).option("header", True)
+        parts.append(reader.schema(schema).csv(files).select(*[col(n) for n in names], _RAW))
     if not parts:
         raise EmptyLedgerError("File contains no columns/data")
     raw = reduce(DataFrame.union, parts)
     if raw.isEmpty():
         raise EmptyLedgerError("File contains no columns/data")
     damaged = reduce(lambda a, b: a | b, [F.coalesce(F.contains(col(n), F.lit("\ufffd")), F.lit(False)) for n in names])
-    bad = F.col(_EXTRA).isNotNull() | damaged
+    commas = F.length(F.regexp_replace(F.regexp_replace(_RAW, '"(?:[^"]|"")*"', ""), "[^,]", ""))
+    bad = F.coalesce(commas >= len(names), F.lit(False)) | damaged  # shorter rows are filled with NULL
     cells = [F.when(~col(n).isin(fv.CSV_NULL_TOKENS), col(n)).alias(n) for n in names]
     index = F.monotonically_increasing_id()
     if refuse:
         stop = F.raise_error(F.lit("A row has more cells than the header, or bytes that are not UTF-8")).cast("bigint")
         return raw.select(F.when(bad, stop).otherwise(index).alias(ROW_INDEX), *cells)
-    kept = raw.select(index.alias(ROW_INDEX), *cells, _EXTRA, bad.alias("_bad"))
-    return kept.filter("_bad").drop("_bad") if keep_bad else kept.filter("not _bad").drop("_bad", _EXTRA)
+    kept = raw.select(index.alias(ROW_INDEX), *cells, _RAW, bad.alias("_bad"))
+    return kept.filter("_bad").drop("_bad") if keep_bad else kept.filter("not _bad").drop("_bad", _RAW)
 
 
 def _alike_files(spark: SparkSession, path: str, multi_line: bool | None) -> list[tuple[bool, list[str]]]:

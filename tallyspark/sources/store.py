@@ -102,9 +102,11 @@ def write_partition(df: DataFrame, root: str, table: str, dataset_id: str) -> No
 
 
 def read_partition(spark: SparkSession, root: str, table: str, dataset_id: str) -> DataFrame:
-    """One dataset's current rows, none if it was deleted; only its folder is read."""
-    rows = read_table(spark, root, table)
-    return rows.filter(F.col("dataset_id") == dataset_id).drop("dataset_id")
+    """One dataset's current rows with its own columns, none if it was deleted; only its folder is listed and read."""
+    current = current_versions(spark, root, table).filter(F.col("dataset_id") == dataset_id).first()
+    if current is None:
+        return read_table(spark, root, table).drop("dataset_id").limit(0)
+    return spark.read.parquet(f"{partition_folder(root, table, dataset_id)}/version={current['version']}")
 
 
 def _all_versions(spark: SparkSession, root: str, table: str, merge_schema: bool) -> DataFrame:

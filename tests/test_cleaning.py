@@ -7,7 +7,9 @@ from tallyspark.functions.names import distinct_names
 from tallyspark.functions.values import number_text, parse_date, parse_number, strip_text, whole_days
 from tallyspark.operators import cleaning
 from tallyspark.sources import store
-from tallyspark.sources.csv_ledger import EmptyLedgerError, dense_row_index, read_csv_ledger
+from tallyspark.sources.csv_ledger import (
+    EmptyLedgerError, MalformedLedgerError, dense_row_index, read_csv_ledger, rejected_rows,
+)
 from pyspark.sql import functions as F
 
 
@@ -109,6 +111,50 @@ def test_csv(spark, tmp_path):
     assert cleaned.types["Inv. No"] == "text" and cleaned.ledger.count() == 3
 
 
+@pytest.mark.parametrize("text", [b"a,b\n1,2\n3,4,5\n", b"a,b\n1,2\n3,4,\n", b"a,b\n1,caf\xe9\n2,3\n"])
+def test_malformed_rows_are_refused_or_listed(spark, tmp_path, text):
+    path = tmp_path / "bad.csv"
+    path.write_bytes(text)
+    with pytest.raises(Exception, match="more cells than the header"):
+        read_csv_ledger(spark, str(path)).collect()
+    kept = read_csv_ledger(spark, str(path), skip_bad_rows=True).drop("row_index").collect()
+    bad = rejected_rows(spark, str(path)).collect()
+    assert len(kept) == len(bad) == 1 and kept[0]["a"] in ("1", "2") and bad[0]["a"] in ("1", "3")
+
+
+def test_short_rows_are_filled(spark, tmp_path):
+    path = tmp_path / "short.csv"
+    path.write_text("a,b,c\n1,2\n3\n")
+    rows = read_csv_ledger(spark, str(path)).orderBy("row_index").drop("row_index").collect()
+    assert [tuple(r) for r in rows] == [("1", "2", None), ("3", None, None)]
+
+
+def test_folder_of_files(spark, tmp_path):
+    """Columns by name, whatever their order; only the file with a line break inside a cell is read whole."""
+    (tmp_path / "1.csv").write_text("vendor,amount\nKiln,1\n")
+    (tmp_path / "2.csv").write_text("amount,vendor\n2,Loom\n")
+    (tmp_path / "3.csv").write_text('vendor,amount\n"Two\nlines",3\n')
+    got = read_csv_ledger(spark, str(tmp_path)).select("vendor", "amount", "row_index").collect()
+    assert sorted((r["vendor"], r["amount"]) for r in got) == [("Kiln", "1"), ("Loom", "2"), ("Two\nlines", "3")]
+    assert len({r["row_index"] for r in got}) == 3
+    (tmp_path / "4.csv").write_text("vendor,total\nMill,4\n")
+    with pytest.raises(MalformedLedgerError):
+        read_csv_ledger(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("text, want", [
+    ("1/5/24", "2024-01-05"), ("12/31/69", "1969-12-31"), ("31/12/68", "2068-12-31"), ("01/05/2024 8:30 AM", "2024-01-05 08:30:00"),
+    ("01/05/2024 12:05 am", "2024-01-05 00:05:00"), ("2024-01-05 08:30:15 PM", "2024-01-05 20:30:15"), ("05-Jan-24", "2024-01-05"),
+    ("5 Jan 24", "2024-01-05"), ("Jan 5, 2024 08:30", "2024-01-05 08:30:00"), ("2024.01.05", "2024-01-05"), ("05.01.2024", "2024-05-01"),
+    ("Fri, 05 Jan 2024", "2024-01-05"), ("Wednesday," + " " * 60 + "3rd September 2025", "2025-09-03"), ("2024-1-5T8:30", "2024-01-05 08:30:00"),
+    ("25.12.2024", "2024-12-25"), ("2024-13-05", None), ("5 Foo 2024", None), ("Janet 5, 2024", None), ("13:00 PM", None), ("2024", None),
+    ("x" * 5000, None), ("2024-01-05 13:00 PM", None),
+])
+def test_dates(spark, text, want):
+    got = spark.createDataFrame([(text,)], "d string").select(parse_date(F.col("d")).cast("string")).first()[0]
+    assert got == (want if want is None or " " in want else f"{want} 00:00:00")
+
+
 def test_empty_csv(spark, tmp_path):
     for text in ("", "a,b\n"):
         path = tmp_path / "e.csv"

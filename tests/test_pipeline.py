@@ -51,7 +51,7 @@ def csv(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def run(spark, csv):
-    return run_audit(spark, csv, "d1")
+    return run_audit(spark, csv, "d1", dense=True)
 
 
 def test_every_rule_fires(run):
