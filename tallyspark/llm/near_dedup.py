@@ -14,8 +14,8 @@ from tallyspark.llm import common, shingles
 from tallyspark.llm.components import connected_components
 from tallyspark.sources import store
 
-#: Members of a block; two blocks are compared in one task at a time.
-BLOCK = 256
+#: Members of a block; two blocks are compared in one task at a time. A member is offered once per block it may meet.
+BLOCK = 1024
 
 
 def near_duplicates(
@@ -37,7 +37,7 @@ def near_duplicates(
     1. Equal sets form a class; only one text of each goes on.
     2. Of every band bucket the least class is compared with the others, on full sets, and the links are
        contracted. That settles a group of mutual copies without comparing all its pairs.
-    3. A bucket that still holds several components has its remaining pairs tested in blocks of 256 by their
+    3. A bucket that still holds several components has its remaining pairs tested in blocks of 1,024 by their
        sketches (a byte of each slot). Pairs below 75 % of the wanted similarity there (more than five standard
        deviations) go no further. The others are compared on full sets: few of them as pairs, many of them
        in place within the blocks, which return only the links that join components.
