@@ -116,7 +116,8 @@ def mix_plan(
     })
     seen = F.sum("n").over(per_shard.orderBy("draw", "block").rowsBetween(W.unboundedPreceding, 0))
     drawn = opened.withColumn("n", F.least(F.col("n"), F.col("rest") - seen + F.col("n"))).filter("n > 0")
-    drawn = drawn.select("ordinal", "shard", "block", "n")
+    # Written, so that joins know its size: estimates take a generated table for as small as its source and broadcast it.
+    drawn = store.staged(drawn.select("ordinal", "shard", "block", "n"), folder, "drawn")
 
     end = F.sum("size").over(per_shard.orderBy("order", "id", "row").rowsBetween(W.unboundedPreceding, 0))
     placed = store.staged(
