@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import unicodedata
 import zlib
@@ -55,15 +56,21 @@ class WordEncoder:
         words = [t.split() for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        odd = []
-        for word in set().union(*words) - self.known.keys():
-            ids = self._letters(word)
-            if ids is None:
-                odd.append(word)
-            else:
-                self.known[word] = ids
-        self.known.update(zip(odd, self._full(odd)))
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+        collecting = gc.isenabled()
+        gc.disable()  # millions of small objects and no cycles among them
+        try:
+            odd = []
+            for word in set().union(*words) - self.known.keys():
+                ids = self._letters(word)
+                if ids is None:
+                    odd.append(word)
+                else:
+                    self.known[word] = ids
+            self.known.update(zip(odd, self._full(odd)))
+            return [b"".join(map(self.known.__getitem__, w)) for w in words]
+        finally:
+            if collecting:
+                gc.enable()
 
     def _full(self, words: list[bytes]) -> list[bytes]:
         found = self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
@@ -244,6 +251,11 @@ def _sequence(filled: list[tuple[int, int, int]], rest: list[tuple], sequence: i
         offset += end - begin
 
 
+def _changes(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]]))
+
+
 class Bm25:
     """Inverted index over the token ids of one shard's documents; hands out every document once."""
 
@@ -254,15 +266,19 @@ class Bm25:
         lengths = np.array([len(d) for d in docs], np.float64)
         owner = np.repeat(np.arange(n), lengths.astype(np.int64))
         flat = np.concatenate(docs).astype(np.int64) if n else np.empty(0, np.int64)
-        pairs, count = np.unique(flat * n + owner, return_counts=True) if n else (flat, flat)
-        term, self.doc = (pairs // n, pairs % n) if n else (flat, flat)
-        self.terms, self.starts, frequency = np.unique(term, return_index=True, return_counts=True)
+        pairs = flat * n + owner
+        pairs = np.sort(pairs.astype(np.int32) if pairs.max(initial=0) < 1 << 31 else pairs)
+        first = _changes(pairs)
+        count = np.diff(first, append=len(pairs))
+        term, self.doc = pairs[first] // max(1, n), (pairs[first] % max(1, n)).astype(np.int64)
+        self.starts = _changes(term)
+        frequency = np.diff(self.starts, append=len(term))
         self.ends = self.starts + frequency
         self.idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
         scale = self.K1 * (1 - self.B + self.B * lengths / max(1.0, lengths.mean())) if n else lengths
         self.weight = np.repeat(self.idf, frequency) * count * (self.K1 + 1) / (count + scale[self.doc])
-        by_doc = np.argsort(self.doc, kind="stable")
-        self.forward = np.repeat(np.arange(len(self.terms)), frequency)[by_doc]
+        by_doc = np.argsort(self.doc.astype(np.uint16) if n <= 1 << 16 else self.doc, kind="stable")
+        self.forward = np.repeat(np.arange(len(self.starts)), frequency)[by_doc]
         self.begin = np.searchsorted(self.doc[by_doc], np.arange(n + 1))
         self.unused = np.ones(n, bool)
 
