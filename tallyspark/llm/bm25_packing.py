@@ -6,18 +6,25 @@ import gc
 import os
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyspark.llm import common
+from tallyspark.llm import common, lexical_tree
+from tallyspark.sources import store
 
+K1, B = lexical_tree.K1, lexical_tree.B
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words whose ids a worker remembers, about 190 MB.
 CACHED_WORDS = 1_000_000
+#: Splits of the lexical order beyond one leaf per shard, sampled documents for each leaf, and the most of them in all.
+MORE_SPLITS, DOCS_A_LEAF, MOST_SAMPLED = 2, 32, 1 << 18
+ENCODED = "id long, draw long, start long, length long, doc_tokens long, crc long, ids binary"
 
 
 # How byte-level models write a byte as a character. Printable bytes stand for themselves, the others follow 255.
@@ -121,33 +128,122 @@ def pack(
     sequence_id, offset.
 
     A document is its token ids and `end_id`. Whole windows of a long document are sequences of their own; what remains,
-    under a window, goes to a shard of about `shard_docs` documents by seeded hash. A shard has an inverted
-    index over token ids. A window begins with a seed document, then takes the unused documents of highest BM25 score for
-    the seed's `query_terms` rarest terms, and cuts the one that no longer fits; its rest begins the next window. The last
-    window of a shard is cut into powers of two, which need no padding. Every id lies in exactly one piece.
+    under a window, goes to a shard of `shard_docs` documents. Shards are cut by exact rank from an order in which documents
+    that share terms stand near each other (a tree over BM25 vectors, learned from a bounded sample). A shard has an
+    inverted index over token ids; document frequencies, their number and mean length are those of all remainders. A window
+    begins with a seed document, then takes the unused documents of its shard with the highest BM25 score for the seed's
+    `query_terms` rarest terms, and cuts the one that no longer fits; its rest begins the next window.
+    The last window of a shard is cut into powers of two, which need no padding. Every id lies in exactly one piece.
 
     NULL and empty texts are the end id alone. Repeated rows are packed each; ids may repeat. Other columns are
     ignored; an empty table gives no rows. One task holds the token ids of one shard at a time, each document under a window.
     """
-    spark = docs.sparkSession
-    common.reachable_by_workers(spark)
-    shards = max(1, -(-docs.count() // shard_docs))
+    spark, folder = docs.sparkSession, common.scratch(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("text"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("draw"),
     )
-    encoded = rows.mapInArrow(
-        _splitter(spark, tokenizer_path, end_id, window),
-        "id long, draw long, start long, length long, doc_tokens long, crc long, ids binary",
-    ).withColumn("shard", F.pmod("draw", F.lit(shards)))
-    dealt = encoded.repartition("shard").sortWithinPartitions("shard", "draw", "id", "start")
-    packed = dealt.mapInArrow(_packer(_kind(tokenizer_path), window, query_terms), PIECE)
+    encoded = rows.mapInArrow(_splitter(spark, tokenizer_path, end_id, window), ENCODED)
+    encoded = store.staged(encoded.withColumn("row", F.monotonically_increasing_id()), folder, "encoded")
+    kind, terms = _kind(tokenizer_path)
+    terms = max(terms, end_id + 1)
+    statistics = collection_statistics(encoded, kind, terms)
+    placed = store.staged(_placed(encoded, kind, statistics, shard_docs), folder, "placed")
+    place = ["leaf", "draw", "start", "row"]
+    ranked = common.running_totals(placed.select(*place), folder, [F.col(c) for c in place], {"rank": F.lit(1)})
+    bounds = ranked.filter(F.col("rank") % shard_docs == 0).select(*place).collect()  # one row per shard
+    bounds = spark.sparkContext.broadcast(sorted(map(tuple, bounds)))
+    sharded = placed.mapInArrow(_sharder(bounds), f"{ENCODED}, shard long")
+    dealt = sharded.repartition("shard").sortWithinPartitions("shard", "draw", "id", "start")
+    packed = dealt.mapInArrow(_packer(kind, window, query_terms, spark.sparkContext.broadcast(statistics)), PIECE)
     return packed.withColumnRenamed("doc_id", id_col)
 
 
-def _kind(path: str) -> str:
+class Statistics(NamedTuple):
+    """Of all documents in the index: their number, mean length, and how many have each term of the vocabulary."""
+
+    docs: int
+    mean_length: float
+    frequency: np.ndarray
+
+    def idf(self) -> np.ndarray:
+        found = np.log1p((self.docs - self.frequency + 0.5) / (self.frequency + 0.5))
+        return np.where(self.frequency > 0, found, 0.0)
+
+
+def collection_statistics(encoded: DataFrame, kind: str, terms: int) -> Statistics:
+    """One row per term of the vocabulary comes to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequency = np.zeros(terms, np.int64)
+        for batch in batches:
+            for ids in batch.column(0).to_pylist():
+                frequency[np.unique(np.frombuffer(ids, kind))] += 1
+        term = np.flatnonzero(frequency)
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(frequency[term])], ["term", "docs"])
+
+    rest = encoded.filter("ids is not null")
+    docs, length = rest.agg(F.count(F.lit(1)), F.sum("length")).first()
+    found = rest.select("ids").mapInArrow(count, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).toArrow()
+    frequency = np.zeros(terms, np.int64)
+    frequency[found.column("term").to_numpy()] = found.column("docs").to_numpy()
+    return Statistics(docs, (length or 0) / max(1, docs), frequency)
+
+
+def _placed(encoded: DataFrame, kind: str, statistics: Statistics, shard_docs: int) -> DataFrame:
+    """Adds `leaf`, the place in lexical order; whole windows, which need no neighbours, come first."""
+    whole = F.col("ids").isNull()
+    shards = -(-statistics.docs // shard_docs)
+    if shards < 2:
+        return encoded.withColumn("leaf", F.when(whole, -1).otherwise(0).cast("long"))
+    depth = min((shards - 1).bit_length() + MORE_SPLITS, (MOST_SAMPLED // DOCS_A_LEAF).bit_length() - 1)
+
+    def sample(wanted: int) -> DataFrame:  # equal rows count once, so that their number does not matter
+        share = int(min(1.0, wanted / statistics.docs) * (1 << 30))
+        drawn = encoded.filter(~whole & (F.pmod(F.xxhash64("draw", F.lit(3)), F.lit(1 << 30)) < share))
+        return drawn.select("draw", "start", "ids").dropDuplicates(["draw", "start"])
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = space.value.points([np.frombuffer(b, kind) for b in batch.column(2).to_pylist()])
+            columns = [batch.column(0), batch.column(1), pa.array([p.tobytes() for p in points], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["draw", "start", "point"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids").to_pylist()
+            leaf = np.full(len(ids), -1, np.int64)
+            rest = [i for i, b in enumerate(ids) if b is not None]
+            leaf[rest] = tree.value.leaves(space.value.points([np.frombuffer(ids[i], kind) for i in rest]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], [*batch.schema.names, "leaf"])
+
+    context = encoded.sparkSession.sparkContext
+    known = sorted(map(tuple, sample(lexical_tree.BASIS_DOCS).collect()))
+    space = lexical_tree.TermSpace([np.frombuffer(ids, kind) for *_, ids in known], statistics.idf(), statistics.mean_length)
+    space = context.broadcast(space)
+    points = sample(DOCS_A_LEAF << depth).mapInArrow(project, "draw long, start long, point binary").toArrow()
+    points = sorted(zip(*(c.to_pylist() for c in points.columns)))
+    points = np.frombuffer(b"".join(p for *_, p in points), np.float32).reshape(-1, lexical_tree.DIMS)
+    tree = context.broadcast(lexical_tree.LexicalTree(points, depth))
+    return encoded.mapInArrow(place, f"{ENCODED}, row long, leaf long")
+
+
+def _sharder(bounds):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = zip(*(batch.column(c).to_pylist() for c in ("leaf", "draw", "start", "row")))
+            names = batch.schema.names[:-2]
+            shards = pa.array([bisect_left(bounds.value, p) for p in places], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], shards], [*names, "shard"])
+
+    return cut
+
+
+def _kind(path: str) -> tuple[str, int]:
+    """How ids are stored, and how many there are."""
     with open(path, "rb") as f:
-        return WordEncoder(f.read()).kind.str
+        encoder = WordEncoder(f.read())
+    return encoder.kind.str, encoder.whole.get_vocab_size()
 
 
 def _splitter(spark: SparkSession, path: str, end_id: int, window: int):
@@ -182,10 +278,10 @@ def _crc(coded: bytes, kind: np.dtype) -> int:
     return zlib.crc32(np.frombuffer(coded, kind).astype("<u4").tobytes())
 
 
-def _packer(kind: str, window: int, query_terms: int):
+def _packer(kind: str, window: int, query_terms: int | None, statistics):
     def pack_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, held in _by_shard(batches):
-            out = list(_shard_pieces(shard, held, np.dtype(kind), window, query_terms))
+            out = list(_shard_pieces(shard, held, np.dtype(kind), window, query_terms, statistics.value))
             names = [c.split()[0] for c in PIECE.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
@@ -205,14 +301,16 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
         yield last, held
 
 
-def _shard_pieces(shard: int, rows: list[tuple], kind: np.dtype, window: int, query_terms: int) -> Iterator[tuple]:
+def _shard_pieces(
+    shard: int, rows: list[tuple], kind: np.dtype, window: int, query_terms: int | None, statistics: Statistics
+) -> Iterator[tuple]:
     sequence = shard << 32
     for i, _, start, length, total, crc, ids in rows:
         if ids is None:
             yield i, start, length, crc, total, sequence, 0
             sequence += 1
     rest = [(i, start, total, np.frombuffer(ids, kind)) for i, _, start, _, total, _, ids in rows if ids is not None]
-    index = Bm25([ids for *_, ids in rest], query_terms)
+    index = Bm25([ids for *_, ids in rest], query_terms, statistics)
     room, cut = window, 0
     filled: list[tuple[int, int, int]] = []
     for at in index.reading_order(lambda: room == window):
@@ -257,11 +355,12 @@ def _changes(ordered: np.ndarray) -> np.ndarray:
 
 
 class Bm25:
-    """Inverted index over the token ids of one shard's documents; hands out every document once."""
+    """Inverted index over the token ids of one shard's documents; hands out every document once.
 
-    K1, B = 1.2, 0.75
+    Frequencies and mean length are those of `statistics`, or of these documents alone.
+    """
 
-    def __init__(self, docs: list[np.ndarray], query_terms: int) -> None:
+    def __init__(self, docs: list[np.ndarray], query_terms: int | None = None, statistics: Statistics | None = None) -> None:
         self.query_terms, self.seed, n = query_terms, None, len(docs)
         lengths = np.array([len(d) for d in docs], np.float64)
         owner = np.repeat(np.arange(n), lengths.astype(np.int64))
@@ -274,18 +373,21 @@ class Bm25:
         self.starts = _changes(term)
         frequency = np.diff(self.starts, append=len(term))
         self.ends = self.starts + frequency
-        self.idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
-        scale = self.K1 * (1 - self.B + self.B * lengths / max(1.0, lengths.mean())) if n else lengths
-        self.weight = np.repeat(self.idf, frequency) * count * (self.K1 + 1) / (count + scale[self.doc])
+        if statistics is None:
+            statistics = Statistics(n, lengths.mean() if n else 0.0, np.bincount(term, minlength=1))
+        known = statistics.frequency[term[self.starts]]
+        self.idf = np.log1p((statistics.docs - known + 0.5) / (known + 0.5))
+        scale = K1 * (1 - B + B * lengths / max(1.0, statistics.mean_length))
+        self.weight = np.repeat(self.idf, frequency) * count * (K1 + 1) / (count + scale[self.doc])
         by_doc = np.argsort(self.doc.astype(np.uint16) if n <= 1 << 16 else self.doc, kind="stable")
         self.forward = np.repeat(np.arange(len(self.starts)), frequency)[by_doc]
         self.begin = np.searchsorted(self.doc[by_doc], np.arange(n + 1))
         self.unused = np.ones(n, bool)
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents by falling score for the seed's rarest terms, ties in seeded order."""
+        """Unused documents by falling score for the seed's terms, ties in seeded order."""
         own = self.forward[self.begin[seed] : self.begin[seed + 1]]
-        if len(own) > self.query_terms:
+        if self.query_terms is not None and len(own) > self.query_terms:
             own = own[np.argsort(-self.idf[own], kind="stable")[: self.query_terms]]
         at = np.concatenate([np.arange(self.starts[t], self.ends[t]) for t in own]) if len(own) else own
         scores = np.bincount(self.doc[at], self.weight[at], len(self.unused))

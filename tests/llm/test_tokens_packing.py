@@ -134,3 +134,45 @@ def test_windows_gather_related_documents(spark):
     for p in pieces:
         by_sequence[p.sequence_id][p.doc_id % 2] += p.length
     assert np.mean([max(c) / sum(c) for c in by_sequence.values()]) > 0.8
+
+
+def bm25_by_hand(docs, seed, frequency, n, mean):
+    scores = []
+    for d in docs:
+        score = 0.0
+        for t in set(docs[seed].tolist()):
+            tf = int((d == t).sum())
+            score += np.log1p((n - frequency[t] + 0.5) / (frequency[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+        scores.append(score)
+    return np.array(scores)
+
+
+def test_related_documents_meet_in_many_shards(spark):
+    """Eight vocabularies over sixteen shards: packed windows hold mostly one of them."""
+    rng = np.random.default_rng(4)
+    names = "cat dog sun sea oak fog ice gem".split()
+    rows = [(i, " ".join(rng.choice([f"{names[i % 8]}{chr(97 + j)}" for j in range(26)], 40))) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = bm25_packing.pack(docs, WORDS, 2, window=512, shard_docs=50).collect()
+    check_pieces(rows, pieces, 512)
+    by_sequence = defaultdict(lambda: [0] * 8)
+    for p in pieces:
+        by_sequence[p.sequence_id][p.doc_id % 8] += p.length
+    assert np.mean([max(c) / sum(c) for c in by_sequence.values()]) > 0.8
+    assert len({p.sequence_id >> 32 for p in pieces}) == 16
+
+
+def test_statistics_are_those_of_all_documents(spark):
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(0, 50, rng.integers(1, 40)).astype("<u2") for _ in range(60)]
+    rows = [(len(d), d.tobytes()) for d in docs] + [(4096, None)]
+    encoded = spark.createDataFrame(rows, "length long, ids binary").repartition(5)
+    found = bm25_packing.collection_statistics(encoded, "<u2", 60)
+    frequency = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=60)
+    assert found.docs == 60 and np.isclose(found.mean_length, np.mean([len(d) for d in docs]))
+    assert found.frequency.tolist() == frequency.tolist()
+    part = [d.astype(int) for d in docs[:9]]  # a shard of them
+    index = bm25_packing.Bm25(part, None, found)
+    index.unused[0] = False
+    want = bm25_by_hand(part, 0, frequency, 60, found.mean_length)
+    assert np.allclose(want[index.neighbours(0)], sorted(want[1:], reverse=True))
