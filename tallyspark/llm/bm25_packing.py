@@ -121,7 +121,7 @@ def pack(
     text_col: str = "text",
     window: int = 4096,
     shard_docs: int = 2048,
-    query_terms: int = 128,
+    query_terms: int | None = None,
     seed: int = 17,
 ) -> DataFrame:
     """Pieces of documents in sequences of at most `window` tokens: doc_id, start, length, ids_crc32, doc_tokens,
@@ -131,8 +131,8 @@ def pack(
     under a window, goes to a shard of `shard_docs` documents. Shards are cut by exact rank from an order in which documents
     that share terms stand near each other (a tree over BM25 vectors, learned from a bounded sample). A shard has an
     inverted index over token ids; document frequencies, their number and mean length are those of all remainders. A window
-    begins with a seed document, then takes the unused documents of its shard with the highest BM25 score for the seed's
-    `query_terms` rarest terms, and cuts the one that no longer fits; its rest begins the next window.
+    begins with a seed document, then takes the unused documents of its shard with the highest BM25 score for all distinct terms of
+    the seed (or its `query_terms` rarest shared ones), and cuts the one that no longer fits; its rest begins the next window.
     The last window of a shard is cut into powers of two, which need no padding. Every id lies in exactly one piece.
 
     NULL and empty texts are the end id alone. Repeated rows are packed each; ids may repeat. Other columns are
@@ -383,14 +383,23 @@ class Bm25:
         self.forward = np.repeat(np.arange(len(self.starts)), frequency)[by_doc]
         self.begin = np.searchsorted(self.doc[by_doc], np.arange(n + 1))
         self.unused = np.ones(n, bool)
+        # Terms that most documents have are rows of a table, which adds faster than postings.
+        common_terms = np.flatnonzero(frequency * 2 > n)
+        self.row = np.full(len(frequency), -1)
+        self.row[common_terms] = np.arange(len(common_terms))
+        self.table = np.zeros((len(common_terms), n))
+        for r, t in enumerate(common_terms):
+            self.table[r, self.doc[self.starts[t] : self.ends[t]]] = self.weight[self.starts[t] : self.ends[t]]
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Unused documents by falling score for the seed's terms, ties in seeded order."""
         own = self.forward[self.begin[seed] : self.begin[seed + 1]]
+        own = own[self.ends[own] - self.starts[own] > 1]  # the others match no other document here
         if self.query_terms is not None and len(own) > self.query_terms:
             own = own[np.argsort(-self.idf[own], kind="stable")[: self.query_terms]]
-        at = np.concatenate([np.arange(self.starts[t], self.ends[t]) for t in own]) if len(own) else own
-        scores = np.bincount(self.doc[at], self.weight[at], len(self.unused))
+        listed, rows = own[self.row[own] < 0], self.row[own]
+        at = np.concatenate([np.arange(self.starts[t], self.ends[t]) for t in listed]) if len(listed) else listed
+        scores = np.bincount(self.doc[at], self.weight[at], len(self.unused)) + self.table[rows[rows >= 0]].sum(0)
         free = np.flatnonzero(self.unused)
         return free[np.argsort(-scores[free], kind="stable")]
 

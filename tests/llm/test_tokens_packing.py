@@ -1,5 +1,6 @@
 """Token counts and packing against the libraries themselves."""
 
+import inspect
 import zlib
 from collections import defaultdict
 
@@ -147,6 +148,20 @@ def bm25_by_hand(docs, seed, frequency, n, mean):
     return np.array(scores)
 
 
+def test_all_terms_of_a_long_seed_count():
+    """Terms that the seed alone has do not push out those that it shares; more than 128 shared ones all count."""
+    query_terms = inspect.signature(bm25_packing.pack).parameters["query_terms"].default
+    rng = np.random.default_rng(2)
+    docs = [np.arange(1000, 1300), *(rng.permutation(3000)[: rng.integers(150, 600)] for _ in range(40))]
+    docs[0] = np.concatenate([docs[0], np.arange(5000, 5200)])  # 200 ids of its own
+    frequency = np.bincount(np.concatenate(docs))
+    want = bm25_by_hand(docs, 0, frequency, len(docs), np.mean([len(d) for d in docs]))
+    index = bm25_packing.Bm25(docs, query_terms)
+    index.unused[0] = False
+    got = index.neighbours(0)
+    assert want[got].min() > 0 and np.allclose(want[got], sorted(want[1:], reverse=True))
+
+
 def test_related_documents_meet_in_many_shards(spark):
     """Eight vocabularies over sixteen shards: packed windows hold mostly one of them."""
     rng = np.random.default_rng(4)
