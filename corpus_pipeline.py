@@ -17,9 +17,9 @@ def _with_ids(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determined language go."""
+    """Documents that are NULL or have no letter go. Score 0 means that there was no language to learn; such documents stay."""
     found = language_id.identify_languages(docs)
-    return _with_ids(docs, found.filter(F.col("lang_pred") != language_id.UNDETERMINED))
+    return _with_ids(docs, found.filter((F.col("lang_pred") != language_id.UNDETERMINED) | (F.col("score") == 0)))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,6 +129,15 @@ def test_pipeline_stages(spark, odd_docs, odd_rows, no_docs):
     assert docs.columns[0] == "doc_id" and set(after) == set(before)
 
 
+def test_language_stage_keeps_texts_where_no_language_is_known(spark):
+    """No row has a language; then only those of the held-out fold have one."""
+    held = next(i for i in range(100) if fold(i, 4) == 2)
+    for lang in (None, "en"):
+        rows = [(held, "some words", lang), (1000, "other words", None), (1001, None, None), (1002, "12 34", None)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert sorted(r.doc_id for r in corpus_pipeline.language_stage(spark, docs, SF).collect()) == [held, 1000]
+
+
 def test_pipeline_run(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert got and all(r.length > 0 for r in got)
