@@ -67,8 +67,9 @@ def _read(spark: SparkSession, path: str, multi_line: bool | None, refuse: bool,
     cells = [F.when(~col(n).isin(fv.CSV_NULL_TOKENS), col(n)).alias(n) for n in names]
     index = F.monotonically_increasing_id()
     if refuse:
-        stop = F.raise_error(F.lit("A row has more cells than the header, or bytes that are not UTF-8")).cast("bigint")
-        return raw.select(F.when(bad, stop).otherwise(index).alias(ROW_INDEX), *cells)
+        # In a filter, as a column that nobody reads is left out together with its check.
+        stop = F.raise_error(F.lit("A row has more cells than the header, or bytes that are not UTF-8")).cast("boolean")
+        return raw.filter(F.when(bad, stop).otherwise(True)).select(index.alias(ROW_INDEX), *cells)
     kept = raw.select(index.alias(ROW_INDEX), *cells, _RAW, bad.alias("_bad"))
     return kept.filter("_bad").drop("_bad") if keep_bad else kept.filter("not _bad").drop("_bad", _RAW)
 

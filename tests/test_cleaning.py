@@ -122,6 +122,15 @@ def test_malformed_rows_are_refused_or_listed(spark, tmp_path, text):
     assert len(kept) == len(bad) == 1 and kept[0]["a"] in ("1", "2") and bad[0]["a"] in ("1", "3")
 
 
+def test_malformed_rows_are_refused_whatever_is_read(spark, tmp_path):
+    path = tmp_path / "bad.csv"
+    path.write_bytes(b"a,b\n1,2\n3,4,5\n")
+    ledger = read_csv_ledger(spark, str(path))
+    for read in (ledger.drop("row_index"), ledger.select("a"), ledger.groupBy().count()):
+        with pytest.raises(Exception, match="more cells than the header"):
+            read.collect()
+
+
 def test_short_rows_are_filled(spark, tmp_path):
     path = tmp_path / "short.csv"
     path.write_text("a,b,c\n1,2\n3\n")
