@@ -33,8 +33,9 @@ def top_k(
     rank. Queries come in blocks, so no task holds all of them and none is broadcast.
 
     NULL vectors, NULL ids and vectors with NULL or non-finite components take no part. Shorter vectors count as ending in
-    zeros. Rows that repeat an id are each candidates and each queries. Scores are exact; a query whose
-    scores could pass 2 ** 53 / (components + 1) stops with an error.
+    zeros. Rows that repeat an id are each candidates and each queries. Scores are exact; where those of a
+    query and shard could pass 2 ** 53 / (components + 1), the lists are read to their end in integers. Only a score that no
+    long holds stops with an error.
     """
     spark, folder = vectors.sparkSession, common.scratch(vectors.sparkSession)
     x = F.col(vector_col)
@@ -109,7 +110,7 @@ class SortedLists:
     """One list of (row, value) per component, by falling value; read from either end, never at a chosen row."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray) -> None:
-        self.ids = ids
+        self.ids, self.values = ids, values
         order = np.argsort(-values, axis=0, kind="stable").T  # component x position
         found = np.take_along_axis(values.T, order, axis=1).astype(np.float64)
         # The second half holds the same lists from their far end, for weights below zero.
@@ -129,8 +130,9 @@ class SortedLists:
         most = (self.sorted[lists, 0] * weights - last).sum()
         # One number per row holds both how many lists were read there and what they added over the lower bound.
         unit = 2.0 ** np.ceil(np.log2(most + 1))
-        if unit * (len(used) + 1) >= 2.0**53:
-            raise OverflowError("scores are not exact beyond 2 ** 53")
+        largest = np.maximum(np.abs(self.sorted[lists, 0]), np.abs(self.sorted[lists, -1])) * np.abs(weights)
+        if max(unit * (len(used) + 1), largest.sum()) >= 2.0**53:
+            return self._best_in_integers(q, k, free)
         read = np.zeros(n)
         step = max(1, -(-n // STEPS))
         for begin in range(0, n if len(used) else 0, step):
@@ -149,6 +151,21 @@ class SortedLists:
         order = np.lexsort((self.ids[known], -scores))[:k]
         return known[order], np.rint(scores[order])
 
+    def _best_in_integers(self, q: np.ndarray, k: int, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All lists read to their end. Rows whose sums could leave 64 bits on the way are added as Python numbers."""
+        known = np.flatnonzero(free)
+        rows = self.values[known]
+        scores = (rows * q).sum(1)
+        large = np.flatnonzero((np.abs(rows.astype(np.float64)) * np.abs(q.astype(np.float64))).sum(1) >= 2.0**62)
+        if len(large):
+            scores = scores.astype(object)
+            for r in large:
+                scores[r] = sum(a * b for a, b in zip(rows[r].tolist(), q.tolist()))
+        order = np.array(sorted(range(len(known)), key=lambda r: (-int(scores[r]), self.ids[known[r]]))[:k], np.int64)
+        if any(abs(int(s)) >= 1 << 63 for s in scores[order]):
+            raise OverflowError("a score does not fit 64 bits")
+        return known[order], scores[order]
+
     def _settled(self, read: np.ndarray, unit: float, frontier: np.ndarray, free: np.ndarray, k: int) -> bool:
         """True if k rows are complete and no other can reach the last of them. An unread list adds its frontier at most."""
         seen = np.floor(read / unit)

@@ -49,6 +49,24 @@ def test_top_k_few_rows(spark):
     assert topk_nra.top_k(df.limit(0)).collect() == [] and topk_nra.top_k(df.filter("vec_id = 0")).collect() == []
 
 
+@pytest.mark.parametrize("high", [1 << 14, 1 << 25, 1 << 29, 1 << 31])
+def test_large_components_are_scored_exactly(high):
+    """Wide lists beside narrow ones; sums up to and beyond 63 bits on the way to scores that fit."""
+    rng = np.random.default_rng(7)
+    values = rng.integers(-high, high, (300, 64)) * rng.choice([1, -1], 64)
+    values[5] = values[9]  # a tie
+    lists = topk_nra.SortedLists(np.arange(300), values)
+    for own in (0, 5, 9):
+        q = values[own]
+        want = sorted((-sum(a * b for a, b in zip(q.tolist(), v)), j) for j, v in enumerate(values.tolist()) if j != own)[:5]
+        if -want[0][0] < 1 << 63:
+            at, scores = lists.best(q, 5, own)
+            assert [(-int(s), int(p)) for p, s in zip(at, scores)] == want
+        else:
+            with pytest.raises(OverflowError):
+                lists.best(q, 5, own)
+
+
 def test_reading_stops_early_where_bounds_allow(monkeypatch):
     """A clear winner in few lists: most of the lists stays unread, and the result is right."""
     reads = []
