@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm import (
-    bm25_packing, common, exact_dedup, language_id, mixing, near_dedup, quality_crf, secret_scan, token_counts, topk_nra, warc,
+    bm25_packing, common, conversation_repair, exact_dedup, language_id, mixing, near_dedup, prefix_trie, quality_crf, secret_scan, sharding,
+    token_counts, topk_nra, warc,
 )
 from tallyspark.llm.oracle import ORACLE_SQL  # noqa: F401  (registered beside QUERIES)
 
@@ -78,3 +79,18 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(_documents(spark, sf_dir))
+
+
+@registered
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audit_conversations(common.table(spark, sf_dir, "conversations"))
+
+
+@registered
+def op12_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_documents(spark, sf_dir))
+
+
+@registered
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(common.table(spark, sf_dir, "conversations"))
