@@ -12,7 +12,8 @@ from tallyspark.operators import (
     scoring, statistics, vendors,
 )
 from tallyspark.plans import portable as data
-from tallyspark.sources import csv_ledger, store
+from tallyspark.sources import csv_ledger, store, version_log
+from tallyspark.streaming import ledger_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,16 +107,52 @@ def delete_then_rerun(spark, sf):
     """A deleted dataset is hidden until it is written again."""
     folder, found = store.scratch_folder(spark), _split_findings(spark, sf)
 
-    def counts(moment):
-        by_id = store.read_table(spark, folder, "findings").groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_findings"))
-        return store.staged(by_id.select(F.lit(moment).alias("moment"), "dataset_id", "n_findings"), folder, "counts")
-
     for dataset_id in ("one", "two"):
         _saved(found, folder, dataset_id)
     store.delete_datasets(spark.createDataFrame([("one",)], "dataset_id string"), folder)
-    deleted = counts("deleted")
+    deleted = _counts(spark, folder, "deleted")
     _saved(found, folder, "one")
-    return deleted.unionByName(counts("written again"))
+    return deleted.unionByName(_counts(spark, folder, "written again"))
+
+
+def _counts(spark, folder, moment):
+    by_id = store.read_table(spark, folder, "findings").groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_findings"))
+    return store.staged(by_id.select(F.lit(moment).alias("moment"), "dataset_id", "n_findings"), folder, "counts")
+
+
+@registered
+def interleaved_writers(spark, sf):
+    """Two runs of a dataset are written side by side; the one that commits last holds, and one based on an older state is refused."""
+    folder, found = store.scratch_folder(spark), _split_findings(spark, sf)
+    few = found.filter("n_rows > 2")
+    since = version_log.last_number(spark, folder)
+    slow, fast = store.prepare(found, folder, "findings", "one"), store.prepare(few, folder, "findings", "one")
+    version_log.commit(spark, folder, [fast])
+    before = _counts(spark, folder, "first commit")
+    version_log.commit(spark, folder, [slow])
+    try:
+        version_log.commit(spark, folder, [store.prepare(few, folder, "findings", "one")], since)
+        last = "not refused"
+    except version_log.CommitConflict:
+        last = "second commit"
+    return before.unionByName(_counts(spark, folder, last))
+
+
+@registered
+def purge_versions(spark, sf):
+    """Version folders and findings after three runs of one dataset and one of another, before and after the purge."""
+    folder, found = store.scratch_folder(spark), _split_findings(spark, sf)
+    for dataset_id in ("one", "one", "two", "one"):
+        store.write_partition(found, folder, "findings", dataset_id)
+
+    def stock(moment):
+        folders = store.stored_versions(spark, folder).groupBy("dataset_id").agg(
+            F.count(F.lit(1)).alias("n_versions"), F.count_if("current").alias("n_current"))
+        return store.staged(_counts(spark, folder, moment).join(folders, "dataset_id"), folder, "stock")
+
+    before = stock("before")
+    store.purge_versions(spark, folder, older_than_hours=-1)
+    return before.unionByName(stock("after"))
 
 
 @registered
@@ -583,6 +620,54 @@ def enrichment_payload(spark, sf):
     )
 
 
+# --- streams
+
+#: Days by which rows of the test stream arrive late, and its arrival by years.
+LATE_DAYS, ARRIVALS = 60, [(None, 1994), (1994, 1996), (1996, 1998), (1998, None)]
+
+
+def _arriving(spark, sf, found, table, last_row=False) -> DataFrame:
+    """Files of the ledger arrive in parts, rows out of order by up to LATE_DAYS; the query starts again for each part.
+
+    `found` makes the stream of hits of a stream of rows. `last_row`: a row with nothing but a late date follows.
+    """
+    folder, ledger = store.scratch_folder(spark), written_ledger(spark, sf)
+    late = F.make_dt_interval((F.col("row_index") % LATE_DAYS).cast("int"))
+    year = F.year(F.col("date") + late)
+    files, root = f"{folder}/arriving", f"{folder}/store"
+
+    def drain():
+        hits = found(ledger_stream.ledger_files(spark, files, ledger.schema))
+        ledger_stream.into_store(hits, root, table, "arriving", f"{folder}/checkpoint").awaitTermination()
+
+    for first, after in ARRIVALS:
+        here = F.coalesce(year >= first if first else F.lit(True), F.lit(first is None))
+        here &= F.coalesce(year < after, F.lit(False)) if after else F.lit(True)
+        ledger.filter(here).write.mode("append").parquet(files)
+        drain()
+    if last_row:
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in ledger.schema if f.name not in ("row_index", "date")]
+        end = ledger.agg(F.max("date").alias("date")).select(F.lit(-1).cast("bigint").alias("row_index"), (F.col("date") + F.expr(f"INTERVAL {LATE_DAYS + 2} DAYS")).alias("date"), *blank)
+        end.select(ledger.columns).write.mode("append").parquet(files)
+        drain()
+    return store.read_partition(spark, root, table, "arriving")
+
+
+@registered
+def stream_row_rules(spark, sf):
+    return _arriving(spark, sf, ledger_stream.flagged_rows, "finding_rows").select("rule_id", "row_index")
+
+
+@registered
+def stream_duplicate_payment(spark, sf):
+    return _arriving(spark, sf, lambda rows: ledger_stream.duplicate_payments(rows, f"{LATE_DAYS} days"), "pairs")
+
+
+@registered
+def stream_split_transaction(spark, sf):
+    return _arriving(spark, sf, lambda rows: ledger_stream.split_transactions(rows, f"{LATE_DAYS} days"), "splits", last_row=True)
+
+
 # --- ad-hoc queries
 
 SQL_GROUP = (

@@ -230,6 +230,14 @@ _on(
     rule_vendor_concentration="SELECT vendor, vendor_spend, total_spend, concentration_pct FROM heavy",
 )
 
+_on(HITS,
+    stream_row_rules=" UNION ALL ".join(f"SELECT '{rule}' AS rule_id, row_index FROM {relation}" for rule, relation in (
+        ("MISSING_REQUIRED_FIELD", "missing"), ("WEEKEND_POSTING", "weekend"), ("PUBLIC_HOLIDAY_POSTING", "holiday"),
+        ("AFTER_HOURS_ENTRY", "night"), ("BACKDATED_ENTRY", "backdated"), ("ROUND_DOLLAR", "round_amounts"), ("THRESHOLD_BREACH", "breaches"))),
+    stream_duplicate_payment="SELECT vendor, amount, row_a, row_b, CAST(days_apart AS INT) AS days_apart FROM pairs",
+    stream_split_transaction="SELECT vendor, CAST(date AS DATE) AS day, transaction_count, total_amount FROM splits",
+)
+
 ROW = "invoice_no, vendor, amount, date, entry_date, timestamp"
 
 
@@ -320,6 +328,11 @@ _on(FOUND, findings_all=f"""SELECT rule_id, rule_name, severity, n_rows, round(t
     delete_then_rerun="""SELECT m.moment, 'two' AS dataset_id, count(*) AS n_findings FROM found, (VALUES ('deleted'), ('written again')) AS m(moment)
       WHERE rule_id = 'SPLIT_TRANSACTION' GROUP BY ALL
       UNION ALL SELECT 'written again', 'one', count(*) FROM found WHERE rule_id = 'SPLIT_TRANSACTION'""",
+    interleaved_writers="""SELECT 'first commit' AS moment, 'one' AS dataset_id, count(*) AS n_findings FROM found
+        WHERE rule_id = 'SPLIT_TRANSACTION' AND n_rows > 2 HAVING count(*) > 0
+      UNION ALL SELECT 'second commit', 'one', count(*) FROM found WHERE rule_id = 'SPLIT_TRANSACTION'""",
+    purge_versions="""SELECT m.*, 1 AS n_current, (SELECT count(*) FROM found WHERE rule_id = 'SPLIT_TRANSACTION') AS n_findings
+      FROM (VALUES ('before', 'one', 3), ('before', 'two', 1), ('after', 'one', 1), ('after', 'two', 1)) AS m(moment, dataset_id, n_versions)""",
 )
 
 _on(

@@ -113,9 +113,8 @@ def run_audit(
 
 
 def save(run: AuditRun, root: str) -> None:
-    """Write the run under `root`, replacing any earlier run of the same dataset and nothing else."""
+    """Write the run under `root`, replacing any earlier run of the same dataset and nothing else; all tables at once."""
     spark = run.ledger.sparkSession
     roles = spark.createDataFrame(list(run.mapping.items()) or [], "role string, source string")
     tables = {"ledger": run.ledger, "mapping": roles, "cleaning_log": run.cleaning_log, **run.tables}
-    for name, df in tables.items():
-        store.write_partition(df, root, name, run.dataset_id)
+    store.write_tables(tables, root, run.dataset_id)
