@@ -147,3 +147,107 @@ component AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY do
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
 FROM sets s JOIN component USING (doc_id)
 """
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a short ASCII expression, bit by bit."""
+    bits = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
+    codes = f"list_transform(range(1, len({text}) + 1), lambda i: CAST(ascii(substr({text}, CAST(i AS INTEGER), 1)) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: {bits}), 4294967295)"
+
+
+def _then(state: str, cost: object, edit: str, line: str | None = None) -> str:
+    """A state of the repair (cost, audit, lines) after one more edit; NULL if it was not reached."""
+    lines = f"{state}.r || chr(10) || {line}" if line else f"{state}.r"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 'r': {lines}}} END"
+
+
+def _keep(state: str, initial: str) -> str:
+    return f"CASE WHEN ini = '{initial}' AND NOT doomed THEN {_then(state, 'more', 'K', "role || ':' || text")} END"
+
+
+def _rerole(state: str, role: str) -> str:
+    return f"CASE WHEN NOT doomed THEN {_then(state, '1 + more', 'R', f"'{role}:' || text")} END"
+
+
+def _least(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+_STATE = "STRUCT(c BIGINT, a VARCHAR, r VARCHAR)"
+_INSERTED_U = _least("s2", *[_then(s, 5, "I", "'user:'") for s in ("s0", "s1", "s3")])
+_INSERTED_A = _least("s3", _then("u", 5, "I", "'assistant:'"))
+
+# Row by row: the best way, with its edits and lines, to each state of the role grammar (nothing yet, after s, u and a).
+ORACLE_SQL["op11_conversation_repair"] = f"""
+WITH RECURSIVE fated AS (
+  SELECT coalesce('=' || conv_id, '-') AS k, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS fate
+  FROM conversations),
+copies AS (
+  SELECT k, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM fated WHERE fate <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text, copy) AS i, substr(role, 1, 1) AS ini,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM copies),
+judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    lag(ini) OVER (PARTITION BY k ORDER BY i) AS before FROM placed),
+items AS (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS doomed, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM judged),
+ways AS (
+  SELECT k, CAST(0 AS BIGINT) AS i, CAST({{'c': 0, 'a': '', 'r': ''}} AS {_STATE}) AS s0, CAST(NULL AS {_STATE}) AS s1,
+    CAST(NULL AS {_STATE}) AS s2, CAST(NULL AS {_STATE}) AS s3 FROM items GROUP BY k
+  UNION ALL
+  SELECT k, i, {_then("s0", 2, "D")}, {_least(_then("s1", 2, "D"), _keep("s0", "s"))},
+    {_least(_then("u", 2, "D"), *[_keep(s, "u") for s in ("s0", "s1", "a")], *[_rerole(s, "user") for s in ("s0", "s1", "a")])},
+    {_least(_then("a", 2, "D"), _keep("u", "a"), _rerole("u", "assistant"))}
+  FROM (
+    SELECT *, {_INSERTED_A} AS a FROM (
+      SELECT t.*, s0, s1, s2, s3, {_INSERTED_U} AS u FROM ways w JOIN items t ON w.k = t.k AND t.i = w.i + 1))),
+ended AS (
+  SELECT k, {_least("s0", "a")} AS best FROM (
+    SELECT *, {_INSERTED_A} AS a FROM (SELECT w.*, {_INSERTED_U} AS u FROM ways w QUALIFY row_number() OVER (PARTITION BY k ORDER BY i DESC) = 1))),
+counted AS (
+  SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM items GROUP BY k)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit,
+  sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
+FROM (SELECT k, max(conv_id) AS conv_id FROM fated GROUP BY k) LEFT JOIN counted USING (k) LEFT JOIN ended USING (k)
+"""
+
+# Every prefix of every conversation as one text; a node is a distinct one.
+ORACLE_SQL["op13_prefix_trie"] = f"""
+WITH named AS (
+  SELECT conv_id AS c, turn, coalesce(text, '') AS t,
+    substr(sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS tid
+  FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, tid) - 1 AS pos FROM named),
+convs AS (SELECT c, count(*) AS n, {_crc32("CAST(c AS VARCHAR)")} % 6 AS h, c - c % 100 AS base FROM placed GROUP BY c),
+rebuilt AS (
+  SELECT v.c, p.pos + 1 AS depth, tid, t FROM convs v JOIN placed p ON p.c = v.base AND p.pos < v.h
+  UNION ALL
+  SELECT p.c, least(v.h, coalesce(b.n, 0)) + p.pos - v.h + 1, tid, t
+  FROM placed p JOIN convs v ON v.c = p.c LEFT JOIN convs b ON b.c = v.base WHERE p.pos >= v.h),
+steps AS (
+  SELECT c, depth, len(t) AS chars, string_agg(tid, ',') OVER (PARTITION BY c ORDER BY depth) AS path FROM rebuilt
+  UNION ALL SELECT c, 0, 0, '' FROM convs),
+prefixes AS (
+  SELECT *, lag(path) OVER (PARTITION BY c ORDER BY depth) AS up, max(depth) OVER (PARTITION BY c) AS length FROM steps),
+nodes AS (
+  SELECT path, min(c) AS conv_id, min(depth) AS depth, min(up) AS up, count(*) AS n_convs, (count(*) - 1) * min(chars) AS own,
+    sha256(coalesce(string_agg(CASE WHEN depth = length THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256
+  FROM prefixes GROUP BY path),
+children AS (SELECT up AS path, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+totals AS (
+  SELECT p.path, sum(n.own) AS saved_tokens, count(*) FILTER (n_children IS NULL) AS n_leaves
+  FROM nodes n LEFT JOIN children k ON k.path = n.path JOIN prefixes p ON p.c = n.conv_id AND p.depth <= n.depth GROUP BY p.path)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes u ON u.path = n.up LEFT JOIN children k ON k.path = n.path JOIN totals s ON s.path = n.path
+"""
