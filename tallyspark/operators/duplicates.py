@@ -105,6 +105,16 @@ def _cell_pairs(cells: DataFrame, window_days: int) -> DataFrame:
     )
 
 
+def cell_pairs(cells: DataFrame, window_days: int) -> DataFrame:
+    """Pairs of cells within the window, and cells of several payments without an invoice with themselves."""
+    own = cells.filter((F.col("n") > 1) & (F.col("invoice_key") == "-")).select(
+        "vendor", "amount", F.col("cell").alias("cell_a"), F.col("n").alias("n_a"), F.col("date").alias("date_a"),
+        F.col("cell").alias("cell_b"), F.col("n").alias("n_b"), F.col("date").alias("date_b"),
+        F.lit(0).alias("days_apart"),
+    )
+    return _cell_pairs(cells, window_days).unionByName(own)
+
+
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -137,12 +147,7 @@ def payment_cells(ledger: DataFrame, params: dict | None = None, stage=None) ->
     stage = stage or (lambda df, name: df)
     payments = stage(repeated_payments(ledger), "repeated_payments")
     cells = _cells(payments)
-    own = cells.filter((F.col("n") > 1) & (F.col("invoice_key") == "-")).select(
-        "vendor", "amount", F.col("cell").alias("cell_a"), F.col("n").alias("n_a"), F.col("date").alias("date_a"),
-        F.col("cell").alias("cell_b"), F.col("n").alias("n_b"), F.col("date").alias("date_b"),
-        F.lit(0).alias("days_apart"),
-    )
-    pairs = stage(_cell_pairs(cells, window_days).unionByName(own), "payment_pairs")
+    pairs = stage(cell_pairs(cells, window_days), "payment_pairs")
     folded = cells.filter((F.col("n") > 1) & F.col("cell").isNotNull())
     inside = salted_join(payments, folded.select(*CELL_KEYS, "cell"), CELL_KEYS, folded, "n", F.col("row_index"))
     sizes = folded.select("cell", "n")

@@ -9,43 +9,48 @@ from tallyspark.functions.values import day_number, either_part, exact_parts, ex
 from tallyspark.operators.ledger import params_with, snapshot_columns, with_values
 
 
-def dormant_vendor_rows(ledger: DataFrame, params: dict | None = None) -> DataFrame:
+def dormant_vendor_rows(ledger: DataFrame, params: dict | None = None, before: DataFrame | None = None) -> DataFrame:
     """Rows that follow more than n whole days without a posting of that vendor.
 
     Dates are folded into spans of n days per vendor (vendor, span). Inside a span no gap can
     exceed n days, so only the first row of a span can be a reactivation, and its
     predecessor is the last date of the span before. The window therefore sees one
-    row per vendor and span, however many rows a vendor has.
+    row per vendor and span, however many rows a vendor has, and hits are joined back by row.
+    `before` (vendor, last_date) stands for earlier rows that are not in `ledger`.
     """
     limit = int(params_with(params)["dormant_vendor_days"])
     dated = with_values(ledger, ["vendor", "date"])
-    hits = _reactivations(dated, limit)
-    keyed = dated.join(hits, ["vendor", "date"])
-    first = keyed.groupBy("vendor", "date").agg(F.min("row_index").alias("row_index"), F.max("days").alias("days"))
-    return first.select("row_index", "days").join(dated.select(*snapshot_columns(ledger)), "row_index").select(
+    hits = _reactivations(dated, limit, before)
+    return hits.join(dated.select(*snapshot_columns(ledger)), "row_index").select(
         *[c for c in snapshot_columns(dated)], "days"
     )
 
 
-def _reactivations(dated: DataFrame, limit: int) -> DataFrame:
-    """(vendor, date, days): the dates at which a vendor comes back. Two dates a span, in hash aggregates."""
-    spans = dated.groupBy("vendor", F.floor(day_number(F.col("date")) / max(1, limit)).alias("_span")).agg(
-        F.min("date").alias("date"), F.max("date").alias("_last")
-    )
-    before = F.lag("_last").over(W.partitionBy("vendor").orderBy("_span"))
-    return spans.withColumn("days", whole_days(before, F.col("date"))).filter(F.col("days") > limit).select("vendor", "date", "days")
+def _reactivations(dated: DataFrame, limit: int, before: DataFrame | None) -> DataFrame:
+    """(row_index, days): the rows with which a vendor comes back. Two dates a span, in a hash aggregate."""
+    span = lambda date: F.floor(day_number(F.col(date)) / max(1, limit)).alias("_span")
+    spans = dated.groupBy("vendor", span("date")).agg(F.min(F.struct("date", "row_index")).alias("_first"), F.max("date").alias("_last"))
+    if before is not None:
+        known = before.filter(F.col("last_date").isNotNull()).select("vendor", span("last_date"), F.col("last_date").alias("_last"))
+        spans = spans.unionByName(known, allowMissingColumns=True)
+    earlier = F.lag("_last").over(W.partitionBy("vendor").orderBy("_span", F.col("_first").asc_nulls_first()))
+    found = spans.select("_first.row_index", whole_days(earlier, F.col("_first.date")).alias("days"))
+    return found.filter(F.col("days") > limit)
+
 
+def new_vendor_rows(ledger: DataFrame, params: dict | None = None, before: DataFrame | None = None) -> DataFrame:
+    """High amounts within n whole days of the first complete row of a vendor.
 
-def new_vendor_rows(ledger: DataFrame, params: dict | None = None) -> DataFrame:
-    """High amounts within n whole days of the first complete row of a vendor."""
+    `before` (vendor, first_date) stands for earlier rows that are not in `ledger`.
+    """
     p = params_with(params)
     complete = with_values(ledger, ["vendor", "date", "amount"])
     high = exceeds(F.col("amount"), p["new_vendor_high_value"])
-    vendors = (
-        complete.groupBy("vendor")
-        .agg(F.min("date").alias("_first_date"), F.count_if(high).alias("_n"))
-        .filter((F.col("_n") > 0) & F.col("_first_date").isNotNull())
-    )
+    firsts = complete.groupBy("vendor").agg(F.min("date").alias("_first_date"), F.count_if(high).alias("_n"))
+    if before is not None:
+        known = before.select("vendor", F.col("first_date").alias("_before"))
+        firsts = firsts.join(known, "vendor", "left").withColumn("_first_date", F.least("_first_date", "_before")).drop("_before")
+    vendors = firsts.filter((F.col("_n") > 0) & F.col("_first_date").isNotNull())
     hits = salted_join(
         complete.filter(high), vendors.select("vendor", "_first_date"), ["vendor"], vendors, "_n", F.col("row_index")
     )

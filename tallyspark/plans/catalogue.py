@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyspark.functions import fixed_values as fv
 from tallyspark.operators import (
-    adhoc, amounts, cleaning, duplicates, findings as fnd, profiling, reports, review, row_rules, schema,
-    scoring, statistics, vendors,
+    adhoc, amounts, cleaning, duplicates, findings as fnd, payment_history, profiling, reports, review, row_rules, schema,
+    scoring, statistics, vendor_state, vendors,
 )
 from tallyspark.plans import portable as data
 from tallyspark.sources import csv_ledger, store, version_log
@@ -401,6 +401,35 @@ def rule_vendor_concentration(spark, sf):
     return vendors.vendor_concentration(_narrow(spark, sf))
 
 
+@registered
+def duplicate_payment_batches(spark, sf):
+    """Four batches, each compared with itself and with the stored ones before."""
+    folder, ledger = store.scratch_folder(spark), written_ledger(spark, sf)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    history, found = payment_history.PaymentHistory(spark, f"{folder}/history", buckets), None
+    for number in range(4):
+        batch = ledger.filter(F.pmod(F.crc32(F.col("row_index").cast("string")), F.lit(4)) == number)
+        pairs = store.staged(duplicates.unfolded(history.add(number, batch)), folder, "pairs")
+        found = pairs if found is None else found.unionByName(pairs)
+    history.close()
+    return found.select("vendor", "amount", "row_a", "row_b", "days_apart")
+
+
+@registered
+def vendor_rule_batches(spark, sf):
+    """Three batches in the order of their dates; only the vendor summary passes from one to the next."""
+    root, ledger, found = store.scratch_folder(spark), written_ledger(spark, sf), None
+    for first, after in ((None, 1994), (1994, 1996), (1996, None)):
+        year = F.year("date")
+        here = year >= first if first else F.lit(True)
+        batch = ledger.filter(here & (year < after) if after else here)
+        hits = vendor_state.audit_batch(batch, root, "ledger")
+        rows = hits.dormant.select(F.lit("DORMANT_VENDOR").alias("rule_id"), "row_index", "days").unionByName(
+            hits.new_vendors.select(F.lit("NEW_VENDOR_HIGH_VALUE").alias("rule_id"), "row_index", "days"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 @registered
 def finding_rows(spark, sf):
     ledger = written_ledger(spark, sf)

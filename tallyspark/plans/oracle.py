@@ -235,6 +235,9 @@ _on(HITS,
         ("MISSING_REQUIRED_FIELD", "missing"), ("WEEKEND_POSTING", "weekend"), ("PUBLIC_HOLIDAY_POSTING", "holiday"),
         ("AFTER_HOURS_ENTRY", "night"), ("BACKDATED_ENTRY", "backdated"), ("ROUND_DOLLAR", "round_amounts"), ("THRESHOLD_BREACH", "breaches"))),
     stream_duplicate_payment="SELECT vendor, amount, row_a, row_b, CAST(days_apart AS INT) AS days_apart FROM pairs",
+    duplicate_payment_batches="SELECT vendor, amount, row_a, row_b, CAST(days_apart AS INT) AS days_apart FROM pairs",
+    vendor_rule_batches="""SELECT 'DORMANT_VENDOR' AS rule_id, row_index, CAST(days AS INT) AS days FROM dormant
+      UNION ALL SELECT 'NEW_VENDOR_HIGH_VALUE', row_index, CAST(days AS INT) FROM fresh""",
     stream_split_transaction="SELECT vendor, CAST(date AS DATE) AS day, transaction_count, total_amount FROM splits",
 )
 
