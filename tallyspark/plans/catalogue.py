@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallyspark.functions import fixed_values as fv
 from tallyspark.operators import (
     adhoc, amounts, cleaning, duplicates, findings as fnd, payment_history, profiling, reports, review, row_rules, schema,
-    scoring, statistics, vendor_state, vendors,
+    scoring, sketches, statistics, text_index, vendor_state, vendors,
 )
 from tallyspark.plans import portable as data
-from tallyspark.sources import csv_ledger, store, version_log
+from tallyspark.sources import clustered, csv_ledger, store, version_log
 from tallyspark.streaming import ledger_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -260,6 +260,31 @@ def quality_summary(spark, sf):
     return profiling.quality_summary(profiling.profile_columns(data.ledger(spark, sf)))
 
 
+@registered
+def profile_sketches(spark, sf):
+    """Sketches of the ledger's years, stored one by one and merged; distinct counts are held against exact ones."""
+    root, ledger = store.scratch_folder(spark), data.ledger(spark, sf)
+    year = F.coalesce(F.year("date"), F.lit(0))
+    for first, after in ((0, 1994), (1994, 1996), (1996, 9999)):
+        part = sketches.sketch_profile(ledger.filter((year >= first) & (year < after)))
+        store.write_partition(part, root, "profile_sketches", str(first))
+    merged = sketches.estimated(sketches.merged_profiles(store.read_table(spark, root, "profile_sketches")))
+    exact = profiling.profile_columns(ledger).select("column", F.col("unique_count").alias("_exact"))
+    near = F.abs(F.col("unique_count") - F.col("_exact")) <= F.greatest(F.lit(1.0), F.col("_exact") * sketches.ERROR_BOUND)
+    return merged.join(exact, "column").select("ordinal", "column", "row_count", "null_count", "null_pct", near.alias("within_bound"))
+
+
+@registered
+def column_heavy_hitters(spark, sf):
+    """Top vendors, customers of orders (no value stands out) and parts of line items; the last two have many values."""
+    stage, found = _stage(spark), None
+    lines, orders = data.table(spark, sf, "lineitem"), data.table(spark, sf, "orders")
+    for df, name in ((data.ledger(spark, sf), "vendor"), (orders, "o_custkey"), (lines, "l_partkey")):
+        top = sketches.heavy_hitters(df, name, stage=stage).values.select(F.lit(name).alias("column"), "value", "n")
+        found = top if found is None else found.unionByName(top)
+    return found
+
+
 # --- schema
 
 
@@ -566,6 +591,19 @@ def findings_search(spark, sf):
     return found.select("finding_id", "dataset_name", "severity", "status")
 
 
+@registered
+def findings_search_index(spark, sf):
+    """The searches of `findings_search`, by postings."""
+    folder = f"{store.scratch_folder(spark)}/index"
+    rows = reports.with_dataset_names(_reviewed(spark, sf), data.datasets(spark, sf))
+    columns = ["rule_name", "audit_explanation", "dataset_name"]
+    text_index.write_index(rows, folder, columns, ["rule_name", "dataset_name"], 32)
+    found = [
+        text_index.search_index(spark, folder, columns, needle).filter(keep)
+        for needle, keep in (("Urgent", "severity = 'HIGH' AND status = 'PENDING'"), ("customer#", "severity = 'LOW'"))]
+    return found[0].unionByName(found[1]).select("finding_id", "dataset_name", "severity", "status")
+
+
 @registered
 def findings_sorted(spark, sf):
     return reports.sorted_by(data.findings(spark, sf), "severity").select("finding_id", "severity", "n_rows")
@@ -730,6 +768,19 @@ def vendor_summary(spark, sf):
     return statistics.vendor_summary(_narrow(spark, sf))
 
 
+@registered
+def vendor_lookup(spark, sf):
+    """The summary of one vendor and the postings of one invoice from a clustered ledger."""
+    folder = f"{store.scratch_folder(spark)}/clustered"
+    clustered.write_clustered(data.ledger(spark, sf), folder, "vendor", ["invoice_no"], distinct=100_000)
+    vendor = data.table(spark, sf, "customer").filter("c_custkey % 9 >= 4").agg(F.min("c_name")).first()[0]
+    invoice = data.table(spark, sf, "orders").filter("o_orderkey % 13 <> 0").agg(F.max("o_orderkey")).first()[0]
+    rows = clustered.lookup(spark, folder, "vendor", vendor)
+    posted = clustered.lookup(spark, folder, "invoice_no", f"INV-{100000 + invoice}")
+    facts = lambda df, kind: df.agg(F.lit(kind).alias("lookup"), F.count(F.lit(1)).alias("n"), F.sum(F.col("amount").cast("decimal(28,6)")).cast("double").alias("total"))
+    return facts(rows, "vendor").unionByName(facts(posted, "invoice"))
+
+
 @registered
 def column_stats(spark, sf):
     stats = profiling.column_stats(data.table(spark, sf, "lineitem"), "l_extendedprice")

@@ -89,6 +89,14 @@ _on(
     PROFILE,
     write_read_parquet="SELECT * FROM ledger",
     profile_columns="SELECT * FROM prof",
+    profile_sketches='SELECT ordinal, "column", row_count, null_count, null_pct, true AS within_bound FROM prof',
+    column_heavy_hitters=" UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM {t} WHERE {c} IS NOT NULL "
+        "GROUP BY ALL ORDER BY n DESC, value LIMIT 5)" for t, c in (("ledger", "vendor"), ("orders", "o_custkey"), ("lineitem", "l_partkey"))),
+    vendor_lookup="""SELECT 'vendor' AS lookup, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) AS total FROM ledger
+        WHERE vendor = (SELECT min(c_name) FROM customer WHERE c_custkey % 9 >= 4)
+      UNION ALL SELECT 'invoice', count(*), CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) FROM ledger
+        WHERE invoice_no = (SELECT 'INV-' || (100000 + max(o_orderkey)) FROM orders WHERE o_orderkey % 13 <> 0)""",
     profile_samples="SELECT * FROM samples",
     profile_numeric="""SELECT 'amount' AS "column", round(avg(amount), 4) AS mean, round(median(amount), 4) AS median,
       round(stddev_samp(amount), 4) AS std, min(amount) AS min, max(amount) AS max FROM ledger""",
@@ -450,3 +458,5 @@ ORACLE_SQL["latest_per_dataset"] = """
 SELECT dataset_id, created_at, version, profile FROM (
  SELECT o_custkey AS dataset_id, o_orderdate AS created_at, o_orderkey AS version, o_totalprice AS profile,
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1"""
+
+ORACLE_SQL["findings_search_index"] = ORACLE_SQL["findings_search"]
