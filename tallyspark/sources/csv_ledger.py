@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 from tallyspark.functions import fixed_values as fv
 from tallyspark.functions.names import ROW_INDEX, col, data_columns, distinct_names
 
+# Bytes of a file that one task may read whole.
+LARGEST_WHOLE_FILE = 2 << 30
+
 # Rows per numbering chunk in `dense_row_index`.
 CHUNK = 1 << 20
 
@@ -18,7 +21,7 @@ class EmptyLedgerError(ValueError):
 
 
 class MalformedLedgerError(ValueError):
-    """Files of one ledger have different columns."""
+    """Files of one ledger have different columns, or a file cannot be split and is too large to be read whole."""
 
 
 _RAW = "_malformed_record"  # the text of a row that has not as many cells as the header
@@ -28,7 +31,8 @@ def read_csv_ledger(spark: SparkSession, path: str, multi_line: bool | None = No
     """All-text ledger with trimmed names, missing-value tokens as NULL and `row_index`.
 
     A first scan looks at each file's header and at lines with an odd number of quotes. Only files that have such lines can
-    hold line breaks inside cells and are read whole; the others are split. `multi_line` decides for all files instead.
+    hold line breaks inside cells and are read whole, by one task each; above LARGEST_WHOLE_FILE bytes they are refused. The
+    others are split. `multi_line` decides for all files instead: True reads files of any size whole.
     Files may have their columns in different order, but must have the same ones.
 
     A row with more cells than the header, or with bytes that are not UTF-8, stops the read; with `skip_bad_rows` such
@@ -79,12 +83,15 @@ def _alike_files(spark: SparkSession, path: str, multi_line: bool | None) -> lis
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"),
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"),
+        F.col("_metadata.file_size").alias("bytes"),
     )
     odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
-    files = lines.groupBy("file").agg(F.bool_or(odd).alias("odd"), F.min_by("value", "place").alias("header"))
+    files = lines.groupBy("file").agg(F.bool_or(odd).alias("odd"), F.min_by("value", "place").alias("header"), F.max("bytes").alias("bytes"))
     groups: dict[tuple, list[str]] = {}
     for r in sorted(files.collect(), key=lambda r: r["file"]):
         whole = r["odd"] if multi_line is None else multi_line
+        if whole and multi_line is None and r["bytes"] > LARGEST_WHOLE_FILE:
+            raise MalformedLedgerError(f"{r['file']} has line breaks inside cells and {r['bytes']} bytes; write it in smaller files")
         groups.setdefault((whole, r["header"]), []).append(r["file"])
     return [(whole, found) for (whole, _), found in groups.items()]
 

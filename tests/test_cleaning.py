@@ -6,7 +6,7 @@ import pytest
 from tallyspark.functions.names import distinct_names
 from tallyspark.functions.values import number_text, parse_date, parse_number, strip_text, whole_days
 from tallyspark.operators import cleaning
-from tallyspark.sources import store
+from tallyspark.sources import csv_ledger, store
 from tallyspark.sources.csv_ledger import (
     EmptyLedgerError, MalformedLedgerError, dense_row_index, read_csv_ledger, rejected_rows,
 )
@@ -186,3 +186,13 @@ def test_staged_table_lives_in_the_shared_folder(spark):
     df = store.staged(spark.range(5).toDF("x"), folder, "t")
     assert df.count() == 5
     store.remove_folder(spark, folder)
+
+
+def test_a_large_file_with_line_breaks_is_refused(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text('x,y\n"one\ntwo",3\n4,5\n')
+    monkeypatch.setattr(csv_ledger, "LARGEST_WHOLE_FILE", 10)
+    with pytest.raises(csv_ledger.MalformedLedgerError, match="a.csv"):
+        csv_ledger.read_csv_ledger(spark, str(tmp_path / "a.csv"))
+    assert csv_ledger.read_csv_ledger(spark, str(tmp_path / "a.csv"), multi_line=True).count() == 2
+    (tmp_path / "b.csv").write_text("x,y\none,3\n4,5\n")
+    assert csv_ledger.read_csv_ledger(spark, str(tmp_path / "b.csv")).count() == 2
