@@ -38,7 +38,7 @@ def near_duplicates(
     2. Of every band bucket the least class is compared with the others, on full sets, and the links are
        contracted. That settles a group of mutual copies without comparing all its pairs.
     3. A bucket that still holds several components has its remaining pairs tested in blocks of 1,024 by their
-       sketches (a byte of each slot). Pairs below 75 % of the wanted similarity there (more than five standard
+       sketches (a byte of each slot). Members outside its largest component are offered to that once in all. Pairs below 75 % of the wanted similarity there (more than five standard
        deviations) go no further. The others are compared on full sets: few of them as pairs, many of them
        in place within the blocks, which return only the links that join components.
 
@@ -123,10 +123,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
 
 
 def _open_tiles(members: DataFrame, roots: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
-    """Rows of the blocks that must still be compared: pairs of different components within a bucket.
+    """Rows of the tiles that must still be compared: pairs of different components within a bucket.
 
-    The largest component of a bucket is only compared with the others, and those with each other. Buckets
-    with the same members count once.
+    The largest component of a bucket is compared with the others, whose members are offered to it once, however many
+    buckets they share with it: such tiles are named by the component. The others are compared with each other in
+    tiles named by the bucket. Buckets with the same members count once.
     """
     named = store.staged(_root_of(members.select("bucket", "cls"), roots), folder, "named")
     by_root = named.groupBy("bucket", "root").agg(
@@ -137,31 +138,30 @@ def _open_tiles(members: DataFrame, roots: DataFrame, classes: DataFrame, folder
         F.count(F.lit(1)).alias("n_roots"), F.sum("n_root").alias("size"), F.max(F.struct("n_root", "root")).alias("top"),
         F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"),
     ).filter("n_roots > 1")
-    buckets = buckets.groupBy("size", "h1", "h2").agg(F.min(F.struct("bucket", "top")).alias("b")).select(
-        "b.bucket", F.col("b.top.root").alias("top"),
-        F.ceil(F.col("b.top.n_root") / BLOCK).cast("int").alias("n_top"),
-        F.ceil((F.col("size") - F.col("b.top.n_root")) / BLOCK).cast("int").alias("n_rest"),
+    buckets = buckets.groupBy("size", "h1", "h2").agg(F.min(F.struct("bucket", "top", "n_roots")).alias("b")).select(
+        "b.bucket", F.col("b.top.root").alias("top"), "b.n_roots", (F.col("size") - F.col("b.top.n_root")).alias("n_rest"),
     )
-    at = named.join(buckets, "bucket").withColumns({
-        "is_top": F.col("root") == F.col("top"), "_hash": F.xxhash64("cls", "bucket"),
-    })
-    block = F.pmod("_hash", F.when(F.col("is_top"), F.col("n_top")).otherwise(F.col("n_rest"))).cast("int")
-    span = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    at = store.staged(named.join(buckets, "bucket").withColumn("is_top", F.col("root") == F.col("top")), folder, "open")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("cls", "tile"), blocks(n)).cast("int")
+    span = lambda n, f: F.explode(F.transform(F.sequence(F.lit(0), blocks(n) - 1), f)).alias("t")
     tile = lambda kind, i, j, side: F.struct(
         F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side")
     )
-    rest = F.concat(
-        span(F.col("n_top"), lambda i: tile(0, i, F.col("block"), F.lit(1))),
-        span(F.col("n_rest"), lambda j: tile(
-            1, F.least(j, "block"), F.greatest(j, "block"),
-            F.when(j == F.col("block"), 2).when(j > F.col("block"), 0).otherwise(1),
-        )),
-    )
-    top = span(F.col("n_rest"), lambda j: tile(0, F.col("block"), j, F.lit(0)))
-    rows = at.withColumn("block", block).select(
-        "bucket", "cls", "root", F.explode(F.when(F.col("is_top"), top).otherwise(rest)).alias("t")
-    )
-    return rows.select("bucket", "t.*", "cls", "root").join(classes.select("cls", "n", "sketch"), "cls")
+    named_by = lambda df: df.select(F.col("tile").alias("bucket"), "t.*", "cls", "root")
+
+    met = store.staged(at.select(F.col("top").alias("tile"), "cls", "root", "is_top").distinct(), folder, "met")
+    sizes = met.groupBy("tile").agg(F.count_if("is_top").alias("n_top"), F.count_if(~F.col("is_top")).alias("n_others"))
+    met = met.join(sizes, "tile")
+    inside = met.filter("is_top").select("tile", "cls", "root", span("n_others", lambda j: tile(0, block("n_top"), j, F.lit(0))))
+    others = met.filter("NOT is_top").select("tile", "cls", "root", span("n_top", lambda i: tile(0, i, block("n_others"), F.lit(1))))
+
+    rest = at.filter("NOT is_top AND n_roots > 2").select(F.col("bucket").alias("tile"), "cls", "root", "n_rest")
+    own = block("n_rest")
+    rest = rest.select("tile", "cls", "root", span("n_rest", lambda j: tile(
+        1, F.least(j, own), F.greatest(j, own), F.when(j == own, 2).when(j > own, 0).otherwise(1))))
+    rows = named_by(inside).unionByName(named_by(others)).unionByName(named_by(rest))
+    return rows.join(classes.select("cls", "n", "sketch"), "cls")
 
 
 _TILE = ["bucket", "kind", "i", "j"]
