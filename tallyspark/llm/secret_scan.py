@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from itertools import product
 
@@ -50,13 +51,19 @@ MORE_RULES = [
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]]:
-    """Alternatives of trigrams, lower-cased: a match needs all trigrams of at least one. Empty: no trigram is mandatory.
+    """Alternatives of trigrams, A to Z lower-cased: a match needs all trigrams of at least one. Empty: no trigram is mandatory.
 
     Strings that a match must contain are built from literals, small sets, short options and alternations; anything
-    else ends the string built so far.
+    else ends the string built so far. A pattern that folds the case of other letters too (flag u), or whose syntax is
+    not understood here, counts as one without mandatory trigrams.
     """
     runs: list[list[frozenset[str]]] = []
-    _flush(_walk(parser.parse(pattern), {""}, runs), runs)
+    if re.search(r"\(\?[a-zA-Z]*[uU]", pattern):
+        return []
+    try:
+        _flush(_walk(parser.parse(pattern), {""}, runs), runs)
+    except re.error:
+        return []
     query: set[frozenset[str]] = {frozenset()}
     for run in runs:
         merged = {a | b for a, b in product(query, run)}
@@ -82,12 +89,17 @@ def _walk(items, strings: set[str], runs: list) -> set[str]:
     return strings
 
 
+def _low(code: int) -> str:
+    """As the index folds case: A to Z only."""
+    return chr(code + 32 if 65 <= code <= 90 else code)
+
+
 def _choices(op, arg) -> set[str] | None:
     """All strings that an element can match, if they are few."""
     if op is ops.LITERAL:
-        return {chr(arg).lower()}
+        return {_low(arg)}
     if op is ops.IN and len(arg) <= _MOST_SET and all(o is ops.LITERAL for o, _ in arg):
-        return {chr(a).lower() for _, a in arg}
+        return {_low(a) for _, a in arg}
     if op is ops.SUBPATTERN:
         return _all_strings(arg[-1])
     if op is ops.BRANCH:

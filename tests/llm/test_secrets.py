@@ -71,11 +71,25 @@ def test_trigram_queries():
 def test_queries_never_lose_a_match():
     rng = random.Random(11)
     patterns = [r.pattern for r in ss.BASE_RULES + ss.MORE_RULES] + [r"ab?cd(ef|gh)+xyz", r"(foo|ba[rz])-?\d{2}"]
-    pieces = ["abcdefxyz", "acdghefxyz", "foo-12", "bar34", "baz-99", "AKIA" + "A1" * 6, "password=abcdefgh", "Secret : 12345678", "xoxb-" + "1" * 20]
+    pieces = ["abcdefxyz", "acdghefxyz", "foo-12", "bar34", "baz-99", "AKIA" + "A1" * 6, "password=abcdefgh", "Secret : 12345678", "xoxb-" + "1" * 20, "CLÉ-1234"]
+    patterns.append("CLÉ-[0-9]{4}")
     for _ in range(300):
         text = "".join(rng.choice(pieces) for _ in range(3))
-        grams = {text.lower()[i : i + 3] for i in range(len(text) - 2)}
+        low = "".join(c.lower() if c.isascii() else c for c in text)
+        grams = {low[i : i + 3] for i in range(len(text) - 2)}
         for p in patterns:
             query = ss.trigram_query(p)
             if re.search(p, text) and query:
                 assert any(q <= grams for q in query), (p, text)
+
+
+def test_rules_beyond_ascii_and_beyond_this_parser(spark):
+    """Through the whole operator: capitals that the index does not fold, folding of all letters, and Java's own syntax."""
+    rules = [
+        ss.Rule("key", "CLÉ-[0-9]{4}"), ss.Rule("folded", "(?iu)straße-[0-9]{4}"), ss.Rule("upper", r"\p{Lu}{4}-[0-9]{4}"),
+        ss.Rule("plain", "(?i)dağ[0-9]{2}xyz")]
+    texts = ["xx CLÉ-1234 yy", "clé-1234", "STRASSE-1234 STRAßE-1234 Straße-9999", "ÀÉÎÕ-1234", "DAğ12XYZ dağ34xyz DAĞ56XYZ", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in ss.find_secrets(docs, more_rules=rules).collect()}
+    assert got == {
+        0: "key:3:11", 1: "", 2: "upper:3:12,folded:13:24,folded:25:36", 3: "upper:0:9", 4: "plain:0:8,plain:9:17", 5: "", 6: ""}
