@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tallyspark.llm import common
 from tallyspark.sources import store
 
-#: Words of a block; the mix takes whole blocks but for the last one of a shard.
+#: Words of a block inside a shard; the mix takes whole blocks but for the last one of a shard.
 BLOCK_WORDS = 64
 #: Words of a shard of one source, about. Orders within a shard are the only windows over documents.
 SHARD_WORDS = 4_000_000
@@ -83,24 +83,25 @@ def mix_plan(
 
     Adds source_size, target, passes (whole copies), ranges (of words, as arrays of start and length, taken once more)
     and taken. A source is dealt to shards by hash, and the words of a shard form one sequence in seeded order. Sources
-    get blocks of `block_words` by Sainte-Laguë, then so do the shards of a source. A shard repeats its whole sequence as
-    often as its quota allows and takes the rest as blocks in seeded order, the last one cut to the exact number.
+    get words by Sainte-Laguë, then so do the shards of a source: seats of one word, so that the smallest source comes as
+    near its target as the largest. A shard repeats its whole sequence as often as its quota allows and takes the rest as
+    blocks of `block_words` in seeded order, the last one cut to the exact number.
     """
     targets = store.staged(source_targets(sized, folder), folder, "targets")
-    blocks = targets.agg(F.round(F.sum("target") / block_words).cast("long").alias("seats"))
-    sources = apportion(targets.join(F.broadcast(blocks)), folder, None, "ordinal", "target", "seats")  # one row
+    words = targets.agg(F.round(F.sum("target")).cast("long").alias("seats"))
+    sources = apportion(targets.join(F.broadcast(words)), folder, None, "ordinal", "target", "seats")  # one row
     sources = store.staged(
         sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")),
         folder, "quotas",
-    ).select("source", "ordinal", "source_size", "target", "shards", F.col("quota").alias("blocks"))
+    ).select("source", "ordinal", "source_size", "target", "shards", F.col("quota").alias("due"))
     named = sources.withColumnRenamed("source", "_source")
     dealt = sized.join(named, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("order", _hash(seed, F.col("id")))
     shard = F.pmod(F.conv(F.substring("order", 1, 15), 16, 10).cast("long"), F.col("shards"))
     dealt = store.staged(dealt.withColumn("shard", shard).drop("_source"), folder, "dealt")
 
-    shards = dealt.groupBy("ordinal", "shard").agg(F.sum("size").alias("words"), F.max("blocks").alias("blocks"))
-    shards = apportion(shards, folder, "ordinal", "shard", "words", "blocks")
-    quota = F.least(F.col("quota") * block_words, F.col("words") * MOST_PASSES)
+    shards = dealt.groupBy("ordinal", "shard").agg(F.sum("size").alias("words"), F.max("due").alias("due"))
+    shards = apportion(shards, folder, "ordinal", "shard", "words", "due")
+    quota = F.least(F.col("quota"), F.col("words") * MOST_PASSES)
     shards = store.staged(
         shards.withColumn("passes", F.when(F.col("words") > 0, F.floor(quota / F.col("words"))).otherwise(0).cast("long"))
         .withColumn("rest", quota - F.col("passes") * F.col("words"))

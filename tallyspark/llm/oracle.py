@@ -81,24 +81,24 @@ filled AS (
   FROM weighed WINDOW w AS (ORDER BY cap / weight, ordinal)),
 free AS (SELECT arg_min(rate, place) AS rate FROM filled WHERE rate * weight <= cap),
 targets AS (SELECT source, source_size, ordinal, least(CAST(cap AS DOUBLE), rate * weight) AS target FROM weighed, free),
-seats AS (SELECT CAST(round(sum(target) / 64) AS BIGINT) AS seats FROM targets),
+seats AS (SELECT CAST(round(sum(target)) AS BIGINT) AS seats FROM targets),
 offers AS (SELECT ordinal, target / (2 * k + 1) AS quotient, k FROM targets, seats, range(seats) r(k) WHERE target > 0),
-won AS (SELECT ordinal, count(*) AS blocks FROM (
+won AS (SELECT ordinal, count(*) AS due FROM (
   SELECT *, row_number() OVER (ORDER BY quotient DESC, ordinal, k) AS place FROM offers), seats WHERE place <= seats GROUP BY ordinal),
 shared AS (
-  SELECT t.*, coalesce(blocks, 0) AS blocks, greatest(1, CAST(ceil(source_size / 4000000.0) AS BIGINT)) AS shards
+  SELECT t.*, coalesce(due, 0) AS due, greatest(1, CAST(ceil(source_size / 4000000.0) AS BIGINT)) AS shards
   FROM targets t LEFT JOIN won USING (ordinal)),
 dealt AS (
   SELECT d.doc_id, size, s.*, md5('17:' || d.doc_id) AS draw,
     CAST(('0x' || substr(md5('17:' || d.doc_id), 1, 15)) AS BIGINT) % shards AS shard
   FROM docs d JOIN shared s ON d.source IS NOT DISTINCT FROM s.source),
-words AS (SELECT ordinal, shard, CAST(sum(size) AS BIGINT) AS words, max(blocks) AS blocks FROM dealt GROUP BY ALL),
-shard_offers AS (SELECT ordinal, shard, blocks, words / (2 * k + 1) AS quotient, k FROM words, range(blocks) r(k) WHERE words > 0),
+words AS (SELECT ordinal, shard, CAST(sum(size) AS BIGINT) AS words, max(due) AS due FROM dealt GROUP BY ALL),
+shard_offers AS (SELECT ordinal, shard, due, words / (2 * k + 1) AS quotient, k FROM words, range(due) r(k) WHERE words > 0),
 shard_won AS (SELECT ordinal, shard, count(*) AS quota FROM (
   SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY quotient DESC, shard, k) AS place FROM shard_offers)
-  WHERE place <= blocks GROUP BY ALL),
+  WHERE place <= due GROUP BY ALL),
 quotas AS (
-  SELECT ordinal, shard, words, least(coalesce(quota, 0) * 64, words * 3) AS quota FROM words LEFT JOIN shard_won USING (ordinal, shard)),
+  SELECT ordinal, shard, words, least(coalesce(quota, 0), words * 3) AS quota FROM words LEFT JOIN shard_won USING (ordinal, shard)),
 passes AS (
   SELECT *, CASE WHEN words > 0 THEN quota // words ELSE 0 END AS passes, CASE WHEN words > 0 THEN quota % words ELSE 0 END AS rest FROM quotas),
 blocks AS (

@@ -39,7 +39,7 @@ def check(rows, got):
         assert 0 <= r.taken <= 3 * r.size
         taken[s] += r.taken
     for s in sizes:
-        assert abs(taken[s] - target[s]) <= mixing.BLOCK_WORDS
+        assert abs(taken[s] - target[s]) <= 1
     return taken
 
 
@@ -91,3 +91,15 @@ def test_apportionment_is_sainte_lague(spark):
         for group in (None, "g"):
             got = mixing.apportion(units, common.scratch(spark), group, "u", "w", "seats")
             assert {r.u: r.quota for r in got.collect()} == want
+
+
+def test_sources_of_a_few_words_come_near_their_targets(spark):
+    """Sources of 0 to 60 words beside a large one, and the texts that come out."""
+    rows = [(i, "w " * i, None, f"s{i:02d}") for i in range(61)] + [(100 + i, "big " * 500, None, "big") for i in range(30)]
+    docs = spark.createDataFrame([(r[0], r[1], r[3]) for r in rows], "doc_id long, text string, source string")
+    taken = check(rows, mixing.mix_sources(docs).collect())
+    assert all(n > 0 for s, n in taken.items() if s != "s00")
+    sizes = {s: 0 for s in taken}
+    for r in mixing.mixed_documents(docs).collect():
+        sizes[r.source] += len(WORD.findall(r.text))
+    assert sizes == taken
