@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyspark.llm import common
 from tallyspark.sources import store
 
-#: The filter is broadcast up to so many 64-bit words (16 MB); beyond that it is joined by shuffle.
-BROADCAST_WORDS = 1 << 20
+#: 64-bit words of the filter that one round builds and broadcasts (64 MB at most, as every word has one row at most).
+ROUND_WORDS = 1 << 22
 
 
 def exact_duplicates(
@@ -24,27 +24,31 @@ def exact_duplicates(
     looks every row up: a row with a bit that only it has set is unique and goes straight to the result. The other
     rows, repeated ones and a few false alarms, are shuffled by digest and settled exactly.
 
+    A filter of more than ROUND_WORDS words is built in rounds, one range of words after the other. Digests are written
+    into one folder per range, so each round reads its own rows only, broadcasts its own part of the filter and
+    shuffles nothing but slots and possible repeats, as on a small table.
+
     NULL counts as the empty text. Rows with equal text and the same id are all marked kept; a NULL id stays only
     where the whole group has no id. Other columns are ignored, and an empty table gives no rows.
     """
     folder = common.scratch(docs.sparkSession)
     digest = F.sha2(common.ascii_lower(F.coalesce(text_col, F.lit(""))).cast("binary"), 256)
-    keyed = store.staged(
-        docs.select(F.col(id_col).cast("long").alias("id"), digest.alias("text_sha256")), folder, "digests"
-    )
+    digests = docs.select(F.col(id_col).cast("long").alias("id"), digest.alias("text_sha256"))
+    keyed = store.staged(digests, folder, "digests")
     words = max(1, keyed.count() * slots_per_row // 64)
-    word = F.pmod(F.xxhash64("text_sha256"), F.lit(words))
-    seen_twice = store.staged(_seen_twice(keyed.select(word.alias("word"), "text_sha256"), hashes), folder, "filter")
-    if seen_twice.count() <= BROADCAST_WORDS:
-        seen_twice = F.broadcast(seen_twice)
-    mask = _mask(hashes)
-    probed = keyed.withColumn("word", word).join(seen_twice, "word", "left").withColumn(
-        "maybe", F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False))
-    )
+    rounds = -(-words // ROUND_WORDS)
+    keyed = keyed.withColumn("word", F.pmod(F.xxhash64("text_sha256"), F.lit(words)))
+    if rounds > 1:
+        keyed = _by_round(keyed, f"{folder}/rounds")
+    for n in range(rounds):
+        rows = keyed.filter(F.col("round") == n) if rounds > 1 else keyed
+        seen_twice = store.staged(_seen_twice(rows, hashes), folder, "filter")
+        _probed(rows, seen_twice, hashes).write.parquet(f"{folder}/probed/part={n}")
+    probed = docs.sparkSession.read.parquet(f"{folder}/probed")
     unique = probed.filter("not maybe").select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
-    maybe = store.staged(probed.filter("maybe").select("id", "text_sha256"), folder, "maybe")
+    maybe = probed.filter("maybe").select("id", "text_sha256")
     groups = maybe.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     repeated = maybe.join(groups, "text_sha256").select(
         "id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
@@ -52,6 +56,21 @@ def exact_duplicates(
     return unique.unionByName(repeated).withColumnRenamed("id", id_col)
 
 
+def _by_round(keyed: DataFrame, path: str) -> DataFrame:
+    """The rows in one folder per range of words. Nothing is shuffled; a task writes a file per range it meets."""
+    ranged = keyed.withColumn("round", F.floor(F.col("word") / ROUND_WORDS).cast("int"))
+    ranged.write.partitionBy("round").parquet(path)
+    return keyed.sparkSession.read.schema(ranged.schema).parquet(path)
+
+
+def _probed(rows: DataFrame, seen_twice: DataFrame, hashes: int) -> DataFrame:
+    """The rows of one round, with `maybe` for those that its part of the filter takes for repeats."""
+    mask = _mask(hashes)
+    return rows.join(F.broadcast(seen_twice), "word", "left").select(
+        "id", "text_sha256", F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False)).alias("maybe")
+    )
+
+
 def _bits(hashes: int) -> list[Column]:
     """The positions a row sets within its word; each hash has its own part of the word, so they differ."""
     width = 64 // hashes

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tallyspark.llm import shingles
+from tallyspark.llm import exact_dedup, shingles
 from tallyspark.llm.components import connected_components
 from tallyspark.llm.exact_dedup import exact_duplicates
 from tallyspark.llm.near_dedup import near_duplicates
@@ -30,6 +30,19 @@ def test_exact_does_not_depend_on_the_filter_size(odd_docs, slots):
     assert sorted(exact_duplicates(odd_docs, slots_per_row=slots).collect()) == sorted(exact_duplicates(odd_docs).collect())
 
 
+def test_exact_in_rounds_shuffles_possible_repeats_only(spark, odd_docs, monkeypatch):
+    want = sorted(exact_duplicates(odd_docs).collect())
+    seen = []
+    real = exact_dedup._probed
+    monkeypatch.setattr(exact_dedup, "_probed", lambda *a: (seen.append(a[:2]), real(*a))[1])
+    monkeypatch.setattr(exact_dedup, "ROUND_WORDS", 4)
+    assert sorted(exact_duplicates(odd_docs).collect()) == want
+    assert len(seen) > 3 and all(twice.count() <= 4 for _, twice in seen)
+    assert sum(rows.count() for rows, _ in seen) == odd_docs.count()  # every row is in one round
+    plan = real(*seen[1], 2)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "PartitionFilters: [isnotnull(round" in plan
+
+
 def test_exact_empty_and_null_ids(spark, no_docs):
     assert exact_duplicates(no_docs).collect() == []
     got = exact_duplicates(spark.createDataFrame([(None, "a"), (None, "A"), (None, "b"), (3, "b")], "doc_id long, text string"))
