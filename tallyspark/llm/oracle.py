@@ -5,16 +5,16 @@ from __future__ import annotations
 ORACLE_SQL: dict[str, str] = {}
 
 ORACLE_SQL["op1_topk_nra"] = """
-WITH sound AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+WITH sound AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-parts AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS d FROM sound),
+parts AS (SELECT r, vec_id, unnest(v) AS x, unnest(range(len(v))) AS d FROM sound),
 scores AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
-  FROM parts q JOIN parts c ON q.d = c.d AND q.vec_id <> c.vec_id
+  SELECT q.r AS q, q.vec_id AS query_id, c.r AS c, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM parts q JOIN parts c ON q.d = c.d AND q.r <> c.r
   WHERE q.vec_id % 50 = 0 GROUP BY ALL)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, q ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scores QUALIFY rank <= 5
 """
 

@@ -24,18 +24,19 @@ def top_k(
     """(query_id, rank, vec_id, score): the `k` rows with the largest integer inner product for every query.
 
     Components become floor(scale * x). Queries are the rows whose id is divisible by `query_every`; candidates are all
-    rows with another id. Ties go to the smaller id, and fewer than `k` rows come back where there are fewer candidates.
+    rows but the query's own. Ties go to the smaller id, and fewer than `k` rows come back where there are fewer candidates.
 
     Rows are dealt to shards of about SHARD_ROWS; a shard keeps one list per component, sorted by value. For a query,
     all lists of a shard are read in step from the end that its sign favours. A row read in some lists has a lower bound (the
     least value of each unread list) and an upper bound (the value that list has reached). Reading stops when k
     rows are known completely and no other row, seen or not, can still reach them. The best of all shards are merged by
-    rank. Queries come in blocks, so no task holds all of them and none is broadcast.
+    rank. Queries come in blocks, so no task holds all of them and none is broadcast. A block of queries is copied to every
+    shard, and cells meet by block and shard, so no join key gathers more than one shard and one block.
 
     NULL vectors, NULL ids and vectors with NULL or non-finite components take no part. Shorter vectors count as ending in
-    zeros. Rows that repeat an id are each candidates and each queries. Scores are exact; where those of a
-    query and shard could pass 2 ** 53 / (components + 1), the lists are read to their end in integers. Only a score that no
-    long holds stops with an error.
+    zeros. Rows that repeat an id are each candidates, of one another too, and each queries. Scores are exact; where those of
+    a query and shard could pass 2 ** 53 / (components + 1), the lists are read in integers instead of doubles. Only a
+    score that no long holds stops with an error.
     """
     spark, folder = vectors.sparkSession, common.scratch(vectors.sparkSession)
     x = F.col(vector_col)
@@ -44,7 +45,9 @@ def top_k(
     )
     whole = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long"))
     rows = store.staged(
-        vectors.filter(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), whole.alias("v")), folder, "vectors"
+        vectors.filter(F.coalesce(sound, F.lit(False))).select(
+            F.col(id_col).cast("long").alias("id"), whole.alias("v"), F.monotonically_increasing_id().alias("row")
+        ), folder, "vectors"
     )
     width = rows.agg(F.max(F.size("v"))).first()[0] or 0
     asked = rows.filter(F.col("id") % query_every == 0)
@@ -53,8 +56,10 @@ def top_k(
     packed = _bundled(packed, ["shard"], width)
     packed = packed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     asked = _bundled(asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1), "v"), F.lit(blocks)).cast("int")), ["block"], width)
-    asked = asked.withColumnsRenamed({"ids": "query_ids", "values": "queries"})
-    met = packed.join(asked, "block").repartition("block", "shard").select("block", "ids", "values", "query_ids", "queries")
+    asked = asked.withColumnsRenamed({"ids": "query_ids", "rows": "query_rows", "values": "queries"})
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    met = packed.join(asked.hint("shuffle_hash"), ["block", "shard"])
+    met = met.select("block", "ids", "rows", "values", "query_ids", "query_rows", "queries")
     best = met.mapInArrow(_reader(k, width), "query_id long, nth long, vec_id long, score long")
     by_score = W.partitionBy("query_id", "nth").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
@@ -71,21 +76,18 @@ def _bundled(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
-            lists = batch.column(2).to_pylist()
-            for cell, i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lists):
-                held.setdefault(cell, []).append((i, v))
+            for cell, *found in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(cell, []).append(found)
         for cell, found in held.items():
-            ids = np.array([i for i, _ in found], np.int64)
+            ids, places = (np.array([f[c] for f in found], np.int64) for c in (0, 1))
             values = np.zeros((len(found), width), np.int64)
-            for r, (_, v) in enumerate(found):
+            for r, (_, _, v) in enumerate(found):
                 values[r, : len(v)] = v
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([cell], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())],
-                [keys[0], "ids", "values"],
-            )
+            packed = [pa.array([a.tobytes()], pa.binary()) for a in (ids, places, values)]
+            yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), *packed], [keys[0], "ids", "rows", "values"])
 
-    dealt = rows.select(F.col(keys[0]).cast("long"), "id", "v").repartition(keys[0])
-    return dealt.mapInArrow(bundle, f"{keys[0]} long, ids binary, values binary")
+    dealt = rows.select(F.col(keys[0]).cast("long"), "id", "row", "v").repartition(keys[0])
+    return dealt.mapInArrow(bundle, f"{keys[0]} long, ids binary, rows binary, values binary")
 
 
 def _reader(k: int, width: int):
@@ -93,12 +95,13 @@ def _reader(k: int, width: int):
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["ids"], np.int64)
+                places = np.frombuffer(row["rows"], np.int64)
                 lists = SortedLists(ids, np.frombuffer(row["values"], np.int64).reshape(len(ids), width))
-                query_ids = np.frombuffer(row["query_ids"], np.int64)
+                query_ids, query_rows = (np.frombuffer(row[c], np.int64) for c in ("query_ids", "query_rows"))
                 queries = np.frombuffer(row["queries"], np.int64).reshape(len(query_ids), width)
                 out = []
-                for nth, (query_id, q) in enumerate(zip(query_ids.tolist(), queries), row["block"] << 32):
-                    at, scores = lists.best(q, k, query_id)
+                for nth, (query_id, own, q) in enumerate(zip(query_ids.tolist(), query_rows, queries), row["block"] << 32):
+                    at, scores = lists.best(q, k, places == own)
                     out += [(query_id, nth, int(ids[p]), int(s)) for p, s in zip(at, scores)]
                 columns = list(zip(*out)) if out else [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "nth", "vec_id", "score"])
@@ -117,63 +120,81 @@ class SortedLists:
         self.order = np.concatenate([order, order[:, ::-1]])
         self.sorted = np.concatenate([found, found[:, ::-1]])
 
-    def best(self, q: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and scores of the k best rows for one query, ties by id, rows with the id `own` left out."""
-        n, used = len(self.ids), np.flatnonzero(q)
-        free = self.ids != own
+    def best(self, q: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and scores of the k best rows for one query, ties by id; the query's own row is left out."""
+        used, free = np.flatnonzero(q), ~own
         if not free.any():
             return np.empty(0, np.int64), np.empty(0)
         weights = q[used].astype(np.float64)
         lists = np.where(weights > 0, used, used + len(q))
         last = self.sorted[lists, -1] * weights  # the least a list can still add
-        lower_all = last.sum()
         most = (self.sorted[lists, 0] * weights - last).sum()
-        # One number per row holds both how many lists were read there and what they added over the lower bound.
         unit = 2.0 ** np.ceil(np.log2(most + 1))
         largest = np.maximum(np.abs(self.sorted[lists, 0]), np.abs(self.sorted[lists, -1])) * np.abs(weights)
-        if max(unit * (len(used) + 1), largest.sum()) >= 2.0**53:
-            return self._best_in_integers(q, k, free)
-        read = np.zeros(n)
-        step = max(1, -(-n // STEPS))
-        for begin in range(0, n if len(used) else 0, step):
+        if max(unit * (len(used) + 1), largest.sum()) < 2.0**53:
+            seen, gained = self._read(weights, lists, last, unit, free, k)
+            at, scores = self._first(seen, gained + last.sum(), len(used), free, k)
+            return at, np.rint(scores)
+        kind = np.int64 if largest.sum() < 2.0**61 else object  # Python numbers where sums could leave 64 bits on the way
+        weights = q[used].astype(kind)
+        last = self._integers(lists, -1, kind) * weights
+        seen, gained = self._read_integers(weights, lists, last, free, k)
+        at, scores = self._first(seen, gained + last.sum(), len(used), free, k)
+        if any(abs(int(s)) >= 1 << 63 for s in scores):
+            raise OverflowError("a score does not fit 64 bits")
+        return at, scores
+
+    def _first(self, seen: np.ndarray, scores: np.ndarray, used: int, free: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        known = np.flatnonzero(free & (seen == used))
+        order = np.lexsort((self.ids[known], -scores[known]))[:k]
+        return known[order], scores[known][order]
+
+    def _read(
+        self, weights: np.ndarray, lists: np.ndarray, last: np.ndarray, unit: float, free: np.ndarray, k: int
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Per row, how many lists were read there and what they added over the lower bound; one double holds both meanwhile."""
+        n = len(self.ids)
+        read, step = np.zeros(n), max(1, -(-n // STEPS))
+        for begin in range(0, n if len(lists) else 0, step):
             end = min(n, begin + step)
             part = self.sorted[:, begin:end][lists]
             part *= weights[:, None]
             part += (unit - last)[:, None]
             read += np.bincount(self.order[:, begin:end][lists].ravel(), part.ravel(), n)
             if end < n:
-                frontier = self.sorted[lists, end - 1] * weights - last
-                if self._settled(read, unit, frontier, free, k):
+                seen = np.floor(read / unit)
+                if self._settled(seen, read - seen * unit, self.sorted[lists, end - 1] * weights - last, free, k):
                     break
         seen = np.floor(read / unit)
-        known = np.flatnonzero(free & (seen == len(used)))
-        scores = read[known] - seen[known] * unit + lower_all
-        order = np.lexsort((self.ids[known], -scores))[:k]
-        return known[order], np.rint(scores[order])
-
-    def _best_in_integers(self, q: np.ndarray, k: int, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All lists read to their end. Rows whose sums could leave 64 bits on the way are added as Python numbers."""
-        known = np.flatnonzero(free)
-        rows = self.values[known]
-        scores = (rows * q).sum(1)
-        large = np.flatnonzero((np.abs(rows.astype(np.float64)) * np.abs(q.astype(np.float64))).sum(1) >= 2.0**62)
-        if len(large):
-            scores = scores.astype(object)
-            for r in large:
-                scores[r] = sum(a * b for a, b in zip(rows[r].tolist(), q.tolist()))
-        order = np.array(sorted(range(len(known)), key=lambda r: (-int(scores[r]), self.ids[known[r]]))[:k], np.int64)
-        if any(abs(int(s)) >= 1 << 63 for s in scores[order]):
-            raise OverflowError("a score does not fit 64 bits")
-        return known[order], scores[order]
+        return seen, read - seen * unit
+
+    def _read_integers(
+        self, weights: np.ndarray, lists: np.ndarray, last: np.ndarray, free: np.ndarray, k: int
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The same reads with whole numbers, for values that a double would round."""
+        n = len(self.ids)
+        seen, gained, step = np.zeros(n, np.int64), np.zeros(n, weights.dtype), max(1, -(-n // STEPS))
+        for begin in range(0, n, step):
+            end = min(n, begin + step)
+            for a, (at, weight, least) in enumerate(zip(self.order[lists, begin:end], weights, last)):
+                gained[at] += self.values[at, lists[a] % self.values.shape[1]].astype(weights.dtype) * weight - least
+                seen[at] += 1
+            if end < n:
+                frontier = self._integers(lists, end - 1, weights.dtype) * weights - last
+                if self._settled(seen, gained, frontier, free, k):
+                    break
+        return seen, gained
+
+    def _integers(self, lists: np.ndarray, place: int, kind) -> np.ndarray:
+        """What the lists hold at one place."""
+        return self.values[self.order[lists, place], lists % self.values.shape[1]].astype(kind)
 
-    def _settled(self, read: np.ndarray, unit: float, frontier: np.ndarray, free: np.ndarray, k: int) -> bool:
+    def _settled(self, seen: np.ndarray, gained: np.ndarray, frontier: np.ndarray, free: np.ndarray, k: int) -> bool:
         """True if k rows are complete and no other can reach the last of them. An unread list adds its frontier at most."""
-        seen = np.floor(read / unit)
         done = free & (seen == len(frontier))
         if np.count_nonzero(done) < k:
             return False
-        gained = read - seen * unit
-        kth = np.partition(gained[done], -k)[-k]
+        kth = np.sort(gained[done])[-k]
         most = np.sort(frontier)[::-1].cumsum()
         open_rows = free & (seen < len(frontier))
         if not open_rows.any():

@@ -16,9 +16,9 @@ from tallyspark.llm import common, topk_nra, warc
 def top_by_hand(rows, k, every):
     sound = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in sound:
+    for at, (i, q) in enumerate(sound):
         if i % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in sound if j != i)[:k]
+            scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for p, (j, v) in enumerate(sound) if p != at)[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
     return sorted(out)
 
@@ -29,6 +29,7 @@ def vectors():
     rows = [(i, rng.normal(0, 0.2, 8).tolist()) for i in range(400)]
     rows += [(1000 + i, rows[7][1]) for i in range(130)]  # ties
     rows += [(2000, None), (2050, [1.0, None] + [0.0] * 6), (2100, [float("nan")] * 8), (2150, [float("inf")] + [0.0] * 7), (None, [0.1] * 8)]
+    rows += [(100, rows[100][1]), (100, rows[3][1]), (150, rows[150][1])]  # repeated ids, of queries
     return rows + [(2200, [0.0] * 8), (2250, [0.5, -0.5]), (2300, [])]
 
 
@@ -36,7 +37,7 @@ def vectors():
 def test_top_k(spark, vectors, monkeypatch, shard, block, k):
     monkeypatch.setattr(topk_nra, "SHARD_ROWS", shard)
     monkeypatch.setattr(topk_nra, "QUERY_BLOCK", block)
-    df = spark.createDataFrame([(i, v, 1, 1) for i, v in vectors], "vec_id long, embedding array<float>, block long, ids long")
+    df = spark.createDataFrame([(i, v, 1, 1) for i, v in vectors], "vec_id long, embedding array<float>, block long, row long")
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in vectors]
     got = topk_nra.top_k(df, k=k)
     assert got.columns == ["query_id", "rank", "vec_id", "score"]
@@ -60,11 +61,32 @@ def test_large_components_are_scored_exactly(high):
         q = values[own]
         want = sorted((-sum(a * b for a, b in zip(q.tolist(), v)), j) for j, v in enumerate(values.tolist()) if j != own)[:5]
         if -want[0][0] < 1 << 63:
-            at, scores = lists.best(q, 5, own)
+            at, scores = lists.best(q, 5, np.arange(300) == own)
             assert [(-int(s), int(p)) for p, s in zip(at, scores)] == want
         else:
             with pytest.raises(OverflowError):
-                lists.best(q, 5, own)
+                lists.best(q, 5, np.arange(300) == own)
+
+
+def test_integer_reads_stop_early_and_agree_with_doubles():
+    rng = np.random.default_rng(8)
+    values = rng.integers(-9, 9, (4000, 3))
+    values[17] = 1000
+    small, large = topk_nra.SortedLists(np.arange(4000), values), topk_nra.SortedLists(np.arange(4000), values << 44)
+    q, none = np.array([5, 2, 3]), np.zeros(4000, bool)
+    at, scores = large.best(q, 1, none)
+    assert (at.tolist(), scores.tolist()) == ([17], [10000 << 44]) == (small.best(q, 1, none)[0].tolist(), [10000 << 44])
+    lists = np.arange(3)
+    last = large._integers(lists, -1, np.int64) * q
+    seen, _ = large._read_integers(q, lists, last, ~none, 1)
+    assert seen.sum() < 3 * 4000
+
+
+def test_no_join_key_gathers_all_shards(spark, vectors, monkeypatch):
+    monkeypatch.setattr(topk_nra, "SHARD_ROWS", 50)
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    plan = topk_nra.top_k(df)._jdf.queryExecution().toString()
+    assert "hashpartitioning(block" in plan and ", shard" in plan.split("hashpartitioning(block")[1][:40]
 
 
 def test_reading_stops_early_where_bounds_allow(monkeypatch):
@@ -76,7 +98,7 @@ def test_reading_stops_early_where_bounds_allow(monkeypatch):
     values = rng.integers(0, 10, (4000, 3))
     values[17] = 1000
     lists = topk_nra.SortedLists(np.arange(4000), values)
-    at, scores = lists.best(np.array([1, 2, 3]), 1, -1)
+    at, scores = lists.best(np.array([1, 2, 3]), 1, np.zeros(4000, bool))
     assert (at.tolist(), scores.tolist()) == ([17], [6000.0])
     assert sum(reads) <= 3 * 4000 / 8
 
