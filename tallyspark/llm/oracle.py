@@ -30,8 +30,8 @@ coded AS (
       1 + CAST(list_sum(list_transform(range(5), lambda j: CAST(b[5 * i + j + 1] AS INTEGER) * CAST(2 ** (4 - j) AS INTEGER))) AS INTEGER),
       1)), '') AS payload_digest
   FROM bits)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM coded
 """
 

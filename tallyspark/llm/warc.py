@@ -10,13 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyspark.llm import common
 from tallyspark.sources import store
 
-#: Records of a shard, and compressed bytes after which a shard goes on in another file.
-SHARD_RECORDS = 4096
+#: Records and payload bytes of a shard, and compressed bytes after which a shard goes on in another file.
+SHARD_RECORDS = 16384
+SHARD_BYTES = 64 << 20
 ROLL_BYTES = 32 << 20
 #: Every record carries this date, so that a rerun writes the same bytes.
 WARC_DATE = "2024-01-01T00:00:00Z"
@@ -77,38 +78,48 @@ def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def write_warc(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    least_bytes: int = 0, shard_records: int = SHARD_RECORDS, roll_bytes: int = ROLL_BYTES,
+    least_bytes: int = 0, shard_records: int = SHARD_RECORDS, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES,
 ) -> DataFrame:
     """Write one record per row of `pages` under `folder` and return the manifest (file, shard, part, records, bytes, sha256).
 
     Of records with equal payloads of at least `least_bytes` bytes the one of smallest id is a response and the others
-    revisit it. Records are in id order. Shards hold `shard_records` ids each, found from the exact rank of
-    ids, so that files do not depend on how Spark happens to partition; a shard rolls to a new file once `roll_bytes`
-    are compressed. Headers and digests are computed anew and dates are fixed: a rerun writes the same files.
+    revisit it. Records are in the order of id, payload digest and URL. Shards are cut from the exact running counts of
+    rows and payload bytes in that order, after `shard_records` rows or `shard_bytes` bytes, so that files do not depend on
+    how Spark happens to partition; a shard rolls to a new file once `roll_bytes` are compressed. Headers and digests
+    are computed anew and dates are fixed: a rerun writes the same files.
 
+    Shards are sorted by Spark and written as a stream, a record at a time, so a task holds one Arrow batch and never a shard.
     A task writes under temporary names of its own attempt; its manifest rows exist only if it succeeded. The manifest
     is written, then the files it lists are renamed, and readers open only listed files. Leftovers of lost tasks are never read.
 
-    NULL html is an empty payload. Records of a NULL id come first and are never revisited. Equal ids stay in one shard.
+    NULL html is an empty payload. Records of a NULL id come first; they revisit the page of the smallest id with their
+    payload, and are responses where no such page has an id. Rows that repeat an id are cut like others; only rows that are
+    the same in all three columns stay together.
     """
     spark, work = pages.sparkSession, common.scratch(pages.sparkSession)
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    digests = store.staged(
-        rows.select("id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("n")), work, "digests"
+    keys = rows.select("id", F.sha2("payload", 256).alias("digest"), _key().alias("key"), F.octet_length("payload").cast("long").alias("n"))
+    keys = store.staged(keys.groupBy("id", "digest", "key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), work, "keys")
+    repeated = keys.filter(F.col("n") >= least_bytes).groupBy("digest").agg(
+        F.min("id").alias("first_id"), F.sum("copies").alias("copies")
+    ).filter("copies > 1 and first_id is not null").select("digest", "first_id")
+    revisits = keys.join(repeated, "digest").filter("id is null or id > first_id").select("key", "first_id")
+    ranked = common.running_totals(
+        keys.select("key", "n", "copies"), work, [F.col("key")], {"rows": F.col("copies"), "bytes": F.col("copies") * F.col("n")}
     )
-    repeated = digests.filter(F.col("n") >= least_bytes).groupBy("digest").agg(
-        F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")
-    ).filter("copies > 1")
-    plan = digests.join(repeated, "digest").filter("id > first_id").groupBy("id", "digest").agg(F.min("first_id").alias("refers_to"))
-    ids = digests.filter("id is not null").select("id").distinct()
-    ranked = common.running_totals(ids, work, [F.col("id")], {"rank": F.lit(1)})
-    bounds = ranked.filter((F.col("rank") % shard_records == 0)).select("id").orderBy("id").collect()  # one id per shard
-    bounds = np.array([r["id"] for r in bounds], np.int64)
-    cut = _sharder(spark.sparkContext.broadcast(bounds))
-    sharded = rows.mapInArrow(cut, "shard long, id long, url string, payload binary")
-    plan = plan.select("id", "digest", "refers_to").mapInArrow(cut, "shard long, id long, digest string, refers_to long")
-    written = sharded.groupBy("shard").cogroup(plan.groupBy("shard")).applyInArrow(_writer(f"{folder}/files", roll_bytes), _ENTRY)
+    ends = [
+        F.floor(F.col(total) / most) > F.floor((F.col(total) - own) / most)
+        for total, own, most in (("rows", F.col("copies"), shard_records), ("bytes", F.col("copies") * F.col("n"), shard_bytes))
+    ]
+    bounds = ranked.filter(ends[0] | ends[1]).select("key").orderBy("key").toArrow().column(0)  # the last key of each shard
+    shard = _sharder(spark.sparkContext.broadcast(np.array(bounds.to_pylist(), "S")))
+    none = F.lit(None)
+    records = rows.select(_key().alias("key"), "url", "payload", none.cast("long").alias("first_id"), F.lit(1).alias("kind")).unionByName(
+        revisits.select("key", none.cast("string").alias("url"), none.cast("binary").alias("payload"), "first_id", F.lit(0).alias("kind"))
+    )
+    dealt = records.withColumn("shard", shard("key")).repartition("shard").sortWithinPartitions("shard", "key", "kind")
+    written = dealt.select("shard", "key", "url", "payload", "first_id", "kind").mapInArrow(_writer(f"{folder}/files", roll_bytes), _ENTRY)
     manifest = f"{folder}/manifest-{uuid.uuid4().hex[:8]}"
     written.write.parquet(manifest)
     entries = spark.read.parquet(manifest)
@@ -149,18 +160,25 @@ def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
 
-def _shard_of(bounds: np.ndarray, ids: list) -> pa.Array:
-    """Shard 0 holds ids up to the first bound, and so on; NULL ids go there too."""
-    return pa.array([int(s) for s in np.searchsorted(bounds, [-(1 << 63) if i is None else i for i in ids])], pa.int64())
+def _key() -> Column:
+    """One text in the order of id (NULL first), payload digest, URL digest."""
+    unsigned = F.lpad(F.hex(F.col("id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(unsigned, F.lit("")), F.lit("."), F.sha2("payload", 256), F.md5(F.coalesce("url", F.lit("")).cast("binary")))
+
+
+def _id_of(key: str) -> int | None:
+    digits = key.partition(".")[0]
+    return int(digits, 16) - (1 << 63) if digits else None
 
 
 def _sharder(shared):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            shards = _shard_of(shared.value, b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([shards, *b.columns], ["shard", *b.schema.names])
+    """Shard 0 holds keys up to the first bound, and so on."""
+
+    @F.arrow_udf("long")
+    def shard(keys: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(shared.value, np.array(keys.to_pylist(), "S")), pa.int64())
 
-    return cut
+    return shard
 
 
 def _file_system(folder: str):
@@ -171,37 +189,61 @@ def _file_system(folder: str):
 
 
 def _writer(folder: str, roll_bytes: int):
-    def write(pages: pa.Table, plan: pa.Table) -> pa.Table:
+    """Rows come by shard and key; one of kind 0 says what the pages with its key revisit."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _file_system(folder)
         system.create_dir(root, recursive=True)
-        refers = {(i, d): r for i, d, r in zip(*(plan.column(c).to_pylist() for c in ("id", "digest", "refers_to")))}
-        shard = pages.column("shard")[0].as_py() if pages.num_rows else None
-        order = sorted(range(pages.num_rows), key=lambda k: _key(pages, k))
-        entries, part, at = [], 0, 0
-        while at < len(order):
-            name, attempt = f"part-{shard:08d}-{part:05d}.warc.gz", uuid.uuid4().hex
-            temporary, size, records, digest = f"_{name}.{attempt}", 0, 0, hashlib.sha256()
-            with system.open_output_stream(f"{root}/{temporary}", compression=None) as out:
-                while at < len(order) and (not size or size < roll_bytes):
-                    k = order[at]
-                    i, url, payload = (pages.column(c)[k].as_py() for c in ("id", "url", "payload"))
-                    packed = _compressed(record(i, url, payload, refers.get((i, hashlib.sha256(payload).hexdigest()))))
-                    out.write(packed)
-                    digest.update(packed)
-                    size, records, at = size + len(packed), records + 1, at + 1
-            entries.append((name, temporary, shard, part, records, size, digest.hexdigest()))
-            part += 1
-        names = [c.split()[0] for c in _ENTRY.split(", ")]
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        columns = list(zip(*entries)) if entries else [()] * len(names)
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        part = None
+        try:
+            for shard, packed in _packed(batches):
+                if part and (part.shard != shard or part.size >= roll_bytes):
+                    yield part.closed()
+                    part = _Part(system, root, shard, part.number + 1 if part.shard == shard else 0)
+                part = part or _Part(system, root, shard, 0)
+                part.add(packed)
+            if part:
+                yield part.closed()
+        finally:
+            if part:
+                part.out.close()
 
     return write
 
 
-def _key(pages: pa.Table, k: int) -> tuple:
-    i, url = pages.column("id")[k].as_py(), pages.column("url")[k].as_py()
-    return i is not None, i or 0, url or "", hashlib.sha1(pages.column("payload")[k].as_py()).digest()
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    """(shard, compressed record) of every page."""
+    revisit = (None, None)
+    for batch in batches:
+        for piece in common.pieces(batch, 3):
+            for shard, key, url, payload, first_id, kind in zip(*(c.to_pylist() for c in piece.columns)):
+                if kind == 0:
+                    revisit = (key, first_id)
+                else:
+                    refers_to = revisit[1] if revisit[0] == key else None
+                    yield shard, _compressed(record(_id_of(key), url, payload, refers_to))
+
+
+class _Part:
+    """One file under the temporary name of this attempt."""
+
+    def __init__(self, system, root: str, shard: int, number: int) -> None:
+        self.shard, self.number, self.size, self.records, self.digest = shard, number, 0, 0, hashlib.sha256()
+        self.name = f"part-{shard:08d}-{number:05d}.warc.gz"
+        self.temporary = f"_{self.name}.{uuid.uuid4().hex}"
+        self.out = system.open_output_stream(f"{root}/{self.temporary}", compression=None)
+
+    def add(self, packed: bytes) -> None:
+        self.out.write(packed)
+        self.digest.update(packed)
+        self.size, self.records = self.size + len(packed), self.records + 1
+
+    def closed(self) -> pa.RecordBatch:
+        self.out.close()
+        values = [self.name, self.temporary, self.shard, self.number, self.records, self.size, self.digest.hexdigest()]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        names = [c.split()[0] for c in _ENTRY.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
 
 
 def _compressed(data: bytes) -> bytes:

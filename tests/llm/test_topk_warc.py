@@ -108,6 +108,7 @@ def pages(spark):
     rng = random.Random(6)
     rows = [(i, f"http://h{i % 5}/é {i}", None if i % 31 == 0 else "<p>" + "ü x" * rng.randrange(0, 400) + str(i % 40)) for i in range(300)]
     rows += [(1000 + i, None, "same") for i in range(100)] + [(None, "u", "same"), (5, "twice", "own"), (2000, "u", "")]
+    rows += [(None, "u", "of no id"), (None, None, "of no id"), (-7, "u", "of no id, but once"), (-(1 << 63), "u", "x")]
     return spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, shard long").repartition(7)
 
 
@@ -119,11 +120,11 @@ def want(pages):
             first[p] = min(first.get(p, i), i)
     return sorted(
         (i if i is not None else -1, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(),
-         "response" if i is None or i == first[p] else "revisit", None if i is None or i == first[p] else first[p]) for i, p in rows
+         "response" if i == first.get(p) else "revisit", None if i == first.get(p) else first[p]) for i, p in rows
     )
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_records": 16, "roll_bytes": 2000}])
+@pytest.mark.parametrize("options", [{}, {"shard_records": 16, "roll_bytes": 2000}, {"shard_bytes": 3000}])
 def test_warc_round_trip(spark, pages, options):
     folder = f"{common.scratch(spark)}/warc"
     manifest = warc.write_warc(pages, folder, **options)
@@ -164,5 +165,19 @@ def test_warc_records_are_well_formed():
         list(warc.read_records(gzip.compress(data.replace("é".encode(), b"xx"))))
 
 
+def test_warc_hot_id_and_large_page(spark):
+    """Rows without an id, and rows that repeat one, are cut into shards like others; a large page is a record of its own."""
+    rows = [(i, f"u{n}", f"page {n}") for n in range(600) for i in (None, 5)] + [(6, "large", "xyz " * 5_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    folder = f"{common.scratch(spark)}/warc"
+    manifest = warc.write_warc(df, folder, shard_records=100, shard_bytes=1 << 20)
+    assert {r["count"] for r in manifest.groupBy("shard").agg({"records": "sum"}).withColumnRenamed("sum(records)", "count").collect()} <= {100, 1}
+    assert manifest.select("shard").distinct().count() >= 12
+    got = warc.read_warc(manifest, folder)
+    assert got.filter("page_id is null and record_type = 'revisit' and refers_to = 5").count() == 600
+    assert got.filter("page_id = 5 and record_type = 'response' and refers_to is null").count() == 600
+    assert got.filter("page_id = 6").first().payload_bytes == 20_000_000
+
+
 def test_warc_empty(spark, pages):
     assert warc.round_trip(spark, pages.limit(0), f"{common.scratch(spark)}/warc").collect() == []
