@@ -128,14 +128,18 @@ def _flush(strings: set[str], runs: list) -> None:
 
 
 def trigram_index(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (trigram, id) of the given trigrams in the lower-cased texts, each once per row."""
-    low = docs.select(F.col(id_col).cast("long").alias("id"), common.ascii_lower(F.coalesce(text_col, F.lit(""))).alias("low"))
+    """Postings (trigram, id, text_hash) of the given trigrams in the lower-cased texts, each once per row.
+
+    The hash of the text tells rows apart that repeat an id or have none.
+    """
+    text = F.coalesce(text_col, F.lit(""))
+    low = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), common.ascii_lower(text).alias("low"))
     every = F.array(*[F.lit(t) for t in trigrams])
-    return low.select("id", F.explode(F.filter(every, lambda t: F.contains("low", t))).alias("trigram"))
+    return low.select("id", "text_hash", F.explode(F.filter(every, lambda t: F.contains("low", t))).alias("trigram"))
 
 
 def _candidates(docs: DataFrame, rules: list[Rule], id_col: str, text_col: str, folder: str) -> DataFrame | None:
-    """(id, rules): the rules whose trigram query a document satisfies; None if no rule has one."""
+    """(id, text_hash, rules): the rules whose trigram query a document satisfies; None if no rule has one."""
     branches = [
         (rule.kind, n, t, len(q)) for rule in rules for n, q in enumerate(trigram_query(rule.pattern)) for t in sorted(q)
     ]
@@ -146,8 +150,8 @@ def _candidates(docs: DataFrame, rules: list[Rule], id_col: str, text_col: str,
     postings = trigram_index(docs, sorted({t for _, _, t, _ in branches}), id_col, text_col)
     postings = store.staged(postings, folder, "postings").distinct()
     met = postings.join(F.broadcast(wanted), "trigram")  # as many rows as the rules have trigrams
-    met = met.groupBy("id", "kind", "branch").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed"))
-    return met.filter("n = needed").groupBy("id").agg(F.collect_set("kind").alias("rules"))
+    met = met.groupBy("id", "text_hash", "kind", "branch").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed"))
+    return met.filter("n = needed").groupBy("id", "text_hash").agg(F.collect_set("kind").alias("rules"))
 
 
 def find_secrets(
@@ -160,8 +164,9 @@ def find_secrets(
     without mandatory trigrams is searched in all documents. Matching is exact, on whole texts.
 
     Spans are kind:start:end in code points, by start, then kind as listed, comma-joined; base_sha256 is the digest of
-    the base spans so joined. NULL and empty texts have no spans. Rows that repeat an id are each searched; other columns
-    are ignored; an empty table gives no rows.
+    the base spans so joined. NULL and empty texts have no spans. Rows that repeat an id or have none are each searched, and
+    meet their candidate rules by id and text hash, so only copies of one text share a task; other columns are ignored; an
+    empty table gives no rows.
     """
     rules = BASE_RULES + (MORE_RULES if more_rules is None else more_rules)
     folder = common.scratch(docs.sparkSession)
@@ -170,8 +175,9 @@ def find_secrets(
     if candidates is None:
         flagged = texts.withColumn("rules", F.array().cast("array<string>"))
     else:
-        found = candidates.withColumnRenamed("id", "_id").hint("shuffle_hash")
-        flagged = texts.join(found, F.col("id").eqNullSafe(F.col("_id")), "left")
+        found = candidates.withColumnsRenamed({"id": "_id", "text_hash": "_hash"}).hint("shuffle_hash")
+        texts = texts.withColumn("text_hash", F.xxhash64("text"))
+        flagged = texts.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     searched = [
         _matches(n, r, F.array_contains("rules", r.kind) if trigram_query(r.pattern) else F.lit(True)) for n, r in enumerate(rules)
     ]

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-from tallyspark.llm import secret_scan as ss
+from tallyspark.llm import common, secret_scan as ss
 
 BASE = [  # kind, pattern, measured group, least length
     ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -49,6 +49,16 @@ def test_added_rules_keep_base_spans(odd_docs, spark):
     assert ss.find_secrets(odd_docs).count() == odd_docs.count()
 
 
+def test_rows_without_an_id_are_spread_and_flagged_one_by_one(spark):
+    """Rows of one id, or of none, have their own candidate rules; the join deals them by text as well."""
+    found = [f"x {n} AKIAABCDEFGHIJKL{n:04d}" if n % 3 == 0 else f"y {n}" for n in range(60)]
+    docs = spark.createDataFrame([(i, t) for t in found for i in (None, 9)], "doc_id long, text string")
+    got = ss.find_secrets(docs)
+    assert sorted((r.doc_id or 0, r.n_access) for r in got.collect()) == sorted((i, int(n % 3 == 0)) for n in range(60) for i in (0, 9))
+    candidates = ss._candidates(docs, ss.BASE_RULES, "doc_id", "text", common.scratch(spark))
+    assert candidates.count() == 40 and candidates.filter("rules != array('access')").isEmpty()
+
+
 def test_empty(no_docs):
     assert ss.find_secrets(no_docs).collect() == []
 
