@@ -62,6 +62,9 @@ class PaymentHistory:
     def _earlier(self, name: str, schema: str, number: int) -> DataFrame:
         return self.spark.read.schema(f"{schema}, batch long").parquet(f"{self.root}/{name}").filter(F.col("batch") <= number)
 
+    def _has_earlier(self, number: int) -> bool:
+        return any(int(row[0].split("=")[1]) < number for row in self.spark.sql(f"SHOW PARTITIONS {self.table}").collect())  # one row per batch
+
     def add(self, number: int, ledger: DataFrame) -> PaymentCells:
         """Pairs of cells inside this batch and with all batches of smaller numbers, as `payment_cells` has them for a whole ledger.
 
@@ -91,7 +94,10 @@ class PaymentHistory:
         inside = salted_join(payments, folded, CELL_KEYS, folded, "n", F.col("row_index")).select("cell", "n", "row_index")
         self._write(inside, "members", number)
 
-        pairs = duplicates.cell_pairs(cells, self.window_days).unionByName(self.pairs_with_history(number, cells, hot))
+        pairs = duplicates.cell_pairs(cells, self.window_days)
+        if self._has_earlier(number):
+            pairs = pairs.unionByName(self.pairs_with_history(number, cells, hot))
+        pairs = self._write(pairs, "pairs", number)  # `unfolded` reads them several times
         return PaymentCells(pairs, self._earlier("members", "cell long, n long, row_index long", number).drop("batch"), payments)
 
     def pairs_with_history(self, number: int, cells: DataFrame, hot: DataFrame) -> DataFrame:

@@ -56,6 +56,15 @@ def test_the_history_is_not_shuffled(spark, make, tmp_path):
     history.close()
 
 
+def test_pairs_of_a_batch_are_computed_once(spark, make, tmp_path):
+    """Unfolding reads the pairs of cells several times; they must not be joined and shuffled again for each."""
+    history, _ = in_batches(spark, payments(make, 60), str(tmp_path), (0,))
+    found = history.add(1, payments(make, 60, seed=6).withColumn("row_index", F.col("row_index") + 1000))
+    plan = found.pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and found.pairs.count() > 0
+    history.close()
+
+
 def test_a_later_session_takes_the_history_up(spark, make, tmp_path):
     ledger = payments(make, 120).cache()
     _, whole = in_batches(spark, ledger, f"{tmp_path}/whole", (0, 1))
