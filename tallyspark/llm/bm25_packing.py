@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import unicodedata
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -31,7 +32,20 @@ ENCODED = "id long, draw long, start long, length long, doc_tokens long, crc lon
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _OTHERS = [b for b in range(256) if b not in _PRINTABLE]
 BYTE_CHARACTERS = {b: 256 + n for n, b in enumerate(_OTHERS)}
-_PROBES = ["a", "the", "été", "zzqx", "internationalization", "straße", "ñandú", "x.", "ß,", "Öl"]
+_PROBES = ["a", "the", "été", "zzqx", "internationalization", "straße", "ñandú", "x.", "ß,", "Öl", "ab!!", "zu###", "é'.)"]
+_MARKED = re.compile(rb"([^!-@\[-`{-~]+)([!-/:-@\[-`{-~]+)")  # ASCII marks behind something else
+
+
+class _Known(dict):
+    """Ids by word; a word that is not there yet is found and kept."""
+
+    def __init__(self, find: Callable[[bytes], bytes]) -> None:
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.find(word)
+        return ids
 
 
 class WordEncoder:
@@ -39,7 +53,7 @@ class WordEncoder:
 
     For tokenizers that drop white space and never merge across it. Texts are cut at ASCII white space only, every
     distinct word goes through the library once, and its ids are kept as bytes. Words of plain letters, perhaps with
-    a comma or full stop behind, are handed to the library's merge model at once, as its normaliser and splitter leave them as
+    ASCII marks behind, are handed to the library's merge model at once, as its normaliser and splitter leave them as
     they are; all other words take the library's full way. Probes at the start tell whether the short way is right.
     """
 
@@ -52,33 +66,30 @@ class WordEncoder:
         self.whole.no_padding()
         self.model = self.whole.model
         self.kind = np.dtype("<u2") if self.whole.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[bytes, bytes] = {}
+        self.coded = [np.array([i], self.kind).tobytes() for i in range(self.whole.get_vocab_size())]
+        self.known = _Known(self._found)
         self.short = True
         probes = [w.encode() for w in _PROBES]
         self.short = [self._letters(p) for p in probes] == self._full(probes)
+        self.known.clear()  # the short way's ids, right or not
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if self.short:  # special tokens alone depend on case before the normaliser
             texts = [t if b"<|" in t else t.lower() for t in texts]
-        words = [t.split() for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         collecting = gc.isenabled()
         gc.disable()  # millions of small objects and no cycles among them
         try:
-            odd = []
-            for word in set().union(*words) - self.known.keys():
-                ids = self._letters(word)
-                if ids is None:
-                    odd.append(word)
-                else:
-                    self.known[word] = ids
-            self.known.update(zip(odd, self._full(odd)))
-            return [b"".join(map(self.known.__getitem__, w)) for w in words]
+            return [b"".join(map(self.known.__getitem__, t.split())) for t in texts]
         finally:
             if collecting:
                 gc.enable()
 
+    def _found(self, word: bytes) -> bytes:
+        ids = self._letters(word)
+        return self._full([word])[0] if ids is None else ids
+
     def _full(self, words: list[bytes]) -> list[bytes]:
         found = self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
@@ -87,15 +98,15 @@ class WordEncoder:
         """Ids of a word of letters below U+0130 in composed form, if it is one."""
         if not self.short:
             return None
-        if word.endswith((b".", b",")):
-            core = word[:-1]
-            if core.endswith((b".", b",")):
-                return None
-            ids = core[-1:].isalpha() and self.known.get(core) or self._letters(core)  # a mark after a letter stands alone
+        if marked := _MARKED.fullmatch(word):  # marks after letters stand alone
+            core, marks = marked.groups()
+            ids = core[-1:].isalpha() and self.known.get(core) or self._letters(core)
             if ids is None:
                 return None
             self.known[core] = ids
-            return ids + self._merged(word[-1:].decode())
+            if marks not in self.known:
+                self.known[marks] = self._merged(marks.decode())
+            return ids + self.known[marks]
         if word.isalpha():
             return self._merged(word.lower().decode())
         text = word.decode("utf-8", "replace").lower()
@@ -104,7 +115,7 @@ class WordEncoder:
         return self._merged(text.encode().decode("latin-1").translate(BYTE_CHARACTERS))
 
     def _merged(self, characters: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(characters)], self.kind).tobytes()
+        return b"".join([self.coded[t.id] for t in self.model.tokenize(characters)])
 
 
 @lru_cache(maxsize=1)
@@ -178,7 +189,7 @@ def collection_statistics(encoded: DataFrame, kind: str, terms: int) -> Statisti
         frequency = np.zeros(terms, np.int64)
         for batch in batches:
             for ids in batch.column(0).to_pylist():
-                frequency[np.unique(np.frombuffer(ids, kind))] += 1
+                frequency[np.frombuffer(ids, kind)] += 1  # an id that repeats in one index counts once
         term = np.flatnonzero(frequency)
         yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(frequency[term])], ["term", "docs"])
 
@@ -398,7 +409,8 @@ class Bm25:
         if self.query_terms is not None and len(own) > self.query_terms:
             own = own[np.argsort(-self.idf[own], kind="stable")[: self.query_terms]]
         listed, rows = own[self.row[own] < 0], self.row[own]
-        at = np.concatenate([np.arange(self.starts[t], self.ends[t]) for t in listed]) if len(listed) else listed
+        counts = self.ends[listed] - self.starts[listed]
+        at = np.repeat(self.starts[listed] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         scores = np.bincount(self.doc[at], self.weight[at], len(self.unused)) + self.table[rows[rows >= 0]].sum(0)
         free = np.flatnonzero(self.unused)
         return free[np.argsort(-scores[free], kind="stable")]

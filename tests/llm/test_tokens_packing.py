@@ -107,6 +107,27 @@ def test_words_give_the_ids_of_whole_texts(spark, no_docs):
     assert bm25_packing.pack(no_docs, WORDS, 2).collect() == []
 
 
+def test_marks_behind_letters_need_no_full_way():
+    encoder, library = bm25_packing.WordEncoder(open(WORDS, "rb").read()), Tokenizer.from_file(WORDS)
+    marks = ["!!", "###", "$$$", "'.", ".'", "&&&", "***", "...", ",!!", "=>", "^`~", "</w>"[:2], "<|", "|>", "'"]
+    words = [w + m for w in ("heen", "Été", "ßx", "don", "q") for m in marks]
+    want = [library.encode(w, add_special_tokens=False).ids for w in words]
+    real, full = encoder._full, []
+    encoder._full = lambda ws: full.extend(ws) or real(ws)
+    assert [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode([w.encode() for w in words])] == want
+    assert full == []
+    odd = ["don't!!", "a1b..", "12!", "İ!!", "漢字!!", "\U0001F600!!", "é\u0301..", "=\u0338!", "!!a!!", "(ab)"]
+    got = encoder.encode([" ".join(odd).encode()])[0]
+    assert np.frombuffer(got, encoder.kind).tolist() == library.encode(" ".join(odd), add_special_tokens=False).ids
+
+
+def test_a_term_counts_once_per_document(spark):
+    rows = [([5, 5, 7],), ([5],), ([9] * 40,)]
+    coded = spark.createDataFrame([(np.array(r[0], "<u2").tobytes(), len(r[0])) for r in rows], "ids binary, length long")
+    found = bm25_packing.collection_statistics(coded, "<u2", 12)
+    assert found.frequency.tolist() == [0, 0, 0, 0, 0, 2, 0, 1, 0, 1, 0, 0] and found.docs == 3
+
+
 def test_neighbours_are_the_best_by_bm25():
     rng = np.random.default_rng(8)
     docs = [rng.zipf(1.5, rng.integers(3, 60)) % 200 for _ in range(50)]
