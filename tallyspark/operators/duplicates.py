@@ -62,7 +62,7 @@ def _cells(payments: DataFrame) -> DataFrame:
     )
 
 
-def _cell_pairs(cells: DataFrame, window_days: int) -> DataFrame:
+def _cell_pairs(cells: DataFrame, window_days: int, stage=None) -> DataFrame:
     """Pairs of different cells within the window: equi-join on a date bucket, then the exact test.
 
     Whole-day distance <= w means less than w+1 days, so the later cell lies in the
@@ -76,6 +76,8 @@ def _cell_pairs(cells: DataFrame, window_days: int) -> DataFrame:
         bucketed.groupBy(*key).agg(n_cells.alias("_n")).filter(F.col("_n") > TILE)
         .select(*key, F.ceil(F.col("_n") / TILE).cast("int").alias("_side"))
     )
+    if stage:  # joins then know that it is small; by its estimate all cells would be shuffled to meet it
+        grid = stage(grid, "payment_grid")
 
     def placed(df: DataFrame, own: str, other: str) -> DataFrame:
         side = F.coalesce(F.col("_side"), F.lit(1))
@@ -105,14 +107,14 @@ def _cell_pairs(cells: DataFrame, window_days: int) -> DataFrame:
     )
 
 
-def cell_pairs(cells: DataFrame, window_days: int) -> DataFrame:
+def cell_pairs(cells: DataFrame, window_days: int, stage=None) -> DataFrame:
     """Pairs of cells within the window, and cells of several payments without an invoice with themselves."""
     own = cells.filter((F.col("n") > 1) & (F.col("invoice_key") == "-")).select(
         "vendor", "amount", F.col("cell").alias("cell_a"), F.col("n").alias("n_a"), F.col("date").alias("date_a"),
         F.col("cell").alias("cell_b"), F.col("n").alias("n_b"), F.col("date").alias("date_b"),
         F.lit(0).alias("days_apart"),
     )
-    return _cell_pairs(cells, window_days).unionByName(own)
+    return _cell_pairs(cells, window_days, stage).unionByName(own)
 
 
 def _partitions(df: DataFrame) -> int:

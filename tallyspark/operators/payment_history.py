@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyspark.functions.skew import salted_join
+from tallyspark.functions.skew import SLICE_ROWS, salted_join
 from tallyspark.functions.values import day_number, whole_days
 from tallyspark.operators import duplicates
 from tallyspark.operators.duplicates import CELL_KEYS, PaymentCells
@@ -91,10 +91,11 @@ class PaymentHistory:
             stored=stored.repartition(self.buckets, "meet"))
 
         folded = cells.filter("n > 1").select(*CELL_KEYS, "cell", "n")
-        inside = salted_join(payments, folded, CELL_KEYS, folded, "n", F.col("row_index")).select("cell", "n", "row_index")
+        heavy = self._write(folded.filter(F.col("n") > SLICE_ROWS), "heavy", number)  # written, so that joins know its size
+        inside = salted_join(payments, folded, CELL_KEYS, heavy, "n", F.col("row_index")).select("cell", "n", "row_index")
         self._write(inside, "members", number)
 
-        pairs = duplicates.cell_pairs(cells, self.window_days)
+        pairs = duplicates.cell_pairs(cells, self.window_days, lambda df, name: self._write(df, name, number))
         if self._has_earlier(number):
             pairs = pairs.unionByName(self.pairs_with_history(number, cells, hot))
         pairs = self._write(pairs, "pairs", number)  # `unfolded` reads them several times

@@ -65,6 +65,17 @@ def test_pairs_of_a_batch_are_computed_once(spark, make, tmp_path):
     history.close()
 
 
+def test_hot_keys_of_a_batch_are_written_for_the_joins(spark, make, tmp_path, monkeypatch):
+    monkeypatch.setattr(duplicates, "TILE", 3)
+    ledger = payments(make, 90).cache()
+    want = sorted(map(tuple, duplicates.duplicate_payments(ledger).select("row_a", "row_b", "days_apart").collect()))
+    history, found = in_batches(spark, ledger, str(tmp_path), (0, 1, 2))
+    assert want and sorted(found[0] + found[1] + found[2]) == want
+    assert spark.read.parquet(f"{tmp_path}/payment_grid").filter("_side > 1").count() > 0
+    assert spark.read.parquet(f"{tmp_path}/heavy").count() == 0  # no cell of a million rows
+    history.close()
+
+
 def test_a_later_session_takes_the_history_up(spark, make, tmp_path):
     ledger = payments(make, 120).cache()
     _, whole = in_batches(spark, ledger, f"{tmp_path}/whole", (0, 1))
