@@ -5,15 +5,16 @@ from __future__ import annotations
 import gc
 import os
 import re
-import unicodedata
 import zlib
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyspark.llm import common, lexical_tree
@@ -32,90 +33,138 @@ ENCODED = "id long, draw long, start long, length long, doc_tokens long, crc lon
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _OTHERS = [b for b in range(256) if b not in _PRINTABLE]
 BYTE_CHARACTERS = {b: 256 + n for n, b in enumerate(_OTHERS)}
-_PROBES = ["a", "the", "été", "zzqx", "internationalization", "straße", "ñandú", "x.", "ß,", "Öl", "ab!!", "zu###", "é'.)"]
-_MARKED = re.compile(rb"([^!-@\[-`{-~]+)([!-/:-@\[-`{-~]+)")  # ASCII marks behind something else
+_BESIDE_SPACES = {b: c for b, c in BYTE_CHARACTERS.items() if b != 0x20}
+_PROBES = ["a", "the", "été", "zzqx", "internationalization", "straße", "ñandú", "x.", "ß,", "Öl", "ab!!", "zu###", "é'.)", ",", "!!"]
+#: Letters below U+0130, ASCII marks, or the first and then the second. Such text is in composed form.
+_PLAIN = re.compile(f"([{''.join(filter(str.isalpha, map(chr, range(0x130))))}]*)([!-/:-@\\[-`{{-~]*)")
 
-
-class _Known(dict):
-    """Ids by word; a word that is not there yet is found and kept."""
-
-    def __init__(self, find: Callable[[bytes], bytes]) -> None:
-        super().__init__()
-        self.find = find
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self[word] = self.find(word)
-        return ids
+_LOWER = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")  # the same of small letters below U+0100, the most usual ones
 
 
 class WordEncoder:
     """The ids that a tokenizer gives for whole texts, put together from those of their words.
 
-    For tokenizers that drop white space and never merge across it. Texts are cut at ASCII white space only, every
-    distinct word goes through the library once, and its ids are kept as bytes. Words of plain letters, perhaps with
-    ASCII marks behind, are handed to the library's merge model at once, as its normaliser and splitter leave them as
-    they are; all other words take the library's full way. Probes at the start tell whether the short way is right.
+    For tokenizers that drop white space and never merge across it. Texts are cut at ASCII white space and before a comma or
+    full stop that ends a word, every distinct word goes through the library once, and its ids are kept as bytes. Words of plain
+    letters, perhaps with ASCII marks behind, are handed to the library's merge model at once, as its normaliser and splitter
+    leave them as they are; all other words take the library's full way. Probes at the start tell whether the short way is right.
     """
 
     def __init__(self, content: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_buffer(content)
         self.whole.no_truncation()
         self.whole.no_padding()
         self.model = self.whole.model
-        self.kind = np.dtype("<u2") if self.whole.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.coded = [np.array([i], self.kind).tobytes() for i in range(self.whole.get_vocab_size())]
-        self.known = _Known(self._found)
+        self.merger = Tokenizer(self.model)
+        self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary, suffix = self.whole.get_vocab(), getattr(self.model, "end_of_word_suffix", None)
+        self.kind = np.dtype("<u2") if len(vocabulary) <= 1 << 16 else np.dtype("<u4")
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.short = True
         probes = [w.encode() for w in _PROBES]
-        self.short = [self._letters(p) for p in probes] == self._full(probes)
+        self.short = self._known(probes) == self._full(probes)
         self.known.clear()  # the short way's ids, right or not
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if self.short:  # special tokens alone depend on case before the normaliser
             texts = [t if b"<|" in t else t.lower() for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
+        if len(self.known) > CACHED_WORDS // 2:  # words that are met again come back from the older half
+            self.known, self.older = {}, self.known
         collecting = gc.isenabled()
         gc.disable()  # millions of small objects and no cycles among them
         try:
-            return [b"".join(map(self.known.__getitem__, t.split())) for t in texts]
+            words = pc.ascii_split_whitespace(_strings(texts, self.short))
+            coded = words.values.dictionary_encode()
+            distinct = _listed(coded.dictionary)  # an empty one too, where white space comes first or last
+            ids = pa.array(self._known(distinct), pa.large_binary()).take(coded.indices)
+            _, offsets, data = ids.buffers()
+            ends = np.frombuffer(offsets, np.int64)[words.offsets.to_numpy()].tolist()
+            data = memoryview(data or b"")
+            return [bytes(data[begin:end]) for begin, end in zip(ends, ends[1:])]
         finally:
             if collecting:
                 gc.enable()
 
-    def _found(self, word: bytes) -> bytes:
-        ids = self._letters(word)
-        return self._full([word])[0] if ids is None else ids
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """Ids by word; those that are not there yet are found and kept."""
+        found = list(map(self.known.get, words))
+        if None not in found:
+            return found
+        missing = [w for w, ids in zip(words, found) if ids is None]
+        again = list(map(self.older.get, missing))
+        self.known.update((w, ids) for w, ids in zip(missing, again) if ids is not None)
+        new = [w for w, ids in zip(missing, again) if ids is None]
+        if self.short:
+            letters = [w for w in new if w.isalpha() or _LOWER.fullmatch(w)]
+            self.known.update(zip(letters, self._merged(letters)))
+            new = self._plain([w for w in new if w not in self.known])
+        self.known.update(zip(new, self._full(new)))
+        return [self.known[w] if ids is None else ids for w, ids in zip(words, found)]
+
+    def _plain(self, words: list[bytes]) -> list[bytes]:
+        """Finds the ids of those words for which the short way serves, and returns the others."""
+        single, double, others = {}, {}, []
+        for word in words:
+            if plain := _PLAIN.fullmatch(word.decode("utf-8", "replace").lower()):
+                core, marks = (part.encode() for part in plain.groups())
+                if core and marks:  # which stand alone behind letters
+                    double[word] = core, marks
+                else:
+                    single[word] = core or marks
+            else:
+                others.append(word)
+        self.known.update(zip(single, self._merged(single.values())))
+        parts = list({part for both in double.values() for part in both})
+        ids = dict(zip(parts, self._known(parts)))
+        self.known.update((word, ids[core] + ids[marks]) for word, (core, marks) in double.items())
+        return others
 
     def _full(self, words: list[bytes]) -> list[bytes]:
         found = self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
-    def _letters(self, word: bytes) -> bytes | None:
-        """Ids of a word of letters below U+0130 in composed form, if it is one."""
-        if not self.short:
-            return None
-        if marked := _MARKED.fullmatch(word):  # marks after letters stand alone
-            core, marks = marked.groups()
-            ids = core[-1:].isalpha() and self.known.get(core) or self._letters(core)
-            if ids is None:
-                return None
-            self.known[core] = ids
-            if marks not in self.known:
-                self.known[marks] = self._merged(marks.decode())
-            return ids + self.known[marks]
-        if word.isalpha():
-            return self._merged(word.lower().decode())
-        text = word.decode("utf-8", "replace").lower()
-        if not text.isalpha() or max(text) >= "İ" or not unicodedata.is_normalized("NFC", text):
-            return None
-        return self._merged(text.encode().decode("latin-1").translate(BYTE_CHARACTERS))
-
-    def _merged(self, characters: str) -> bytes:
-        return b"".join([self.coded[t.id] for t in self.model.tokenize(characters)])
+    def _merged(self, words: Iterable[bytes]) -> list[bytes]:
+        """Ids by word as the merge model gives them, many words at a time: the last id of each tells where it ends."""
+        words, out = list(words), []
+        parts = [b" ".join(words[i : i + 256]).lower().decode("latin-1") for i in range(0, len(words), 256)]
+        parts = [p if p.isascii() else p.translate(_BESIDE_SPACES) for p in parts]
+        for part, found in zip(parts, self.merger.encode_batch_fast(parts, add_special_tokens=False)):
+            ids, characters = np.array(found.ids, self.kind), part.split(" ")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(characters) and ends[-1] == len(ids):
+                coded, ends = ids.tobytes(), (ends * self.kind.itemsize).tolist()
+                out += [coded[begin:end] for begin, end in zip([0, *ends], ends)]
+            else:
+                out += [np.array([t.id for t in self.model.tokenize(c)], self.kind).tobytes() for c in characters]
+        return out
+
+
+def _strings(texts: list[bytes], marks_apart: bool) -> pa.Array:
+    """The texts, with a space before each comma and full stop that has a letter before it and white space behind, if wanted."""
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    if marks_apart:
+        at = np.flatnonzero((data[1:-1] == ord(",")) | (data[1:-1] == ord("."))) + 1
+        before, behind = data[at - 1], data[at + 1]
+        letter = (before >= ord("a")) & (before <= ord("z"))
+        letter |= (data[at - 2] == 0xC3) & (at > 1) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)  # À to ÿ without × and ÷
+        at = at[letter & ((behind == ord(" ")) | (behind >= 9) & (behind <= 13))]
+        data, offsets = np.insert(data, at, ord(" ")), offsets + np.searchsorted(at, offsets)
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _listed(words: pa.Array) -> list[bytes]:
+    """The words themselves, which hold no spaces."""
+    if not len(words):
+        return []
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[1 : len(words)]
+    return np.insert(np.frombuffer(data or b"", np.uint8), ends, ord(" ")).tobytes().split(b" ")
 
 
 @lru_cache(maxsize=1)
@@ -265,7 +314,7 @@ def _splitter(spark: SparkSession, path: str, end_id: int, window: int):
         encoder = _encoder(content.value)
         end, width = np.array([end_id], encoder.kind).tobytes(), encoder.kind.itemsize
         for whole in batches:
-            for batch in common.pieces(whole, 1, 4_000_000):
+            for batch in common.pieces(whole, 1):
                 out: list[tuple] = []
                 ids, draws = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 for i, draw, coded in zip(ids, draws, encoder.encode(batch.column(1).to_pylist())):
@@ -374,10 +423,12 @@ class Bm25:
     def __init__(self, docs: list[np.ndarray], query_terms: int | None = None, statistics: Statistics | None = None) -> None:
         self.query_terms, self.seed, n = query_terms, None, len(docs)
         lengths = np.array([len(d) for d in docs], np.float64)
-        owner = np.repeat(np.arange(n), lengths.astype(np.int64))
-        flat = np.concatenate(docs).astype(np.int64) if n else np.empty(0, np.int64)
-        pairs = flat * n + owner
-        pairs = np.sort(pairs.astype(np.int32) if pairs.max(initial=0) < 1 << 31 else pairs)
+        most = max((int(d.max(initial=0)) for d in docs), default=0)
+        kind = np.int32 if (most + 1) * n < 1 << 31 else np.int64
+        pairs = np.concatenate(docs).astype(kind) if n else np.empty(0, kind)
+        pairs *= kind(n)
+        pairs += np.repeat(np.arange(n, dtype=kind), lengths.astype(np.int64))
+        pairs.sort()
         first = _changes(pairs)
         count = np.diff(first, append=len(pairs))
         term, self.doc = pairs[first] // max(1, n), (pairs[first] % max(1, n)).astype(np.int64)
@@ -393,7 +444,8 @@ class Bm25:
         by_doc = np.argsort(self.doc.astype(np.uint16) if n <= 1 << 16 else self.doc, kind="stable")
         self.forward = np.repeat(np.arange(len(self.starts)), frequency)[by_doc]
         self.begin = np.searchsorted(self.doc[by_doc], np.arange(n + 1))
-        self.unused = np.ones(n, bool)
+        self.shared = frequency > 1  # the others match no other document here
+        self.unused, self.held = np.ones(n, bool), np.arange(n)
         # Terms that most documents have are rows of a table, which adds faster than postings.
         common_terms = np.flatnonzero(frequency * 2 > n)
         self.row = np.full(len(frequency), -1)
@@ -401,19 +453,49 @@ class Bm25:
         self.table = np.zeros((len(common_terms), n))
         for r, t in enumerate(common_terms):
             self.table[r, self.doc[self.starts[t] : self.ends[t]]] = self.weight[self.starts[t] : self.ends[t]]
+        self._list_postings()
+
+    def _list_postings(self) -> None:
+        spans = list(zip(self.starts.tolist(), self.ends.tolist()))
+        self.docs_of, self.weights_of = [self.doc[a:b] for a, b in spans], [self.weight[a:b] for a, b in spans]
+
+    def _forget_used(self) -> None:
+        """Used documents leave the postings and the table; `held` has the numbers of those that stay."""
+        stays = self.unused[self.held]
+        kept = stays[self.doc]
+        before = np.concatenate([[0], np.cumsum(kept)])
+        self.starts, self.ends = before[self.starts], before[self.ends]
+        self.doc, self.weight = (np.cumsum(stays) - 1)[self.doc[kept]], self.weight[kept]
+        self.table, self.held = np.ascontiguousarray(self.table[:, stays]), self.held[stays]
+        self._list_postings()
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Unused documents by falling score for the seed's terms, ties in seeded order."""
+        return np.concatenate([np.empty(0, np.int64), *self.nearest(seed)])
+
+    def nearest(self, seed: int) -> Iterator[np.ndarray]:
+        """The neighbours of now, a few at first and ever more, as a window seldom needs them all."""
+        if 2 * np.count_nonzero(self.unused) < len(self.held):
+            self._forget_used()
         own = self.forward[self.begin[seed] : self.begin[seed + 1]]
-        own = own[self.ends[own] - self.starts[own] > 1]  # the others match no other document here
+        own = own[self.shared[own]]
         if self.query_terms is not None and len(own) > self.query_terms:
             own = own[np.argsort(-self.idf[own], kind="stable")[: self.query_terms]]
-        listed, rows = own[self.row[own] < 0], self.row[own]
-        counts = self.ends[listed] - self.starts[listed]
-        at = np.repeat(self.starts[listed] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        scores = np.bincount(self.doc[at], self.weight[at], len(self.unused)) + self.table[rows[rows >= 0]].sum(0)
-        free = np.flatnonzero(self.unused)
-        return free[np.argsort(-scores[free], kind="stable")]
+        rows = self.row[own]
+        scores = np.zeros(len(self.held))
+        for row in rows[rows >= 0].tolist():
+            scores += self.table[row]
+        if listed := own[rows < 0].tolist():
+            docs, weights = (np.concatenate([of[t] for t in listed]) for of in (self.docs_of, self.weights_of))
+            scores += np.bincount(docs, weights, len(self.held))
+        free = self.unused[self.held]
+        free, behind = self.held[free], -scores[free]
+        wanted = 32
+        while len(free) > 2 * wanted:
+            near = behind <= np.partition(behind, wanted)[wanted]  # equal ones come together
+            yield free[near][np.argsort(behind[near], kind="stable")]
+            free, behind, wanted = free[~near], behind[~near], 2 * wanted
+        yield free[np.argsort(behind, kind="stable")]
 
     def reading_order(self, window_is_empty) -> Iterator[int]:
         """Documents in the order in which they fill windows; a new window asks for a new seed.
@@ -433,7 +515,7 @@ class Bm25:
                 yield seed
                 if window_is_empty():
                     continue
-            for at in self.neighbours(seed):
+            for at in chain.from_iterable(self.nearest(seed)):
                 self.unused[at] = False
                 yield int(at)
                 if self.seed is not None or window_is_empty():

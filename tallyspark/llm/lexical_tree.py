@@ -31,11 +31,14 @@ class TermSpace:
             self.basis[known, : min(DIMS, len(known))] = np.linalg.qr(back)[0]
 
     def points(self, docs: list[np.ndarray], most: int = 256) -> np.ndarray:
-        out = [np.empty((0, DIMS), np.float32)]
-        for begin in range(0, len(docs), most):
-            _, term, weight, starts = self._vectors(docs[begin : begin + most])
-            out.append(np.add.reduceat(self.basis[term] * weight[:, None], starts))
-        return np.concatenate(out)
+        out = np.empty((len(docs), DIMS), np.float32)
+        for first in range(0, len(docs), most):
+            _, term, weight, starts = self._vectors(docs[first : first + most])
+            for at, begin, end in zip(range(first, len(docs)), starts, [*starts[1:], len(term)]):
+                rows = self.basis.take(term[begin:end], 0)  # of one document, which fit the processor's cache
+                rows *= weight[begin:end, None]
+                rows.sum(0, out=out[at])
+        return out
 
     def _vectors(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, term, weight) of all postings, by document and term, and where each document begins."""

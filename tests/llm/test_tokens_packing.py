@@ -121,6 +121,54 @@ def test_marks_behind_letters_need_no_full_way():
     assert np.frombuffer(got, encoder.kind).tolist() == library.encode(" ".join(odd), add_special_tokens=False).ids
 
 
+MARKED = [
+    "heen, heen. heen heen", "Été, été. é, ÷, ×. a÷. b×, ß.", "a., b ,c x…, 9, ab,cd. é\u0301, don't, i'll.", ".", "a", ", b", "é", ". x", ",",
+    "<|startoftext|>, A, É. <|endoftext|. É,", "", " ", "  a,  b.\n\nc,\td.\x0b", "ª, µ. º, Ā, ŉ. İ, ſ.", "ÀÉ, Öö.", "!!", "(ab), [é].",
+]
+
+
+@pytest.mark.parametrize("short", [True, False])
+def test_marks_at_the_end_of_words(short):
+    encoder, library = bm25_packing.WordEncoder(open(WORDS, "rb").read()), Tokenizer.from_file(WORDS)
+    assert encoder.short
+    encoder.short = short
+    for texts in (MARKED, MARKED[::-1], [" ".join(MARKED)], MARKED[:1], []):
+        got = [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode([t.encode() for t in texts])]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_word_with_and_without_a_mark_is_kept_once():
+    encoder = bm25_packing.WordEncoder(open(WORDS, "rb").read())
+    encoder.encode("heen, heen. heen heen, Été, été. été qui".encode().split(b"\n"))
+    assert set(encoder.known) - {b"", b",", b"."} == {"heen".encode(), "Été".encode().lower(), "été".encode(), b"qui"}
+
+
+def test_words_outlive_a_full_memory(monkeypatch):
+    monkeypatch.setattr(bm25_packing, "CACHED_WORDS", 4)
+    encoder = bm25_packing.WordEncoder(open(WORDS, "rb").read())
+    first = encoder.encode([b"sun sea oak fog"])
+    asked, real = [], encoder._merged
+    encoder._merged = lambda words: asked.extend(words := list(words)) or real(words)
+    assert encoder.encode([b"sun sea oak fog"]) == first and asked == []
+    encoder.encode([b"ice gem elm ash"])
+    encoder.encode([b"yew ivy fig"])
+    assert len(encoder.known) + len(encoder.older) <= 8
+
+
+def test_used_documents_leave_the_postings():
+    rng = np.random.default_rng(6)
+    docs = [rng.zipf(1.3, rng.integers(20, 90)) % 300 for _ in range(200)]
+    index, whole = bm25_packing.Bm25(docs), bm25_packing.Bm25(docs)
+    size = len(index.doc)
+    for seed in range(0, 190, 10):
+        index.unused[seed : seed + 10] = whole.unused[seed : seed + 10] = False
+        whole._forget_used = lambda: None
+        assert index.neighbours(seed).tolist() == whole.neighbours(seed).tolist()
+        few = next(index.nearest(seed))
+        assert few.tolist() == whole.neighbours(seed)[: len(few)].tolist() and (len(few) < 64 or seed > 130)
+    assert len(index.doc) < size / 4
+
+
 def test_a_term_counts_once_per_document(spark):
     rows = [([5, 5, 7],), ([5],), ([9] * 40,)]
     coded = spark.createDataFrame([(np.array(r[0], "<u2").tobytes(), len(r[0])) for r in rows], "ids binary, length long")
