@@ -8,7 +8,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 from itertools import chain
 from typing import NamedTuple
 
@@ -22,8 +22,10 @@ from tallyspark.sources import store
 
 K1, B = lexical_tree.K1, lexical_tree.B
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Words whose ids a worker remembers, about 190 MB.
+#: Words whose ids a worker remembers while texts are tokenized, about 190 MB.
 CACHED_WORDS = 1_000_000
+#: Text that is tokenized at a time; what a worker needs besides its words grows with it.
+PIECE_BYTES = 8_000_000
 #: Splits of the lexical order beyond one leaf per shard, sampled documents for each leaf, and the most of them in all.
 MORE_SPLITS, DOCS_A_LEAF, MOST_SAMPLED = 2, 32, 1 << 18
 ENCODED = "id long, draw long, start long, length long, doc_tokens long, crc long, ids binary"
@@ -169,10 +171,25 @@ def _listed(words: pa.Array) -> list[bytes]:
 
 @lru_cache(maxsize=1)
 def _encoder(content: bytes) -> WordEncoder:
-    """Kept by the worker, so that later tasks find the words of earlier ones."""
+    """Kept by the worker, so that later tasks find the words of earlier ones, until a step of `_after_tokenizing` begins."""
     return WordEncoder(content)
 
 
+def _after_tokenizing(step):
+    """A step that runs when all texts are tokenized: the worker gives its words back first, and at the end what the step has freed."""
+
+    @wraps(step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoder.cache_clear()
+        common.release_memory()
+        try:
+            yield from step(batches)
+        finally:
+            common.release_memory()
+
+    return run
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -234,6 +251,7 @@ class Statistics(NamedTuple):
 def collection_statistics(encoded: DataFrame, kind: str, terms: int) -> Statistics:
     """One row per term of the vocabulary comes to the driver."""
 
+    @_after_tokenizing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = np.zeros(terms, np.int64)
         for batch in batches:
@@ -263,12 +281,14 @@ def _placed(encoded: DataFrame, kind: str, statistics: Statistics, shard_docs: i
         drawn = encoded.filter(~whole & (F.pmod(F.xxhash64("draw", F.lit(3)), F.lit(1 << 30)) < share))
         return drawn.select("draw", "start", "ids").dropDuplicates(["draw", "start"])
 
+    @_after_tokenizing
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = space.value.points([np.frombuffer(b, kind) for b in batch.column(2).to_pylist()])
             columns = [batch.column(0), batch.column(1), pa.array([p.tobytes() for p in points], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["draw", "start", "point"])
 
+    @_after_tokenizing
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ids").to_pylist()
@@ -289,6 +309,7 @@ def _placed(encoded: DataFrame, kind: str, statistics: Statistics, shard_docs: i
 
 
 def _sharder(bounds):
+    @_after_tokenizing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places = zip(*(batch.column(c).to_pylist() for c in ("leaf", "draw", "start", "row")))
@@ -310,26 +331,32 @@ def _splitter(spark: SparkSession, path: str, end_id: int, window: int):
     with open(path, "rb") as f:
         content = spark.sparkContext.broadcast(f.read())
 
+    def coded(encoder: WordEncoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+        end, width = np.array([end_id], encoder.kind).tobytes(), encoder.kind.itemsize
+        out: list[tuple] = []
+        ids, draws = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        for i, draw, own in zip(ids, draws, encoder.encode(batch.column(1).to_pylist())):
+            own += end
+            total = len(own) // width
+            full = total - total % window
+            out += [
+                (i, draw, s, window, total, _crc(own[s * width : (s + window) * width], encoder.kind), None)
+                for s in range(0, full, window)
+            ]
+            if full < total:
+                out.append((i, draw, full, total - full, total, None, own[full * width :]))
+        kinds = [pa.int64()] * 6 + [pa.binary()]
+        names = ["id", "draw", "start", "length", "doc_tokens", "crc", "ids"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(content.value)
-        end, width = np.array([end_id], encoder.kind).tobytes(), encoder.kind.itemsize
-        for whole in batches:
-            for batch in common.pieces(whole, 1):
-                out: list[tuple] = []
-                ids, draws = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-                for i, draw, coded in zip(ids, draws, encoder.encode(batch.column(1).to_pylist())):
-                    coded += end
-                    total = len(coded) // width
-                    full = total - total % window
-                    out += [
-                        (i, draw, s, window, total, _crc(coded[s * width : (s + window) * width], encoder.kind), None)
-                        for s in range(0, full, window)
-                    ]
-                    if full < total:
-                        out.append((i, draw, full, total - full, total, None, coded[full * width :]))
-                kinds = [pa.int64()] * 6 + [pa.binary()]
-                names = ["id", "draw", "start", "length", "doc_tokens", "crc", "ids"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+        try:
+            for whole in batches:
+                for batch in common.pieces(whole, 1, PIECE_BYTES):
+                    yield coded(encoder, batch)
+        finally:
+            common.release_memory()
 
     return split
 
@@ -339,6 +366,7 @@ def _crc(coded: bytes, kind: np.dtype) -> int:
 
 
 def _packer(kind: str, window: int, query_terms: int | None, statistics):
+    @_after_tokenizing
     def pack_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, held in _by_shard(batches):
             out = list(_shard_pieces(shard, held, np.dtype(kind), window, query_terms, statistics.value))

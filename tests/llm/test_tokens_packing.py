@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -155,6 +156,21 @@ def test_words_outlive_a_full_memory(monkeypatch):
     assert len(encoder.known) + len(encoder.older) <= 8
 
 
+def test_a_worker_gives_its_words_back_after_tokenizing(spark, monkeypatch):
+    """Workers are reused: what they hold adds to the memory of every later stage."""
+    held = []  # encoders at each release
+    monkeypatch.setattr(common, "release_memory", lambda: held.append(bm25_packing._encoder.cache_info().currsize))
+    bm25_packing._encoder.cache_clear()
+    rows = pa.RecordBatch.from_pydict({"id": [1, 2], "text": [b"sun sea oak fog", b"ice gem"], "draw": [5, 6]})
+    coded = pa.Table.from_batches(bm25_packing._splitter(spark, WORDS, 2, 64)(iter([rows])))
+    assert {b"sun", b"gem"} <= set(bm25_packing._encoder(open(WORDS, "rb").read()).known)  # for later tasks of the step
+    assert held == [1]
+    placed = coded.append_column("row", pa.array([0, 1])).append_column("leaf", pa.array([0, 0])).to_batches()
+    cut = bm25_packing._sharder(spark.sparkContext.broadcast([]))
+    assert sum(b.num_rows for b in cut(iter(placed))) == 2
+    assert held == [1, 0, 0]
+
+
 def test_used_documents_leave_the_postings():
     rng = np.random.default_rng(6)
     docs = [rng.zipf(1.3, rng.integers(20, 90)) % 300 for _ in range(200)]
