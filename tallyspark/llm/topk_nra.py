@@ -16,6 +16,8 @@ SHARD_ROWS = 8192
 QUERY_BLOCK = 2048
 #: Reads of every list between two looks at the bounds: as a share of the list.
 STEPS = 8
+#: Queries whose bounds for all rows of a shard are held at once.
+LOOK_QUERIES = 64
 
 
 def top_k(
@@ -27,15 +29,17 @@ def top_k(
     rows but the query's own. Ties go to the smaller id, and fewer than `k` rows come back where there are fewer candidates.
 
     Rows are dealt to shards of about SHARD_ROWS; a shard keeps one list per component, sorted by value. For a query,
-    all lists of a shard are read in step from the end that its sign favours. A row read in some lists has a lower bound (the
-    least value of each unread list) and an upper bound (the value that list has reached). Reading stops when k
-    rows are known completely and no other row, seen or not, can still reach them. The best of all shards are merged by
-    rank. Queries come in blocks, so no task holds all of them and none is broadcast. A block of queries is copied to every
-    shard, and cells meet by block and shard, so no join key gathers more than one shard and one block.
+    all lists of a shard are read in step from the end that its sign favours. A row read in some lists has an upper bound (the
+    value that each unread list has reached). Reading stops when k rows are known completely and no other row, seen or
+    not, can still reach them. The best of all shards are merged by rank. The lists are read once for a block of queries:
+    which rows are complete is kept in bits, and bounds come from one product of weights and what was read, made only for
+    queries with k complete rows. Queries come in blocks, so no task holds all of them and none is broadcast. A block of
+    queries is copied to every shard, and cells meet by block and shard, so no join key gathers more than one shard and
+    one block. The number of (query, row) pairs still grows as the square of the rows where bounds allow no early stop.
 
     NULL vectors, NULL ids and vectors with NULL or non-finite components take no part. Shorter vectors count as ending in
     zeros. Rows that repeat an id are each candidates, of one another too, and each queries. Scores are exact; where those of
-    a query and shard could pass 2 ** 53 / (components + 1), the lists are read in integers instead of doubles. Only a
+    a query and shard could pass 2 ** 52, the lists are read query by query in integers instead of doubles. Only a
     score that no long holds stops with an error.
     """
     spark, folder = vectors.sparkSession, common.scratch(vectors.sparkSession)
@@ -99,9 +103,8 @@ def _reader(k: int, width: int):
                 lists = SortedLists(ids, np.frombuffer(row["values"], np.int64).reshape(len(ids), width))
                 query_ids, query_rows = (np.frombuffer(row[c], np.int64) for c in ("query_ids", "query_rows"))
                 queries = np.frombuffer(row["queries"], np.int64).reshape(len(query_ids), width)
-                out = []
-                for nth, (query_id, own, q) in enumerate(zip(query_ids.tolist(), query_rows, queries), row["block"] << 32):
-                    at, scores = lists.best(q, k, places == own)
+                found, out = lists.best_of(queries, k, places, query_rows), []
+                for nth, (query_id, (at, scores)) in enumerate(zip(query_ids.tolist(), found), row["block"] << 32):
                     out += [(query_id, nth, int(ids[p]), int(s)) for p, s in zip(at, scores)]
                 columns = list(zip(*out)) if out else [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "nth", "vec_id", "score"])
@@ -109,6 +112,13 @@ def _reader(k: int, width: int):
     return read
 
 
+def _packed(marks: np.ndarray) -> np.ndarray:
+    """Each row of marks as bits in 64-bit words."""
+    words = np.zeros((len(marks), -(-marks.shape[1] // 64) * 8), np.uint8)
+    words[:, : -(-marks.shape[1] // 8)] = np.packbits(marks, axis=1)
+    return words.view(np.uint64)
+
+
 class SortedLists:
     """One list of (row, value) per component, by falling value; read from either end, never at a chosen row."""
 
@@ -122,22 +132,29 @@ class SortedLists:
 
     def best(self, q: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions and scores of the k best rows for one query, ties by id; the query's own row is left out."""
-        used, free = np.flatnonzero(q), ~own
-        if not free.any():
-            return np.empty(0, np.int64), np.empty(0)
-        weights = q[used].astype(np.float64)
-        lists = np.where(weights > 0, used, used + len(q))
-        last = self.sorted[lists, -1] * weights  # the least a list can still add
-        most = (self.sorted[lists, 0] * weights - last).sum()
-        unit = 2.0 ** np.ceil(np.log2(most + 1))
-        largest = np.maximum(np.abs(self.sorted[lists, 0]), np.abs(self.sorted[lists, -1])) * np.abs(weights)
-        if max(unit * (len(used) + 1), largest.sum()) < 2.0**53:
-            seen, gained = self._read(weights, lists, last, unit, free, k)
-            at, scores = self._first(seen, gained + last.sum(), len(used), free, k)
-            return at, np.rint(scores)
+        return self.best_of(q[None], k, own.astype(np.int64), np.ones(1, np.int64))[0]
+
+    def best_of(self, queries: np.ndarray, k: int, places: np.ndarray, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """`best` for every query; left out for each is the row whose place is its own."""
+        width = queries.shape[1]
+        ends = np.maximum(np.abs(self.sorted[:width, 0]), np.abs(self.sorted[:width, -1]))
+        largest = np.abs(queries.astype(np.float64)) @ ends  # what any sum of reads can reach
+        exact, found = largest < 2.0**52, {}
+        together = np.flatnonzero(exact)
+        if len(together):
+            kind = np.float32 if largest[together].max() < 2.0**23 else np.float64  # either holds all such sums exactly
+            found.update(zip(together.tolist(), self._read(queries[together], k, places, own[together], kind)))
+        for at in np.flatnonzero(~exact).tolist():
+            found[at] = self._best_in_integers(queries[at], k, places != own[at])
+        return [found[at] for at in range(len(queries))]
+
+    def _best_in_integers(self, q: np.ndarray, k: int, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        used = np.flatnonzero(q)
+        lists = np.where(q[used] > 0, used, used + len(q))
+        largest = np.maximum(np.abs(self.sorted[lists, 0]), np.abs(self.sorted[lists, -1])) * np.abs(q[used].astype(np.float64))
         kind = np.int64 if largest.sum() < 2.0**61 else object  # Python numbers where sums could leave 64 bits on the way
         weights = q[used].astype(kind)
-        last = self._integers(lists, -1, kind) * weights
+        last = self._integers(lists, -1, kind) * weights  # the least a list can still add
         seen, gained = self._read_integers(weights, lists, last, free, k)
         at, scores = self._first(seen, gained + last.sum(), len(used), free, k)
         if any(abs(int(s)) >= 1 << 63 for s in scores):
@@ -150,23 +167,62 @@ class SortedLists:
         return known[order], scores[known][order]
 
     def _read(
-        self, weights: np.ndarray, lists: np.ndarray, last: np.ndarray, unit: float, free: np.ndarray, k: int
-    ) -> tuple[np.ndarray, np.ndarray]:
-        """Per row, how many lists were read there and what they added over the lower bound; one double holds both meanwhile."""
-        n = len(self.ids)
-        read, step = np.zeros(n), max(1, -(-n // STEPS))
-        for begin in range(0, n if len(lists) else 0, step):
+        self, queries: np.ndarray, k: int, places: np.ndarray, own: np.ndarray, kind: type
+    ) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The best rows of each query, from lists that are read in step for all of them; settled queries leave."""
+        n, (m, width) = len(self.ids), queries.shape
+        weights = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1).astype(kind)
+        known, read = np.zeros((2 * width, n), kind), np.zeros((2 * width, n), bool)
+        skipped = [np.flatnonzero(places == place) for place in own]
+        found: list = [None] * m
+        step, waiting = max(1, -(-n // STEPS)), list(range(m))
+        for begin in range(0, n, step):
             end = min(n, begin + step)
-            part = self.sorted[:, begin:end][lists]
-            part *= weights[:, None]
-            part += (unit - last)[:, None]
-            read += np.bincount(self.order[:, begin:end][lists].ravel(), part.ravel(), n)
+            np.put_along_axis(known, self.order[:, begin:end], self.sorted[:, begin:end], axis=1)
             if end < n:
-                seen = np.floor(read / unit)
-                if self._settled(seen, read - seen * unit, self.sorted[lists, end - 1] * weights - last, free, k):
-                    break
-        seen = np.floor(read / unit)
-        return seen, read - seen * unit
+                np.put_along_axis(read, self.order[:, begin:end], True, axis=1)
+                np.copyto(known, self.sorted[:, end - 1, None], where=~read, casting="same_kind")  # no unread entry is better
+                bits = _packed(read)
+            for at in range(0, len(waiting), LOOK_QUERIES):
+                batch = waiting[at : at + LOOK_QUERIES]
+                if end == n:  # read to their end, the lists say the same from either end
+                    for q, scores in zip(batch, queries[batch].astype(kind) @ known[:width]):
+                        scores[skipped[q]] = -np.inf
+                        found[q] = self._best_rows(scores, None, k)
+                elif ready := self._ready(queries, batch, skipped, bits, k):
+                    for (q, complete), most in zip(ready.items(), weights[list(ready)] @ known):
+                        best = self._best_rows(most, complete, k)
+                        most[skipped[q]] = most[complete] = -np.inf
+                        if most.max() < best[1][-1]:
+                            found[q] = best
+            waiting = [q for q in waiting if found[q] is None]
+            if not waiting:
+                break
+        return found
+
+    def _ready(self, queries: np.ndarray, batch: list[int], skipped: list[np.ndarray], bits: np.ndarray, k: int) -> dict[int, np.ndarray]:
+        """The queries with k complete rows, and these rows: read in all lists that the query uses."""
+        n, width, out = len(self.ids), queries.shape[1], {}
+        every = _packed(np.ones((1, n), bool))
+        bits, complete = np.concatenate([bits, every]), np.repeat(every, len(batch), axis=0)
+        for component, weights in enumerate(queries[batch].T):  # the last of the bits are for components of zero
+            complete &= bits[np.where(weights > 0, component, np.where(weights < 0, component + width, 2 * width))]
+            if not complete.any():
+                break
+        for at in np.flatnonzero(np.bitwise_count(complete).sum(axis=1) >= k):
+            rows = np.flatnonzero(np.unpackbits(complete[at].view(np.uint8), count=n))
+            rows = rows[~np.isin(rows, skipped[batch[at]])]
+            if len(rows) >= k:
+                out[batch[at]] = rows
+        return out
+
+    def _best_rows(self, scores: np.ndarray, rows: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of these rows, or of all; ties by id. Those of score -inf are left out."""
+        if rows is None:
+            least = np.partition(scores, -k)[-k] if len(scores) > k else -np.inf
+            rows = np.flatnonzero((scores >= least) & (scores > -np.inf))
+        order = np.lexsort((self.ids[rows], -scores[rows]))[:k]
+        return rows[order], scores[rows[order]].astype(np.int64)
 
     def _read_integers(
         self, weights: np.ndarray, lists: np.ndarray, last: np.ndarray, free: np.ndarray, k: int

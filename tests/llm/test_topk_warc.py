@@ -8,6 +8,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyspark.llm import common, topk_nra, warc
@@ -103,6 +104,65 @@ def test_reading_stops_early_where_bounds_allow(monkeypatch):
     assert sum(reads) <= 3 * 4000 / 8
 
 
+def test_a_block_of_queries_shares_its_reads(monkeypatch):
+    """Each list is read once for all queries of a block, not once for each; results are those of full scoring."""
+    reads = []
+    for name in ("bincount", "put_along_axis"):
+        def counted(*a, real=getattr(np, name), at=("bincount", "put_along_axis").index(name), **b):
+            reads.append(np.size(a[at]))
+            return real(*a, **b)
+        monkeypatch.setattr(topk_nra.np, name, counted)
+    rng = np.random.default_rng(9)
+    values = rng.integers(-40, 40, (1500, 16))
+    values[200:240], values[7] = values[3], 0  # copies, and a query without weights
+    df_rows = [(i, [x / 256 for x in v]) for i, v in enumerate(values.tolist())]
+    own = np.arange(0, 1500, 10)
+    cell = {"block": 0, "ids": np.arange(1500).tobytes(), "rows": np.arange(1500).tobytes(), "values": values.tobytes(),
+            "query_ids": own.tobytes(), "query_rows": own.tobytes(), "queries": values[own].tobytes()}
+    batches = topk_nra._reader(5, 16)(iter([pa.RecordBatch.from_pylist([cell])]))
+    got = [(r["query_id"], r["vec_id"], r["score"]) for b in batches for r in b.to_pylist()]
+    assert sorted(got) == sorted((i, j, s) for i, _, j, s in top_by_hand(df_rows, 5, 10))
+    assert sum(reads) <= 4 * values.size  # values and marks, from both ends, whatever the number of queries
+
+
+def test_queries_of_a_block_settle_at_their_own_depth(monkeypatch):
+    """Queries that settle at once leave the block; lists are read on only for others, and not at all without any."""
+    depths = []
+    real = np.put_along_axis
+    monkeypatch.setattr(topk_nra.np, "put_along_axis", lambda a, at, *x, **y: (depths.append(at.shape[1]), real(a, at, *x, **y))[1])
+    rng = np.random.default_rng(10)
+    values = rng.integers(-9, 10, (4000, 3))
+    values[17], values[18] = 1000, -1000
+    lists, places = topk_nra.SortedLists(np.arange(4000), values), np.arange(4000)
+    queries = np.array([[1, 2, 3], [-1, -2, -3], [0, 0, 0], [0, 5, 0]])
+    found = lists.best_of(queries, 1, places, np.array([-1, -1, 0, -1]))
+    assert [(at.tolist(), scores.tolist()) for at, scores in found] == [([17], [6000]), ([18], [6000]), ([1], [0]), ([17], [5000])]
+    assert depths == [500, 500]
+    depths.clear()
+    queries = np.concatenate([queries, [[1, -1, 1]]])  # no row is the best in all of these lists
+    scores = queries[4] @ values.T
+    found = lists.best_of(queries, 1, places, np.full(5, -1))
+    assert (found[0][0].tolist(), found[4][1].tolist()) == ([17], [scores.max()]) and found[4][0][0] == scores.argmax()
+    assert sum(depths) > 1000
+
+
+@pytest.mark.parametrize("high", [200, 1 << 14, 1 << 25])
+def test_blocks_of_queries_of_any_size_of_components(high, monkeypatch):
+    """Single precision, doubles and integers side by side in one block, as the size of the sums demands."""
+    monkeypatch.setattr(topk_nra, "LOOK_QUERIES", 3)
+    rng = np.random.default_rng(11)
+    values = rng.integers(-high, high, (130, 8))
+    values[5], values[60:70] = values[9], values[11]
+    values[40] = 0
+    values[41, 1:] = 0
+    own = np.arange(0, 130, 7)
+    queries = values[own] * np.where(np.arange(len(own)) % 3 == 0, 1 << 10, 1)[:, None]
+    found = topk_nra.SortedLists(np.arange(130)[::-1], values).best_of(queries, 5, np.arange(130), own)
+    for (at, scores), q, skip in zip(found, queries.tolist(), own):
+        want = sorted((-sum(a * b for a, b in zip(q, v)), 129 - j) for j, v in enumerate(values.tolist()) if j != skip)[:5]
+        assert [(-int(s), 129 - int(p)) for p, s in zip(at, scores)] == want
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     rng = random.Random(6)
